@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ringlog.functions.calendar import Day, as_day, in_period
+from ringlog.functions.calendar import Day, in_period
 from ringlog.operators.clean import clean_calls, repair_umlauts
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.refresh import last_day, new_rows
 from ringlog.session import work_path
 from ringlog.sources.files import read_annual, read_legacy
+from ringlog.sources.landing import records_between
 from ringlog.sources.table import read_calls, write_calls
 
 
@@ -59,8 +60,7 @@ def refresh_table(
     current = read_calls(spark, path)
     newest_year = current.agg(F.max("year")).first()[0]
     start = last_day(current.filter(F.col("year") == newest_year))
-    fetched = clean_calls(in_fetch(records, start, as_of), areas, on_bad=on_bad, salt=salt)
-    fetched = in_period(fetched, start, as_of)
+    fetched = clean_calls(records_between(records, start, as_of), areas, on_bad=on_bad, salt=salt)
     if fetched.isEmpty():
         return start, 0
     added = new_rows(current.drop("year"), fetched, start)
@@ -74,13 +74,10 @@ def refresh_table(
 
     years = [row.year for row in read_calls(spark, staged).select("year").distinct().collect()]
     write_calls(read_calls(spark, staged).drop("year"), path, years=years)
+    if start.year not in years:
+        # Its only day was replaced by none, and an overwrite keeps partitions
+        # it has no rows for.
+        nothing = read_calls(spark, staged).drop("year").limit(0)
+        nothing.write.mode("overwrite").parquet(f"{path}/year={start.year}")
     spark.catalog.refreshByPath(path)
     return start, count.get["rows"]
-
-
-def in_fetch(records: DataFrame, start: Day, stop: Day) -> DataFrame:
-    """The records a request for these days would have returned."""
-    day = F.try_to_date(F.trim("date"), "yyyy-M-d")
-    if start is not None:
-        records = records.filter(day >= F.lit(as_day(start)))
-    return records.filter(day <= F.lit(as_day(stop)))

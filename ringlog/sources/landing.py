@@ -24,8 +24,13 @@ REQUEST_LIMIT = 100_000
 REQUEST_TARGET = 70_000
 
 
-def _records(envelopes: DataFrame, start: Day, stop: Day) -> DataFrame:
-    records = envelopes.select(F.explode("response.data").alias("r")).select("r.*")
+def unwrap(envelopes: DataFrame) -> DataFrame:
+    """The records of responses, one row each."""
+    return envelopes.select(F.explode("response.data").alias("r")).select("r.*")
+
+
+def records_between(records: DataFrame, start: Day = None, stop: Day = None) -> DataFrame:
+    """The records a request for these days would have returned."""
     day = parse_date(F.col("date"))
     if start is not None:
         records = records.filter(day >= F.lit(as_day(start)))
@@ -43,7 +48,7 @@ def read_responses(
 ) -> DataFrame:
     """Records of the responses in a folder, as text; none is a valid result."""
     reader = spark.read.schema(ENVELOPE).option("multiLine", str(multi_line).lower())
-    return _records(reader.json(path), start, stop)
+    return records_between(unwrap(reader.json(path)), start, stop)
 
 
 def parse_responses(
@@ -51,7 +56,8 @@ def parse_responses(
 ) -> DataFrame:
     """S6 for response bodies that are held in a text column."""
     body = F.col(body) if isinstance(body, str) else body
-    return _records(responses.select(F.from_json(body, ENVELOPE).alias("e")).select("e.*"), start, stop)
+    envelopes = responses.select(F.from_json(body, ENVELOPE).alias("e")).select("e.*")
+    return records_between(unwrap(envelopes), start, stop)
 
 
 def chunk_plan(
@@ -64,12 +70,15 @@ def chunk_plan(
     """Ranges of days to request one by one, about target rows each.
 
     All days from start to stop are covered once, also those without calls. Up
-    to limit rows need one range only. oversize marks a single day over the
-    limit, which days cannot split.
+    to limit rows need one range only. A day of more than limit - target rows
+    has its own range, so that no range of several days is over the limit;
+    oversize marks a single day that is, which days cannot split.
 
     The running sums go over the days of the calendar, not over calls.
     """
-    per_day = calls.groupBy("call_date").agg(F.count("*").alias("n")).filter("call_date is not null")
+    per_day = calls.filter("call_date is not null").groupBy("call_date").agg(
+        F.count("*").alias("n")
+    )
     bounds = per_day.agg(F.min("call_date").alias("oldest"), F.max("call_date").alias("newest"))
     first = F.coalesce(F.lit(as_day(start)).cast("date"), F.col("oldest"))
     last = F.coalesce(F.lit(as_day(stop)).cast("date"), F.col("newest"))
@@ -77,17 +86,19 @@ def chunk_plan(
     days = days.join(per_day, "call_date", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
     so_far = Window.orderBy("call_date")
-    everything = Window.partitionBy()
-    before = F.sum("n").over(so_far) - F.col("n")
-    # A day belongs to the chunk its middle row falls into, so that a large
-    # day does not pull its neighbours over the limit.
-    middle = before + F.col("n") / 2
-    chunk = F.when(F.sum("n").over(everything) <= limit, F.lit(0)).otherwise(
-        F.floor(middle / target)
+    total = F.sum("n").over(Window.partitionBy())
+    heavy = F.col("n") > limit - target
+    days = days.select(
+        "call_date",
+        "n",
+        (total > limit).alias("split"),
+        heavy.alias("heavy"),
+        F.count_if(heavy).over(so_far).alias("heavy_so_far"),
+        F.floor((F.sum("n").over(so_far) - F.col("n")) / target).alias("step"),
     )
+    piece = F.when(F.col("split"), F.struct("heavy_so_far", "heavy", "step"))
     return (
-        days.withColumn("piece", chunk.cast("bigint"))
-        .groupBy("piece")
+        days.groupBy(piece.alias("piece"))
         .agg(
             F.min("call_date").alias("start"),
             F.max("call_date").alias("stop"),

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ringlog.functions.calendar import Day
 from ringlog.plans.tables import refresh_table
-from ringlog.sources.landing import ENVELOPE
+from ringlog.sources.landing import ENVELOPE, unwrap
 
 
 def follow_landing(
@@ -23,19 +22,19 @@ def follow_landing(
 ) -> StreamingQuery:
     """Take up the response files that came since the last run, then stop.
 
-    A file must hold all calls from the table's newest day on, as the response
-    to a request made after it does. The refresh of one batch can be repeated
-    without harm, so a batch that is run again after a failure is no problem.
-    The checkpoint belongs in a shared folder.
+    The files of a batch together must hold all calls from the table's newest
+    day on, so put all responses to one request there before a run. Records
+    that several responses hold are taken once. The refresh of a batch can be
+    repeated without harm, so one that is run again after a failure is no
+    problem. The checkpoint belongs in a shared folder.
     """
 
     def refresh(batch: DataFrame, _: int) -> None:
-        records = batch.select(F.explode("response.data").alias("r")).select("r.*")
+        records = unwrap(batch).distinct()
         refresh_table(batch.sparkSession, path, records, areas, as_of, on_bad, salt)
 
     return (
         spark.readStream.schema(ENVELOPE)
-        .option("maxFilesPerTrigger", 1)
         .json(landing)
         .writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
