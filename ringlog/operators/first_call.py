@@ -60,5 +60,5 @@ def mark_first_calls(
     firsts = firsts.withColumn("is_first", F.lit(True))
     # Joined on the whole identity of the row, so that the calls of one hot
     # caller spread over all tasks.
-    marked = join_back(calls, firsts, ["caller", "call_date", "time_s", *ties])
+    marked = join_back(calls, firsts, [*ties, "caller", "call_date", "time_s"])
     return marked.withColumn("first_call", F.coalesce("is_first", F.lit(False))).drop("is_first")

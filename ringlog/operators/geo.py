@@ -8,6 +8,7 @@ which bounds what is broadcast, whatever the number of calls.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,14 @@ ON_BAD = ("error", "null", "flag")
 
 
 def area_lookup(areas: DataFrame, columns: Sequence[str] = AREA_COLUMNS) -> DataFrame:
-    """One row per area code: code, its attributes, and how many names it has."""
-    found = [c for c in columns if c in areas.columns]
+    """One row per area code: code, its attributes, and whether its name is clear."""
+    found = [c for c in columns if c in areas.columns and c != "area_name"]
     return (
         areas.filter(F.col("area_code").rlike(AREA_CODE))
         .groupBy("area_code")
         .agg(
-            F.min(F.struct("area_name", *[c for c in found if c != "area_name"])).alias("area"),
-            F.count_distinct("area_name").alias("names"),
+            F.min(F.struct("area_name", *found)).alias("area"),
+            (F.min("area_name") != F.max("area_name")).alias("several"),
         )
     )
 
@@ -63,7 +64,7 @@ def attach_area(
         side = lookup.select(
             F.col("area_code").alias(f"code_{length}"),
             F.col("area").alias(f"area_{length}"),
-            F.col("names").alias(f"names_{length}"),
+            F.col("several").alias(f"several_{length}"),
         )
         prefix = F.when(F.col("is_landline"), F.substring("caller", 1, length))
         located = located.join(side, prefix == F.col(f"code_{length}"), "left")
@@ -71,14 +72,13 @@ def attach_area(
     def longest(name: str) -> Column:
         return F.coalesce(*[F.col(f"{name}_{length}") for length in PREFIX_LENGTHS])
 
-    names = F.array(*[F.col(f"area_{length}.area_name") for length in PREFIX_LENGTHS])
-    more = sum(
-        (F.coalesce(F.col(f"names_{length}") - 1, F.lit(0)) for length in PREFIX_LENGTHS),
-        F.lit(0),
-    )
-    matches = F.when(
-        F.col("is_landline"), F.size(F.array_distinct(F.array_compact(names))) + more
-    ).cast("bigint")
+    # Different names found, where no match at some length counts as a name of
+    # its own; a code that has several names itself is worth one more.
+    names = [F.col(f"area_{length}.area_name") for length in PREFIX_LENGTHS]
+    missed = reduce(Column.__or__, [name.isNull() for name in names])
+    several = [F.coalesce(F.col(f"several_{n}").cast("int"), F.lit(0)) for n in PREFIX_LENGTHS]
+    count = F.size(F.array_distinct(F.array(*names))) - missed.cast("int")
+    matches = F.when(F.col("is_landline"), reduce(Column.__add__, several, count)).cast("bigint")
     if on_bad == "error":
         complaint = F.concat(
             F.lit("landline number does not match exactly one area: "),

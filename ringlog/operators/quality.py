@@ -144,7 +144,7 @@ def assert_distinct(calls: DataFrame) -> None:
 def missing_days(calls: DataFrame) -> DataFrame:
     """Days without a call between the first and the last; none is good."""
     days = calls.select("call_date").distinct()
-    wanted = calls.agg(
+    wanted = days.agg(
         F.min("call_date").alias("oldest"), F.max("call_date").alias("newest")
     ).select(F.explode(F.sequence("oldest", "newest")).alias("call_date"))
     return wanted.join(days, "call_date", "left_anti")

@@ -111,15 +111,15 @@ ALL_STATES = "Alle"
 
 
 def state_table(spark: SparkSession) -> DataFrame:
-    """The sixteen states as a table of (state, state_code)."""
-    return spark.createDataFrame(STATES, "state string, state_code string")
+    """The sixteen states as a table of (state, state_code).
+
+    Written as values in SQL, so that its size is known to the optimizer.
+    """
+    rows = ", ".join(f"('{state}', '{code}')" for state, code in STATES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(state, state_code)")
 
 
 def text_or_null(value: Column) -> Column:
     """Cells that are empty or say NA hold no value."""
     trimmed = F.trim(value)
     return F.when(~trimmed.isin("", "NA"), trimmed)
-
-
-def empty_calls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], CALLS)
