@@ -1,0 +1,126 @@
+"""Plans and skew: no nested loops, no Python, no group held by one task."""
+
+import pytest
+from compare import spark_bag
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ringlog.operators import attempts, quality
+from ringlog.operators.first_call import mark_first_calls
+from ringlog.plans.queries import QUERIES
+from ringlog.schema import CALLS
+
+WRITES = {"annual_roundtrip"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
+def test_plan(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("NestedLoop", "CartesianProduct", "Python", "Arrow", "MapInPandas"):
+        assert unwanted not in plan
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Make a few thousand rows behave like many: no broadcasts, low skew limits."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4kb",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.fixture(scope="module")
+def hot_calls(spark):
+    """A third of the calls come without a number, on one day."""
+    n = F.col("n")
+    hot = n % 3 == 0
+    columns = {
+        "id": n.cast("string"),
+        "call_date": F.when(hot, F.lit("2024-03-04")).otherwise(
+            F.date_add(F.lit("2024-01-01").cast("date"), (n % 97).cast("int")).cast("string")
+        ).cast("date"),
+        "time_s": F.when(hot, 1).otherwise(n % 86400).cast("int"),
+        "caller": F.when(~hot, F.concat(F.lit("00493"), (n % 3000).cast("string"))),
+        "duration_in": (n % 7).cast("int"),
+        "duration_out": (n % 5).cast("int"),
+        "success": n % 2 == 0,
+        "is_landline": F.lit(True),
+    }
+    rows = spark.range(0, 24000, 1, 12).withColumnRenamed("id", "n")
+    return rows.select(
+        *[
+            columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in CALLS
+            if f.name != "first_call"
+        ]
+    )
+
+
+def final_plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statistics_of_a_hot_caller_are_joined_in_parts(spark, hot_calls, small_partitions):
+    for frame in (attempts.with_attempts(hot_calls), quality.with_multiplicity(hot_calls)):
+        plan = final_plan(frame)
+        assert "SortMergeJoin(skew=true)" in plan
+        assert "Window" not in plan
+    hot = attempts.with_attempts(hot_calls).filter("caller is null").first()
+    assert (hot.attempts, hot.successes) == (8000, 4000)
+    assert quality.with_multiplicity(hot_calls).filter("caller is null").first().n == 8000
+
+
+def test_first_calls_of_a_hot_caller_spread(spark, hot_calls, small_partitions):
+    marked = mark_first_calls(hot_calls)
+    plan = final_plan(marked)
+    assert "SortMergeJoin" in plan and "Window" not in plan
+    firsts = marked.filter("first_call").collect()
+    assert len(firsts) == hot_calls.select("caller").distinct().count()
+    assert [row.id for row in firsts if row.caller is None] == ["0"]
+
+    # Rows of the hot caller, by the task that joins them.
+    per_task = (
+        marked.filter("caller is null").groupBy(F.spark_partition_id().alias("task")).count()
+    )
+    assert max(row["count"] for row in per_task.collect()) < 2000
+
+
+def test_copies_without_id(spark, hot_calls):
+    copies = hot_calls.drop("id")
+    marked = mark_first_calls(copies)
+    assert marked.count() == copies.count()
+    hot = marked.filter("caller is null").groupBy("first_call").count().collect()
+    assert {row.first_call: row["count"] for row in hot} == {True: 1, False: 7999} or {
+        row.first_call: row["count"] for row in hot
+    } == {False: 7999, True: 1}
+
+
+def test_aggregates_combine_before_the_shuffle(spark, hot_calls):
+    for frame in (
+        attempts.caller_days(hot_calls),
+        quality.multiplicities(hot_calls),
+        quality.calls_per_day(hot_calls),
+    ):
+        assert "partial_count" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_schema_is_flat():
+    assert not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in CALLS)
+
+
+def test_no_broadcast_gives_the_same_result(spark, sf_dir, small_partitions):
+    for name in ("period_week", "attempt_hist", "dup_by_year", "origin_long"):
+        frame = QUERIES[name](spark, sf_dir)
+        columns, rows = spark_bag(frame)
+        assert rows
