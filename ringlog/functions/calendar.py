@@ -14,22 +14,25 @@ Day = dt.date | str | None
 
 
 def parse_date(text: Column) -> Column:
-    """A date, or null where the text is none."""
+    """Year, month and day, with hyphens or without; else null."""
     text = F.trim(text)
-    return F.coalesce(F.try_to_date(text, "yyyy-M-d"), F.try_to_date(text, "yyyyMMdd"))
+    parted = F.concat_ws(
+        "-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)
+    )
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date")).when(
+        text.rlike(r"^\d{8}$"), parted.try_cast("date")
+    )
 
 
 def parse_clock(text: Column) -> Column:
     """HH:MM:SS as seconds since midnight, or null."""
     text = F.trim(text)
     valid = text.rlike(r"^([01]?\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?$")
-    parts = F.split(text, "[:.]")
-    seconds = (
-        F.try_element_at(parts, F.lit(1)).try_cast("int") * 3600
-        + F.try_element_at(parts, F.lit(2)).try_cast("int") * 60
-        + F.try_element_at(parts, F.lit(3)).try_cast("int")
-    )
-    return F.when(valid, seconds)
+    to_minute = F.substring_index(text, ":", 2)
+    hours = F.substring_index(text, ":", 1).try_cast("int")
+    minutes = F.substring_index(to_minute, ":", -1).try_cast("int")
+    seconds = F.substring(F.substring_index(text, ":", -1), 1, 2).try_cast("int")
+    return F.when(valid, hours * 3600 + minutes * 60 + seconds)
 
 
 def clock_text(time_s: Column) -> Column:

@@ -4,28 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringlog.operators.groups import collapse_copies, join_back, unfold_copies
 
-def _earliest(calls: DataFrame, tie_columns: list[str]) -> DataFrame:
-    """The earliest call of each caller by date, time and the tie columns.
 
-    Calls without a date or time come last. Ids count as numbers do: a longer
-    one is larger.
-    """
-    order = [
-        F.coalesce("call_date", F.lit(dt.date(9999, 12, 31))).alias("late_date"),
-        F.coalesce("time_s", F.lit(86400)).alias("late_time"),
-        *[F.length("id").alias("id_length") for c in tie_columns if c == "id"],
-    ]
-    kept = ["call_date", "time_s", *tie_columns]
-    return (
-        calls.groupBy("caller")
-        .agg(F.min(F.struct(*order, *kept)).alias("first"))
-        .select("caller", *[F.col(f"first.{c}").alias(c) for c in kept])
-    )
+def _moment() -> Column:
+    """Date and time as one number; without a date or time after all others."""
+    day = F.unix_date(F.coalesce("call_date", F.lit(dt.date(9999, 12, 31)))).cast("bigint")
+    return day * 86401 + F.coalesce("time_s", F.lit(86400))
 
 
 def mark_first_calls(
@@ -35,9 +23,12 @@ def mark_first_calls(
 ) -> DataFrame:
     """Set first_call: true on the first call of each caller, else false.
 
-    Give it the whole history, before any filter on dates. With known_callers
-    (distinct, column caller) the calls continue a history in which those have
-    called before, and only the others get a first call.
+    Calls are ordered by date, time and id, where a longer id is larger, as
+    for numbers; without an id by all other columns. Withheld numbers (null)
+    are one caller. Give it the whole history, before any filter on dates.
+
+    With known_callers (distinct, column caller) the calls continue a history
+    in which those have called before, and only the others get a first call.
 
     rows_unique says that no two rows are equal, which an id guarantees and
     which is assumed where there is one. Otherwise equal rows are collapsed
@@ -52,13 +43,25 @@ def mark_first_calls(
             *calls.columns, (F.col("first_call") & (F.col("copy_no") == 0)).alias("first_call")
         )
 
-    others = [c for c in calls.columns if c not in ("caller", "call_date", "time_s", "copies")]
-    ties = ["id"] if "id" in calls.columns else others
-    firsts = _earliest(calls, ties)
+    if "id" in calls.columns:
+        ties, order = ["id"], [F.length("id").alias("id_length"), "id"]
+    else:
+        known = ("caller", "call_date", "time_s", "copies")
+        ties = order = [c for c in calls.columns if c not in known]
+    timed = calls.withColumn("moment", _moment())
+    # One row per caller, combined before the shuffle.
+    firsts = (
+        timed.groupBy("caller")
+        .agg(F.min(F.struct("moment", *order)).alias("first"))
+        .select("caller", "first.moment", *[F.col(f"first.{c}").alias(c) for c in ties])
+    )
     if known_callers is not None:
         firsts = join_back(firsts, known_callers.select("caller"), ["caller"], "left_anti")
-    firsts = firsts.withColumn("is_first", F.lit(True))
     # Joined on the whole identity of the row, so that the calls of one hot
     # caller spread over all tasks.
-    marked = join_back(calls, firsts, [*ties, "caller", "call_date", "time_s"])
-    return marked.withColumn("first_call", F.coalesce("is_first", F.lit(False))).drop("is_first")
+    marked = join_back(
+        timed, firsts.withColumn("is_first", F.lit(True)), [*ties, "caller", "moment"]
+    )
+    return marked.withColumn("first_call", F.coalesce("is_first", F.lit(False))).drop(
+        "moment", "is_first"
+    )

@@ -37,44 +37,33 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phone number of each customer, with the area of those by landline."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    key = F.col("c_custkey")
-    mobile = key % 20 < 9
-    area = areas(spark, sf_dir)
-    return customer.join(area, customer.c_nationkey == area.n_nationkey).select(
-        key,
-        F.when(mobile, F.concat(F.lit("004915"), _padded(key, 8)))
-        .otherwise(F.concat("area_code", _padded(key, 7)))
-        .alias("caller"),
-        *[
-            F.when(~mobile, F.col(c)).alias(c)
-            for c in ("area_code", "area_name", "state", "plz")
-        ],
-    )
-
-
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned calls, callers not hashed, without first_call."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    numbers = _numbers(spark, sf_dir)
-    key = F.col("o_orderkey")
-    return orders.join(numbers, orders.o_custkey == numbers.c_custkey).select(
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    # The two keys are joined on first, and text is made only after that, so
+    # that the customer side is small while its size is compared.
+    located = orders.join(
+        customer.select("c_custkey", "c_nationkey"), orders.o_custkey == customer.c_custkey
+    ).join(areas(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, person = F.col("o_orderkey"), F.col("o_custkey")
+    mobile = person % 20 < 9
+    return located.select(
         key.cast("string").alias("id"),
         F.col("o_orderdate").cast("date").alias("call_date"),
         (key * 7919 % 86400).cast("int").alias("time_s"),
-        "caller",
+        F.when(mobile, F.concat(F.lit("004915"), _padded(person, 8)))
+        .otherwise(F.concat("area_code", _padded(person, 7)))
+        .alias("caller"),
         (key % 1500).cast("int").alias("duration_in"),
         (F.floor("o_totalprice") % 2000).cast("int").alias("duration_out"),
         (F.col("o_orderstatus") != "P").alias("success"),
-        "area_code",
-        "area_name",
-        "state",
-        "plz",
-        is_landline(F.col("caller")).alias("is_landline"),
+        *[
+            F.when(~mobile, F.col(c)).alias(c)
+            for c in ("area_code", "area_name", "state", "plz")
+        ],
         F.lit(None).cast("string").alias("module"),
-    )
+    ).withColumn("is_landline", is_landline(F.col("caller")))
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
