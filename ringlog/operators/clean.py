@@ -85,5 +85,5 @@ def repair_umlauts(calls: DataFrame, column: str = "state") -> DataFrame:
 def adopt_legacy_column(
     calls: DataFrame, old: str = "landline", new: str = "is_landline"
 ) -> DataFrame:
-    """Copy a legacy column to its new name."""
-    return calls.withColumn(new, F.col(old))
+    """Copy a legacy column to its new name, as the type it has there."""
+    return calls.withColumn(new, typed(new, F.col(old).cast("string")))

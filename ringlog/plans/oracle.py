@@ -63,15 +63,15 @@ _CTES = {
         FROM calls""",
     "rerouted": """
         SELECT id, call_date, time_s, caller,
-               CASE WHEN id::BIGINT % 50 = 0 THEN 0 ELSE duration_in END AS duration_in,
-               CASE WHEN id::BIGINT % 50 = 0 THEN 0 ELSE duration_out END AS duration_out,
-               success AND id::BIGINT % 50 <> 0 AS success,
+               CASE WHEN duration_out < 40 THEN 0 ELSE duration_in END AS duration_in,
+               CASE WHEN duration_out < 40 THEN 0 ELSE duration_out END AS duration_out,
+               success AND duration_out >= 40 AS success,
                area_code, area_name, state, plz, is_landline, 'Hotline' AS module
         FROM calls
         UNION ALL
         SELECT 'r' || id, call_date, time_s, caller, 0, 0, FALSE,
                area_code, area_name, state, plz, is_landline, 'Routingpunkt Easy'
-        FROM calls WHERE id::BIGINT % 50 = 0""",
+        FROM calls WHERE duration_out < 40""",
     "event_calls": """
         SELECT event_id::VARCHAR AS id, ts::DATE AS call_date,
                (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::INTEGER AS time_s,
@@ -226,9 +226,9 @@ def _pivot() -> str:
     )
 
 
-# Chunks by a walk over the days, one after the other.
+# Chunks by running sums over all days.
 _CHUNKS = """
-    , RECURSIVE_DAYS AS (
+    , days AS (
         SELECT d::DATE AS call_date, coalesce(n, 0) AS n
         FROM (SELECT unnest(generate_series(min(call_date)::TIMESTAMP, max(call_date)::TIMESTAMP,
                                             INTERVAL 1 DAY)) AS d FROM daily) s
@@ -237,7 +237,7 @@ _CHUNKS = """
         SELECT *, sum(n) OVER (ORDER BY call_date) - n AS before,
                sum((n > 300)::INTEGER) OVER (ORDER BY call_date) AS heavy_so_far,
                sum(n) OVER () AS total
-        FROM RECURSIVE_DAYS),
+        FROM days),
     pieces AS (
         SELECT *, CASE WHEN total <= 1000 THEN 'all'
                        ELSE heavy_so_far || '/' || (n > 300) || '/' || floor(before / 700) END AS piece

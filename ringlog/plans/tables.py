@@ -1,20 +1,21 @@
-"""Jobs that write the fact table."""
+"""Jobs that write the fact table."""
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ringlog.functions.calendar import Day, in_period
-from ringlog.operators.clean import clean_calls, repair_umlauts
+from ringlog.functions.calendar import Day
+from ringlog.operators.clean import adopt_legacy_column, clean_calls, repair_umlauts
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.refresh import last_day, new_rows
 from ringlog.session import work_path
 from ringlog.sources.files import read_annual, read_legacy
 from ringlog.sources.landing import records_between
-from ringlog.sources.table import read_calls, write_calls
+from ringlog.sources.table import read_calls, replace_years, write_calls
 
 
 def build_table(
@@ -26,11 +27,19 @@ def build_table(
 
 
 def import_annual(
-    spark: SparkSession, folder: str, path: str, repair: bool = False
+    spark: SparkSession,
+    folder: str,
+    path: str,
+    repair: bool = False,
+    legacy_column: str | None = None,
 ) -> DataFrame:
-    """S1 to S10, with P17 on request."""
+    """S1 to S10; on request with P17, and P18 for files that name is_landline otherwise."""
     calls = read_annual(spark, folder)
-    return build_table(spark, repair_umlauts(calls) if repair else calls, path)
+    if repair:
+        calls = repair_umlauts(calls)
+    if legacy_column:
+        calls = adopt_legacy_column(calls, legacy_column)
+    return build_table(spark, calls, path)
 
 
 def split_legacy(spark: SparkSession, file: str, path: str) -> DataFrame:
@@ -54,30 +63,33 @@ def refresh_table(
 
     Only the years touched are rewritten. They are written whole to the
     shared work folder first and replaced from there, so a run that fails
-    while reading, cleaning or joining leaves the table as it was, and one
-    that fails while replacing can be repeated from the staged copy.
+    while reading, cleaning or joining leaves the table as it was. If it fails
+    while replacing, replace_years can be repeated with refresh_stage(path).
     """
     current = read_calls(spark, path)
     newest_year = current.agg(F.max("year")).first()[0]
     start = last_day(current.filter(F.col("year") == newest_year))
-    fetched = clean_calls(records_between(records, start, as_of), areas, on_bad=on_bad, salt=salt)
+    fetched = clean_calls(
+        records_between(records, start, as_of), areas, on_bad=on_bad, salt=salt
+    )
     if fetched.isEmpty():
         return start, 0
-    added = new_rows(current.drop("year"), fetched, start)
+    count = Observation("refresh")
+    added = new_rows(current.drop("year"), fetched, start).observe(
+        count, F.count(F.lit(1)).alias("rows")
+    )
     kept = current.filter(
         (F.col("year") >= start.year) & (F.col("call_date") < F.lit(start))
     ).drop("year")
-    count = Observation("refresh")
-    staged = work_path(spark, "refresh")
-    added = added.observe(count, F.count(F.lit(1)).alias("rows"))
+    staged = refresh_stage(spark, path)
     write_calls(kept.unionByName(added, allowMissingColumns=True), staged)
 
-    years = [row.year for row in read_calls(spark, staged).select("year").distinct().collect()]
-    write_calls(read_calls(spark, staged).drop("year"), path, years=years)
-    if start.year not in years:
-        # Its only day was replaced by none, and an overwrite keeps partitions
-        # it has no rows for.
-        nothing = read_calls(spark, staged).drop("year").limit(0)
-        nothing.write.mode("overwrite").parquet(f"{path}/year={start.year}")
-    spark.catalog.refreshByPath(path)
+    found = read_calls(spark, staged).select("year").distinct().collect()
+    replace_years(spark, staged, path, {start.year, *(row.year for row in found)})
     return start, count.get["rows"]
+
+
+def refresh_stage(spark: SparkSession, path: str) -> str:
+    """Where the years of a table are staged; the next refresh uses it again."""
+    name = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+    return work_path(spark, f"refresh-{name}", unique=False)

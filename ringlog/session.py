@@ -26,10 +26,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the folder named by spark.checkpoint.dir.
+def work_path(spark: SparkSession, name: str, unique: bool = True) -> str:
+    """A path for a written table in the folder named by spark.checkpoint.dir.
 
-    A machine-local folder is only good enough when the executors are threads
+    The path is new on every call, unless unique is off. A machine-local folder is only good enough when the executors are threads
     of this process; on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -37,4 +37,5 @@ def work_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ringlog-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}"
+    return f"{path}-{uuid.uuid4().hex}" if unique else path

@@ -84,14 +84,12 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerouted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All calls, and a second entry for every fiftieth, as rerouting makes it."""
-    every = calls(spark, sf_dir).withColumn("again", F.col("id").cast("bigint") % 50 == 0)
-    entry = F.explode(
-        F.when(F.col("again"), F.array(F.lit(False), F.lit(True))).otherwise(
-            F.array(F.lit(False))
-        )
+    """All calls, and a second entry for those that are rerouted: the shortest."""
+    again = F.col("duration_out") < 40
+    entry = F.when(again, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    entries = (
+        calls(spark, sf_dir).withColumn("again", again).withColumn("rerouted", F.explode(entry))
     )
-    entries = every.withColumn("rerouted", entry)
     silent = F.when(F.col("again"), F.lit(0))
     return entries.withColumns(
         {

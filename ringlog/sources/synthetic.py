@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ringlog.operators.geo import area_lookup
+
 # Fixed values of the made-up data.
 CALLS = 800_000
 CALLERS = 30_000
@@ -36,13 +38,13 @@ def synthetic_calls(
         return part % below
 
     days = (LAST_DAY - FIRST_DAY).days + 1
-    # At most as many rows as there are codes, see operators.geo.
-    numbered = areas.select(
+    # One row per code, of which there is a bounded number, see operators.geo.
+    numbered = area_lookup(areas).select(
         "area_code",
         (F.row_number().over(Window.orderBy("area_code")) - 1).cast("bigint").alias("area_no"),
-        *[c for c in ("area_name", "state", "plz") if c in areas.columns],
+        "area.*",
     )
-    count = areas.count()
+    count = numbered.count()
     return (
         numbers.select("n", digest.alias("digest"))
         .select(
@@ -57,7 +59,7 @@ def synthetic_calls(
             (draw(7, 100) < FIRST_CALL_PERCENT).alias("first_call"),
             draw(8, count).alias("area_no"),
         )
-        .join(numbered, "area_no", "inner")
+        .join(F.broadcast(numbered), "area_no", "inner")
         .drop("area_no")
     )
 

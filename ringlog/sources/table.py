@@ -69,3 +69,21 @@ def write_calls(
         writer.option("header", "true").option("escape", '"').option("nullValue", "NA").csv(path)
     else:
         writer.parquet(path)
+
+
+def replace_years(spark: SparkSession, staged: str, path: str, years: Sequence[int]) -> None:
+    """R2: put the given years of a staged table in the place of those on disk.
+
+    Oldest first, so that after a failure the newest day on disk is still the
+    day to refresh from. Can be repeated as long as the staged table is there.
+    """
+    for year in sorted(years):
+        rows = read_calls(spark, staged).filter(F.col("year") == year)
+        if rows.isEmpty():
+            # An overwrite by partitions keeps those it has no rows for.
+            rows.drop("year").write.mode("overwrite").parquet(f"{path}/year={year}")
+            continue
+        rows.sortWithinPartitions("year", *ORDER).write.partitionBy("year").mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").parquet(path)
+    spark.catalog.refreshByPath(path)

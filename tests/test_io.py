@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.period import period_report
 from ringlog.operators.refresh import last_day, refresh_calls
-from ringlog.plans.tables import import_annual, refresh_table, split_legacy
+from ringlog.plans.tables import import_annual, refresh_stage, refresh_table, split_legacy
 from ringlog.schema import FILE_COLUMNS
 from ringlog.session import work_path
 from ringlog.sources import samples
@@ -26,7 +26,7 @@ from ringlog.sources.files import (
 )
 from ringlog.sources.landing import chunk_plan, read_responses
 from ringlog.sources.synthetic import synthetic_calls, synthetic_table
-from ringlog.sources.table import read_calls, write_calls
+from ringlog.sources.table import read_calls, replace_years, write_calls
 from ringlog.streaming.follow import follow_landing
 
 AREAS = [("004930", "Berlin", "Berlin", "10115"), ("004989", "München", "Bayern", "80331")]
@@ -121,6 +121,20 @@ def test_annual_roundtrip_and_import(spark, sf_dir, tmp_path):
     assert spark_bag(table.drop("year")) == spark_bag(calls)
 
 
+def test_import_with_a_legacy_column(spark, tmp_path):
+    folder = tmp_path / "annual"
+    folder.mkdir()
+    text(
+        folder / "2020.csv",
+        "id,date,time,caller,Bundesland,landline\n1,2020-01-02,10:00:00,a,Thueringen,TRUE\n",
+    )
+    table = import_annual(
+        spark, str(folder), str(tmp_path / "table"), repair=True, legacy_column="landline"
+    )
+    row = table.first()
+    assert (row.is_landline, row.state, row.first_call) == (True, "Thüringen", True)
+
+
 def test_files_are_sorted_and_years_pruned(spark, sf_dir, tmp_path):
     path = str(tmp_path / "table")
     write_calls(mark_first_calls(samples.calls(spark, sf_dir)), path)
@@ -371,6 +385,18 @@ def test_year_that_loses_its_only_day(spark, tmp_path):
     ]
 
 
+def test_replacing_can_be_repeated(spark, stored):
+    areas = makers.areas(spark, AREAS)
+    refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
+    done = spark_bag(read_calls(spark, stored))
+    read_calls(spark, stored).limit(0).drop("year").write.mode("overwrite").parquet(
+        f"{stored}/year=2023"
+    )
+    assert spark_bag(read_calls(spark, stored)) != done
+    replace_years(spark, refresh_stage(spark, stored), stored, [2023, 2024])
+    assert spark_bag(read_calls(spark, stored)) == done
+
+
 def test_follow_landing(spark, stored, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
