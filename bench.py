@@ -39,7 +39,7 @@ HEADLINE = [
     "dup_multiplicity",
     "dedup_calls",
     "daily_box_stats",
-    "chunk_plan_days",
+    "chunk_plan",
     "refresh_replace_day",
     "annual_roundtrip",
     "synth_calls",

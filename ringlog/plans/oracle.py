@@ -211,17 +211,27 @@ def _dup_crosstab(value: str, name: str) -> str:
     )
 
 
-def _pivot() -> str:
+def _pivot(shown: bool = False) -> str:
+    """One column per origin and measure, by column name or by heading."""
+    head = {"calls": "Anrufe", "callers": "Anrufer*innen", "first_callers": "Erstanrufer*innen"}
+    keys = ["iso_year", "iso_week", "first_date", "last_date"]
+    names = ["Jahr", "Kalenderwoche", "Start", "Ende"] if shown else keys
     ordered = [MOBILE, *sorted({*ORIGINS, UNLABELLED} - {MOBILE})]
     cells = ", ".join(
-        f"coalesce(sum({m}) FILTER (WHERE coalesce(origin, 'NA') = '{o}'), 0)::BIGINT AS {column_of(o, m)}"
+        f"""coalesce(sum({m}) FILTER (WHERE coalesce(origin, 'NA') = '{o}'), 0)::BIGINT
+            AS "{f"{o} {head[m]}" if shown else column_of(o, m)}\""""
         for o in ordered
         for m in MEASURES
     )
-    totals = ", ".join(f"sum({m})::BIGINT AS all_{m}" for m in MEASURES)
+    totals = ", ".join(
+        f'sum({m})::BIGINT AS "{f"Alle {head[m]}" if shown else f"all_{m}"}"' for m in MEASURES
+    )
+    year, week, first, last = names
     return _with(
-        f"""SELECT iso_year::VARCHAR AS iso_year, iso_week, first_date, last_date, {totals}, {cells}
-            FROM origins GROUP BY origins.iso_year, iso_week, first_date, last_date""",
+        f"""SELECT origins.iso_year::VARCHAR AS "{year}", origins.iso_week AS "{week}",
+                   origins.first_date AS "{first}", origins.last_date AS "{last}", {totals}, {cells}
+            FROM origins
+            GROUP BY origins.iso_year, origins.iso_week, origins.first_date, origins.last_date""",
         "origins",
     )
 
@@ -287,6 +297,19 @@ def oracle_sql() -> dict[str, str]:
                 FROM flagged GROUP BY call_date ORDER BY call_date DESC""",
             "flagged",
         ),
+        "shown_week": _with(
+            f"""SELECT iso_year AS "Jahr", iso_week AS "Kalenderwoche", first_date AS "Start",
+                       last_date AS "Ende", calls AS "Anrufe", calls_ok AS "Anrufe (erfolgreich)",
+                       calls_lt_1min AS "Telefonate < 1min",
+                       mean_minutes AS "Mittlere Telefonatdauer (min)",
+                       max_minutes AS "Längstes Telefonat (min)",
+                       callers AS "Versch. Anrufer*innen",
+                       calls_per_caller AS "Mittlere Anrufe pro Anrufer*in",
+                       first_callers AS "Erstanrufer*innen"
+                FROM (SELECT {_ISO}, {_BOUNDS}, {_MEASURES} FROM flagged GROUP BY 1, 2) report""",
+            "flagged",
+        ),
+        "shown_origin": _pivot(shown=True),
         "data_bounds": _with(
             "SELECT min(call_date) AS oldest, max(call_date) AS newest FROM calls", "calls"
         ),
@@ -530,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * EXCLUDE (service, service_caption, tarif) FROM raw", "raw"
         ),
         "record_count": _with("SELECT count(*) AS n FROM calls", "calls"),
-        "chunk_plan_days": _with("", "daily")
+        "chunk_plan": _with("", "daily")
         + _CHUNKS
         + """SELECT row_number() OVER (ORDER BY min(call_date))::INTEGER AS chunk,
                     min(call_date) AS start, max(call_date) AS stop, sum(n)::BIGINT AS n,

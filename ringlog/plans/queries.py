@@ -13,12 +13,12 @@ from ringlog.operators import states as state_reports
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.refresh import last_day, refresh_calls
 from ringlog.operators.view import page
+from ringlog.plans import reports
 from ringlog.schema import state_table
 from ringlog.session import work_path
-from ringlog.sources import samples
+from ringlog.sources import landing, samples
 from ringlog.sources.export import export_name
 from ringlog.sources.files import read_annual
-from ringlog.sources.landing import chunk_plan, parse_responses
 from ringlog.sources.synthetic import synthetic_calls
 from ringlog.sources.table import write_calls
 
@@ -59,6 +59,16 @@ def period_day(spark, sf):
     return period.newest_first(period.period_report(flagged(spark, sf), "day"))
 
 
+@query
+def shown_week(spark, sf):
+    return reports.shown(flagged(spark, sf), "week")
+
+
+@query
+def shown_origin(spark, sf):
+    return reports.shown(flagged(spark, sf), "origin")
+
+
 @query
 def data_bounds(spark, sf):
     return period.data_bounds(samples.calls(spark, sf))
@@ -415,7 +425,7 @@ def six_number_summary(spark, sf):
 def api_records(spark, sf):
     raw = samples.raw_records(spark, sf)
     body = F.to_json(F.struct(F.struct(F.array(F.struct(*raw.columns)).alias("data")).alias("response")))
-    return parse_responses(raw.select(body.alias("body")), "body")
+    return landing.parse_responses(raw.select(body.alias("body")), "body")
 
 
 @query
@@ -435,8 +445,8 @@ def record_count(spark, sf):
 
 
 @query
-def chunk_plan_days(spark, sf):
-    return chunk_plan(samples.calls(spark, sf), limit=1000, target=700)
+def chunk_plan(spark, sf):
+    return landing.chunk_plan(samples.calls(spark, sf), limit=1000, target=700)
 
 
 @query

@@ -10,6 +10,7 @@ from ringlog.operators import attempts, origin, patterns, period, quality, serie
 from ringlog.operators import states as state_reports
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.view import page
+from ringlog.plans import reports
 from ringlog.schema import state_table
 from ringlog.sources import samples
 
@@ -346,3 +347,22 @@ def test_states_mobile_and_unknown_add_up(spark, fact, variable):
     everything = state_reports.count_by_label(fact, variable).agg(F.sum("n")).first()[0]
     assert on_map == totals.landline
     assert totals.mobile + totals.landline + totals.unknown == everything
+
+
+# Reports as shown
+
+
+@pytest.mark.parametrize("kind", ["day", "week", "month", "year", "origin"])
+def test_shown_and_exported(spark, fact, tmp_path, kind):
+    table = reports.shown(fact, kind, "1996-01-01", "1997-12-31")
+    key = {"day": "Tag", "year": "Jahr"}.get(kind, "Start")
+    keys = [row[key] for row in table.collect()]
+    assert keys and keys == sorted(keys, reverse=True)
+    path = reports.export(fact, kind, str(tmp_path), "1996-01-01", "1997-12-31")
+    assert path.rsplit("/", 1)[1].split("_")[0].endswith("tabelle")
+    assert spark.read.option("header", True).csv(path).count() == len(keys)
+
+
+def test_unknown_report(fact):
+    with pytest.raises(ValueError):
+        reports.report(fact, "hour")
