@@ -53,7 +53,10 @@ def read_text_by_name(spark: SparkSession, path: str) -> DataFrame:
     by_header: dict[tuple[str, ...], list[str]] = {}
     for files in by_write.values():
         header = tuple(spark.read.options(**CSV).csv(files[0]).columns)
-        by_header.setdefault(header, []).extend(files)
+        if header:
+            by_header.setdefault(header, []).extend(files)
+    if not by_header:
+        raise FileNotFoundError(f"only empty CSV files in {path}")
     parts = [
         spark.read.options(**CSV).schema(_as_text(header)).csv(files)
         for header, files in by_header.items()

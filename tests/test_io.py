@@ -72,6 +72,11 @@ def test_annual_needs_a_folder_with_files(spark, tmp_path):
         read_annual(spark, "")
     with pytest.raises(FileNotFoundError):
         read_annual(spark, str(tmp_path))
+    text(tmp_path / "2020.csv", "")
+    with pytest.raises(FileNotFoundError):
+        read_annual(spark, str(tmp_path))
+    text(tmp_path / "2021.csv", "id,date\n1,2021-02-03\n")
+    assert read_annual(spark, str(tmp_path)).count() == 1
 
 
 def test_legacy_file_is_positional(spark, tmp_path):
