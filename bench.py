@@ -1,6 +1,6 @@
 """Time the headline queries and print one line of JSON.
 
-BENCH_SF_DIR names the tables, BENCH_CPUS the cores. Each query is run once
+BENCH_SF_DIR names the tables, BENCH_CPUS the cores. All queries are run once
 to warm up; the value is the best of the timed runs, written to a sink that
 takes every row and keeps none.
 """
@@ -58,10 +58,11 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores, int(cores) if cores.isdigit() else 8)
-    times = {}
     for name in names:
         seconds(spark, name, sf_dir)
-        times[name] = round(min(seconds(spark, name, sf_dir) for _ in range(runs)), 3)
+    times = {
+        name: round(min(seconds(spark, name, sf_dir) for _ in range(runs)), 3) for name in names
+    }
     spark.stop()
     print(
         json.dumps(

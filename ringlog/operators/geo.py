@@ -51,7 +51,8 @@ def attach_area(
     is_landline is null pass too, and are for clean_calls to drop.
 
     Each call goes through four broadcast lookups in one stage, with no
-    shuffle, and stays one row.
+    shuffle, and stays one row; so there is no lookup of distinct numbers to
+    put back on the calls (J4).
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"on_bad must be one of {', '.join(ON_BAD)}")
@@ -172,8 +173,8 @@ def attach_area_anywhere(
     return join_back(calls, hits, ["caller"])
 
 
-def area_code_lengths(areas: DataFrame) -> DataFrame:
-    """Length of the codes, with one 0 in place of 0049."""
-    return areas.groupBy((F.length("area_code") - 3).alias("code_length")).agg(
+def area_code_lengths(table: DataFrame) -> DataFrame:
+    """Length of the codes in a table, with one 0 in place of 0049."""
+    return table.groupBy((F.length("area_code") - 3).alias("code_length")).agg(
         F.count("*").alias("n")
     )

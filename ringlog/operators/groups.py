@@ -19,12 +19,19 @@ COPIES_PER_TASK_ROW = 1_000_000
 
 
 def join_back(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys where null equals null; key columns come from the rows."""
-    renamed = stats.withColumnsRenamed({key: f"stat_{key}" for key in keys})
+    """Join on keys where null equals null; key columns come from the rows.
+
+    A digest of the keys goes first, as sorting by one number rarely has to
+    compare the keys themselves.
+    """
+    others = [f"stat_{key}" for key in keys]
+    renamed = stats.withColumnsRenamed(dict(zip(keys, others, strict=True)))
     same = reduce(
-        Column.__and__, [F.col(key).eqNullSafe(F.col(f"stat_{key}")) for key in keys]
+        Column.__and__,
+        [F.col(key).eqNullSafe(F.col(other)) for key, other in zip(keys, others, strict=True)],
+        F.xxhash64(*keys) == F.xxhash64(*others),
     )
-    return rows.join(renamed, same, how).drop(*[f"stat_{key}" for key in keys])
+    return rows.join(renamed, same, how).drop(*others)
 
 
 def with_group_stats(rows: DataFrame, keys: list[str], *stats: Column) -> DataFrame:

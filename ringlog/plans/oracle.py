@@ -371,8 +371,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "area_code_lengths": _with(
             """SELECT (length(area_code) - 3)::INTEGER AS code_length, count(*) AS n
-               FROM areas GROUP BY 1""",
-            "areas",
+               FROM numbered JOIN areas ON is_landline AND starts_with(caller, area_code)
+               GROUP BY 1""",
+            "numbered",
         ),
         "repaired_umlauts": _with("SELECT id, state FROM calls", "calls"),
         "legacy_column": _with(
@@ -405,9 +406,9 @@ def oracle_sql() -> dict[str, str]:
             "by_label",
         ),
         "state_attributes": _with(
-            """SELECT state, n_nationkey AS "OBJECTID", state_code
-               FROM areas JOIN states USING (state)""",
-            "areas",
+            """SELECT state, id AS "OBJECTID", state_code
+               FROM calls JOIN states USING (state)""",
+            "calls",
             "states",
         ),
         "hour_success": _with(

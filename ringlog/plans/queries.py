@@ -167,7 +167,8 @@ def prefix_candidates(spark, sf):
 
 @query
 def area_code_lengths(spark, sf):
-    return geo.area_code_lengths(samples.areas(spark, sf))
+    found = geo.attach_area(_numbered(spark, sf), samples.areas(spark, sf))
+    return geo.area_code_lengths(found.filter("area_code is not null"))
 
 
 @query
@@ -231,8 +232,8 @@ def mobile_landline_totals(spark, sf):
 
 @query
 def state_attributes(spark, sf):
-    attributes = samples.areas(spark, sf).select(
-        F.col("n_nationkey").alias("OBJECTID"), F.col("state").alias("NAME_1")
+    attributes = samples.calls(spark, sf).select(
+        F.col("id").alias("OBJECTID"), F.col("state").alias("NAME_1")
     )
     return state_reports.state_attributes(attributes, state_table(spark))
 
