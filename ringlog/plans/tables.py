@@ -18,11 +18,29 @@ from ringlog.sources.landing import records_between
 from ringlog.sources.table import read_calls, replace_years, write_calls
 
 
+def stage_path(spark: SparkSession, path: str, part: str = "years") -> str:
+    """Where rows on their way to a table are written; each job uses it anew."""
+    name = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+    return work_path(spark, f"stage-{name}/{part}", unique=False)
+
+
+def staged(spark: SparkSession, rows: DataFrame, path: str, part: str) -> DataFrame:
+    """Rows written to the shared work folder and read from there.
+
+    What is parsed, hashed and located is then used several times without
+    doing it again, and a lost executor costs no more than a part of that.
+    """
+    folder = stage_path(spark, path, part)
+    rows.write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def build_table(
     spark: SparkSession, calls: DataFrame, path: str, observe: Observation | None = None
 ) -> DataFrame:
     """Write a whole history with its first calls set, and read it back."""
-    write_calls(mark_first_calls(calls), path, observe=observe)
+    history = staged(spark, calls, path, "history")
+    write_calls(mark_first_calls(history), path, observe=observe)
     return read_calls(spark, path)
 
 
@@ -64,32 +82,24 @@ def refresh_table(
     Only the years touched are rewritten. They are written whole to the
     shared work folder first and replaced from there, so a run that fails
     while reading, cleaning or joining leaves the table as it was. If it fails
-    while replacing, replace_years can be repeated with refresh_stage(path).
+    while replacing, replace_years can be repeated with stage_path(path).
     """
     current = read_calls(spark, path)
     newest_year = current.agg(F.max("year")).first()[0]
     start = last_day(current.filter(F.col("year") == newest_year))
-    fetched = clean_calls(
+    cleaned = clean_calls(
         records_between(records, start, as_of), areas, on_bad=on_bad, salt=salt
     )
+    fetched = staged(spark, cleaned, path, "fetched")
     if fetched.isEmpty():
         return start, 0
-    count = Observation("refresh")
-    added = new_rows(current.drop("year"), fetched, start).observe(
-        count, F.count(F.lit(1)).alias("rows")
-    )
     kept = current.filter(
         (F.col("year") >= start.year) & (F.col("call_date") < F.lit(start))
     ).drop("year")
-    staged = refresh_stage(spark, path)
-    write_calls(kept.unionByName(added, allowMissingColumns=True), staged)
-
-    found = read_calls(spark, staged).select("year").distinct().collect()
-    replace_years(spark, staged, path, {start.year, *(row.year for row in found)})
-    return start, count.get["rows"]
+    added = new_rows(current.drop("year"), fetched, start)
+    years = stage_path(spark, path)
+    write_calls(kept.unionByName(added, allowMissingColumns=True), years)
 
-
-def refresh_stage(spark: SparkSession, path: str) -> str:
-    """Where the years of a table are staged; the next refresh uses it again."""
-    name = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
-    return work_path(spark, f"refresh-{name}", unique=False)
+    found = read_calls(spark, years).select("year").distinct().collect()
+    replace_years(spark, years, path, {start.year, *(row.year for row in found)})
+    return start, fetched.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="ringlog-")
+
+
 def work_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path for a written table in the folder named by spark.checkpoint.dir.
 
@@ -37,6 +43,6 @@ def work_path(spark: SparkSession, name: str, unique: bool = True) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ringlog-")
+        base = _own_folder()
     path = f"{base.rstrip('/')}/{name}"
     return f"{path}-{uuid.uuid4().hex}" if unique else path

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.period import period_report
 from ringlog.operators.refresh import last_day, refresh_calls
-from ringlog.plans.tables import import_annual, refresh_stage, refresh_table, split_legacy
+from ringlog.plans.tables import import_annual, refresh_table, split_legacy, stage_path
 from ringlog.schema import FILE_COLUMNS
 from ringlog.session import work_path
 from ringlog.sources import samples
@@ -398,7 +398,7 @@ def test_replacing_can_be_repeated(spark, stored):
         f"{stored}/year=2023"
     )
     assert spark_bag(read_calls(spark, stored)) != done
-    replace_years(spark, refresh_stage(spark, stored), stored, [2023, 2024])
+    replace_years(spark, stage_path(spark, stored), stored, [2023, 2024])
     assert spark_bag(read_calls(spark, stored)) == done
 
 
