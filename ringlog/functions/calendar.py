@@ -64,7 +64,8 @@ def weekday_no(day: Column) -> Column:
 
 def weekday_label(day: Column) -> Column:
     """P10"""
-    return F.element_at(F.array(*[F.lit(name) for name in WEEKDAYS]), weekday_no(day))
+    # Not element_at, which takes a null index for the last one in ANSI mode.
+    return F.get(F.array(*[F.lit(name) for name in WEEKDAYS]), F.weekday(day))
 
 
 def display_date(day: Column) -> Column:
