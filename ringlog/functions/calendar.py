@@ -41,7 +41,9 @@ def clock_text(time_s: Column) -> Column:
     def two(value: Column) -> Column:
         return F.lpad(F.floor(value).cast("string"), 2, "0")
 
-    return F.concat_ws(":", two(time_s / 3600), two((time_s % 3600) / 60), two(time_s % 60))
+    colon = F.lit(":")
+    minutes, seconds = two((time_s % 3600) / 60), two(time_s % 60)
+    return F.concat(two(time_s / 3600), colon, minutes, colon, seconds)
 
 
 def iso_year(day: Column) -> Column:

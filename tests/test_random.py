@@ -9,10 +9,13 @@ import pytest
 from compare import duck_bag, spark_bag
 from pyspark.sql import functions as F
 
-from ringlog.operators import attempts, origin, patterns, period, quality, series, states
+from ringlog.operators import attempts, clean, geo, origin, patterns, period, quality, series, states
 from ringlog.operators.first_call import mark_first_calls
+from ringlog.operators.refresh import refresh_calls
 from ringlog.plans import oracle
 from ringlog.schema import STATES, state_table
+from ringlog.sources.files import read_annual
+from ringlog.sources.table import write_calls
 
 FLAGGED = """
     SELECT * EXCLUDE (first_call), row_number() OVER (PARTITION BY caller
@@ -234,3 +237,84 @@ def test_quality(both):
         F.count_if("first_call").alias("n")
     )
     assert {row.n for row in firsts.collect()} == {1}
+
+
+# Location
+
+
+@pytest.fixture(scope="module", params=[3, 4])
+def numbers_and_areas(request, spark, tmp_path_factory):
+    """Numbers and codes of few digits, so that codes nest and repeat."""
+    draw = random.Random(request.param)
+
+    def digits(least, most):
+        return "".join(draw.choice("2345") for _ in range(draw.randint(least, most)))
+
+    codes = [
+        ("0049" + digits(2, 5), draw.choice([None, "A", "B", "C"]), "Berlin", str(i))
+        for i in range(60)
+    ]
+    calls = [
+        (str(i), draw.choice([None, "0049" + digits(0, 9), "491" + digits(1, 5),
+                              "0049" * 2 + digits(2, 5), "00491" + digits(3, 6)]))
+        for i in range(1500)
+    ]
+    folder = tmp_path_factory.mktemp("area")
+    areas = makers.areas(spark, codes)
+    areas.coalesce(1).write.parquet(f"{folder}/areas")
+    table = spark.createDataFrame(calls, "id string, caller string")
+    table = clean.add_is_landline(table)
+    table.coalesce(1).write.parquet(f"{folder}/calls")
+    connection = duckdb.connect()
+    for name in ("areas", "calls"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}/*.parquet'")
+    return table, areas, connection
+
+
+def test_prefix(numbers_and_areas):
+    table, areas, connection = numbers_and_areas
+    found = geo.attach_area(table, areas, on_bad="flag")
+    assert found.count() == table.count()
+    same(
+        found.select("id", "area_code", (F.col("area_matches") > 1).alias("several"),
+                     (F.col("area_matches") == 0).alias("none")),
+        connection,
+        """SELECT id, max_by(area_code, length(area_code)) AS area_code,
+                  CASE WHEN is_landline THEN count(DISTINCT area_name) > 1 END AS several,
+                  CASE WHEN is_landline THEN count(DISTINCT area_name) = 0 END AS "none"
+           FROM calls LEFT JOIN (SELECT * FROM areas WHERE area_name IS NOT NULL) a
+             ON is_landline AND starts_with(caller, area_code)
+           GROUP BY id, is_landline""",
+    )
+
+
+def test_anywhere(numbers_and_areas):
+    table, areas, connection = numbers_and_areas
+    same(
+        geo.attach_area_anywhere(table, areas).select("id", "area_code"),
+        connection,
+        """SELECT id, area_code FROM calls
+           LEFT JOIN (SELECT DISTINCT area_code FROM areas) a ON contains(caller, area_code)""",
+    )
+
+
+# Files
+
+
+def test_csv_roundtrip(both, spark, tmp_path):
+    _, marked, _ = both
+    write_calls(marked, str(tmp_path / "annual"), format="csv")
+    again = read_annual(spark, str(tmp_path / "annual"))
+    assert spark_bag(again) == spark_bag(marked.filter("call_date is not null"))
+
+
+def test_refresh_continues_the_history(both):
+    """Stored to some day and refreshed, the table is as if loaded at once."""
+    _, marked, _ = both
+    dated = marked.filter("call_date is not null")
+    for day in ("2023-12-20", "2024-01-07", "2024-01-28"):
+        stored = mark_first_calls(dated.filter(F.col("call_date") <= day))
+        fetched = dated.drop("first_call").filter(F.col("call_date") >= day)
+        whole = spark_bag(mark_first_calls(dated))
+        assert spark_bag(refresh_calls(stored, fetched)) == whole
+        assert spark_bag(refresh_calls(stored, fetched, recompute=True)) == whole
