@@ -82,16 +82,15 @@ def as_day(value: Day) -> dt.date | None:
 def in_period(calls: DataFrame, start: Day = None, stop: Day = None) -> DataFrame:
     """Calls from start to stop, both included; null leaves that side open.
 
-    Where the table has its partition column, the same range is put on it, as
-    a range of dates alone prunes no partition.
+    Where the table has its partition columns, the same range is put on them,
+    as a range of dates alone prunes no partition.
     """
-    start, stop = as_day(start), as_day(stop)
-    if start is not None:
-        calls = calls.filter(F.col("call_date") >= F.lit(start))
-        if "year" in calls.columns:
-            calls = calls.filter(F.col("year") >= start.year)
-    if stop is not None:
-        calls = calls.filter(F.col("call_date") <= F.lit(stop))
-        if "year" in calls.columns:
-            calls = calls.filter(F.col("year") <= stop.year)
+    columns = {"call_date": lambda day: day, "year": lambda day: day.year, "day": lambda day: day}
+    for name, part in columns.items():
+        if name not in calls.columns:
+            continue
+        if start is not None:
+            calls = calls.filter(F.col(name) >= F.lit(part(as_day(start))))
+        if stop is not None:
+            calls = calls.filter(F.col(name) <= F.lit(part(as_day(stop))))
     return calls

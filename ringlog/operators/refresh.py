@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ringlog.functions.calendar import Day, in_period
 from ringlog.operators.first_call import mark_first_calls
+from ringlog.operators.groups import join_back
 
 
 def last_day(calls: DataFrame) -> dt.date | None:
@@ -21,10 +22,14 @@ def new_rows(current: DataFrame, fetched: DataFrame, start: Day, stop: Day = Non
 
     Whatever is fetched is later than what is kept, so flags of kept calls
     hold, and a fetched call can only be first if its caller is not in the
-    kept calls. Of the history only the column of callers is read.
+    kept calls. Of the history only the column of callers is read, and of that
+    only those who call again are looked at: the optimizer moves the semi-join
+    before the distinct where the new callers are few enough to broadcast.
     """
-    known = current.filter(F.col("call_date") < F.lit(start)).select("caller").distinct()
-    return mark_first_calls(in_period(fetched, start, stop), known_callers=known)
+    fetched = in_period(fetched, start, stop)
+    history = current.filter(F.col("call_date") < F.lit(start)).select("caller").distinct()
+    known = join_back(history, fetched.select("caller").distinct(), ["caller"], "left_semi")
+    return mark_first_calls(fetched, known_callers=known)
 
 
 def refresh_calls(

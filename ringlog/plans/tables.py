@@ -15,7 +15,7 @@ from ringlog.operators.refresh import last_day, new_rows
 from ringlog.session import work_path
 from ringlog.sources.files import read_annual, read_legacy
 from ringlog.sources.landing import records_between
-from ringlog.sources.table import read_calls, replace_years, write_calls
+from ringlog.sources.table import PARTITIONS, read_calls, replace_partitions, write_calls
 
 
 def stage_path(spark: SparkSession, path: str, part: str = "years") -> str:
@@ -36,11 +36,15 @@ def staged(spark: SparkSession, rows: DataFrame, path: str, part: str) -> DataFr
 
 
 def build_table(
-    spark: SparkSession, calls: DataFrame, path: str, observe: Observation | None = None
+    spark: SparkSession,
+    calls: DataFrame,
+    path: str,
+    by_day: bool = False,
+    observe: Observation | None = None,
 ) -> DataFrame:
     """Write a whole history with its first calls set, and read it back."""
     history = staged(spark, calls, path, "history")
-    write_calls(mark_first_calls(history), path, observe=observe)
+    write_calls(mark_first_calls(history), path, by_day=by_day, observe=observe)
     return read_calls(spark, path)
 
 
@@ -50,6 +54,7 @@ def import_annual(
     path: str,
     repair: bool = False,
     legacy_column: str | None = None,
+    by_day: bool = False,
 ) -> DataFrame:
     """S1 to S10; on request with P17, and P18 for files that name is_landline otherwise."""
     calls = read_annual(spark, folder)
@@ -57,12 +62,14 @@ def import_annual(
         calls = repair_umlauts(calls)
     if legacy_column:
         calls = adopt_legacy_column(calls, legacy_column)
-    return build_table(spark, calls, path)
+    return build_table(spark, calls, path, by_day)
 
 
-def split_legacy(spark: SparkSession, file: str, path: str) -> DataFrame:
+def split_legacy(
+    spark: SparkSession, file: str, path: str, by_day: bool = False
+) -> DataFrame:
     """The former single file as a table by year."""
-    return build_table(spark, read_legacy(spark, file), path)
+    return build_table(spark, read_legacy(spark, file), path, by_day)
 
 
 def refresh_table(
@@ -79,12 +86,14 @@ def refresh_table(
     Returns the day from which calls were replaced and the number of new
     calls. Running it again with the same records changes nothing.
 
-    Only the years touched are rewritten. They are written whole to the
-    shared work folder first and replaced from there, so a run that fails
-    while reading, cleaning or joining leaves the table as it was. If it fails
-    while replacing, replace_years can be repeated with stage_path(path).
+    Only the years touched are rewritten, or in a table by day only the days.
+    They are written whole to the shared work folder first and replaced from
+    there, so a run that fails while reading, cleaning or joining leaves the
+    table as it was. If it fails while replacing, repeat replace_partitions
+    with stage_path(path).
     """
     current = read_calls(spark, path)
+    by_day = "day" in current.columns
     newest_year = current.agg(F.max("year")).first()[0]
     start = last_day(current.filter(F.col("year") == newest_year))
     cleaned = clean_calls(
@@ -93,13 +102,13 @@ def refresh_table(
     fetched = staged(spark, cleaned, path, "fetched")
     if fetched.isEmpty():
         return start, 0
-    kept = current.filter(
-        (F.col("year") >= start.year) & (F.col("call_date") < F.lit(start))
-    ).drop("year")
-    added = new_rows(current.drop("year"), fetched, start)
-    years = stage_path(spark, path)
-    write_calls(kept.unionByName(added, allowMissingColumns=True), years)
-
-    found = read_calls(spark, years).select("year").distinct().collect()
-    replace_years(spark, years, path, {start.year, *(row.year for row in found)})
+    stored = current.drop(*PARTITIONS)
+    changed = new_rows(stored, fetched, start)
+    if not by_day:
+        kept = current.filter(
+            (F.col("year") >= start.year) & (F.col("call_date") < F.lit(start))
+        )
+        changed = kept.drop(*PARTITIONS).unionByName(changed, allowMissingColumns=True)
+    write_calls(changed, stage_path(spark, path), by_day=by_day)
+    replace_partitions(spark, stage_path(spark, path), path, start)
     return start, fetched.count()

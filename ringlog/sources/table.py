@@ -1,7 +1,8 @@
-"""The fact table on disk, partitioned by year."""
+"""The fact table on disk, partitioned by year or by year and day."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,6 +13,7 @@ from ringlog.functions.calendar import Day
 from ringlog.schema import FILE_COLUMNS
 
 ORDER = ["call_date", "time_s", "caller"]
+PARTITIONS = ["year", "day"]
 
 
 def read_calls(spark: SparkSession, path: str, start: Day = None, stop: Day = None) -> DataFrame:
@@ -24,6 +26,7 @@ def write_calls(
     path: str,
     years: Sequence[int] | None = None,
     format: str = "parquet",
+    by_day: bool = False,
     observe: Observation | None = None,
 ) -> None:
     """Write calls by year, sorted by date, time and caller.
@@ -33,11 +36,15 @@ def write_calls(
     written; an observation counts them (rows_in, rows_without_date,
     rows_of_other_years).
 
-    Rows are shuffled by month and rebalanced: adaptive execution cuts what
-    is large into files of its advisory size, whether that is a year, a day or
-    copies of one call, and joins what is small. Unlike a distribution by
-    ranges this takes no extra pass over the calls to sample them. Each file
-    is sorted. CSV files have the headings in which such files are exchanged.
+    by_day also partitions by day, for tables so large that a refresh should
+    not rewrite a year.
+
+    Rows are shuffled by month or day and rebalanced: adaptive execution cuts
+    what is large into files of its advisory size, whether that is a year, a
+    day or copies of one call, and joins what is small. Unlike a distribution
+    by ranges this takes no extra pass over the calls to sample them. Each
+    file is sorted. CSV files have the headings in which such files are
+    exchanged.
     """
     calls = calls.withColumn("year", F.year("call_date"))
     wanted = F.col("year").isNotNull()
@@ -50,40 +57,46 @@ def write_calls(
             F.count_if(F.col("year").isNull()).alias("rows_without_date"),
             F.count_if(F.col("year").isNotNull() & ~wanted).alias("rows_of_other_years"),
         )
-    rows = (
-        calls.filter(wanted)
-        .withColumn("month", F.month("call_date"))
-        .hint("rebalance", "year", "month")
-        .drop("month")
-        .sortWithinPartitions("year", *ORDER)
-    )
+    rows = calls.filter(wanted)
+    if by_day:
+        rows = rows.withColumn("day", F.col("call_date")).hint("rebalance", "year", "day")
+    else:
+        rows = rows.withColumn("month", F.month("call_date")).hint("rebalance", "year", "month")
+        rows = rows.drop("month", "day")
+    rows = rows.sortWithinPartitions("year", *ORDER)
     if format == "csv":
         names = {column: heading for heading, column in FILE_COLUMNS.items()}
         rows = rows.withColumn("time_s", clock_text(F.col("time_s"))).withColumnsRenamed(
             {c: names[c] for c in rows.columns if c in names}
         )
-    writer = rows.write.partitionBy("year").mode("overwrite")
-    if years is not None:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer = (
+        rows.write.partitionBy(*PARTITIONS[: 2 if by_day else 1])
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "static" if years is None else "dynamic")
+    )
     if format == "csv":
         writer.option("header", "true").option("escape", '"').option("nullValue", "NA").csv(path)
     else:
         writer.parquet(path)
 
 
-def replace_years(spark: SparkSession, staged: str, path: str, years: Sequence[int]) -> None:
-    """R2: put the given years of a staged table in the place of those on disk.
+def replace_partitions(spark: SparkSession, staged: str, path: str, first: dt.date) -> None:
+    """R2: put the partitions of a staged table in the place of those on disk.
 
-    Oldest first, so that after a failure the newest day on disk is still the
-    day to refresh from. Can be repeated as long as the staged table is there.
+    first is the day the staged calls replace, whose partition is emptied if
+    no call came for it. Older years go first. Can be repeated as long as the
+    staged table is there, and has to be if it fails.
     """
-    for year in sorted(years):
-        rows = read_calls(spark, staged).filter(F.col("year") == year)
-        if rows.isEmpty():
-            # An overwrite by partitions keeps those it has no rows for.
-            rows.drop("year").write.mode("overwrite").parquet(f"{path}/year={year}")
-            continue
-        rows.sortWithinPartitions("year", *ORDER).write.partitionBy("year").mode(
-            "overwrite"
-        ).option("partitionOverwriteMode", "dynamic").parquet(path)
+    rows = spark.read.parquet(staged)
+    by = [c for c in PARTITIONS if c in rows.columns]
+    # An overwrite by partitions keeps those it has no rows for.
+    replaced = {"year": first.year, "day": first}
+    if rows.filter(F.col(by[-1]) == F.lit(replaced[by[-1]])).isEmpty():
+        folder = "/".join(f"{c}={replaced[c]}" for c in by)
+        rows.drop(*by).limit(0).write.mode("overwrite").parquet(f"{path}/{folder}")
+    for year in sorted(row.year for row in rows.select("year").distinct().collect()):
+        one = rows.filter(F.col("year") == year).sortWithinPartitions("year", *ORDER)
+        one.write.partitionBy(*by).mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).parquet(path)
     spark.catalog.refreshByPath(path)

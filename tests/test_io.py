@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import makers
 import pytest
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.period import period_report
-from ringlog.operators.refresh import last_day, refresh_calls
-from ringlog.plans.tables import import_annual, refresh_table, split_legacy, stage_path
+from ringlog.operators.refresh import last_day, new_rows, refresh_calls
+from ringlog.plans.tables import import_annual, refresh_table, split_legacy, stage_path, staged
 from ringlog.schema import FILE_COLUMNS
 from ringlog.session import work_path
 from ringlog.sources import samples
@@ -26,7 +27,7 @@ from ringlog.sources.files import (
 )
 from ringlog.sources.landing import chunk_plan, read_responses
 from ringlog.sources.synthetic import synthetic_calls, synthetic_table
-from ringlog.sources.table import read_calls, replace_years, write_calls
+from ringlog.sources.table import read_calls, replace_partitions, write_calls
 from ringlog.streaming.follow import follow_landing
 
 AREAS = [("004930", "Berlin", "Berlin", "10115"), ("004989", "München", "Bayern", "80331")]
@@ -153,6 +154,19 @@ def test_files_are_sorted_and_years_pruned(spark, sf_dir, tmp_path):
     assert "PushedFilters: [IsNotNull(call_date), GreaterThanOrEqual(call_date" in plan
 
 
+def test_table_by_day(spark, sf_dir, tmp_path, capsys):
+    path = str(tmp_path / "table")
+    calls = mark_first_calls(samples.calls(spark, sf_dir).filter("year(call_date) = 1997"))
+    write_calls(calls, path, by_day=True)
+    assert spark_bag(read_calls(spark, path).drop("year", "day")) == spark_bag(calls)
+    one = read_calls(spark, path, "1997-03-04", "1997-03-05")
+    wanted = calls.filter(F.col("call_date").between("1997-03-04", "1997-03-05"))
+    assert spark_bag(one.drop("year", "day")) == spark_bag(wanted)
+    one.explain("formatted")
+    filters = re.search(r"PartitionFilters: (.*)", capsys.readouterr().out)[1]
+    assert re.search(r"day#\d+ >= 1997-03-04.*day#\d+ <= 1997-03-05", filters)
+
+
 def test_only_given_years_are_written(spark, tmp_path):
     path = str(tmp_path / "table")
     old = makers.calls(spark, [{"call_date": f"{y}-05-05"} for y in (2020, 2021, 2022)])
@@ -269,6 +283,14 @@ def test_small_range_is_one_chunk(spark):
 # Refresh
 
 
+def test_history_is_cut_to_those_who_call_again(spark, stored, tmp_path):
+    fetched = staged(spark, makers.calls(spark, [{"call_date": "2023-12-31"}]), "x", "fetched")
+    plan = new_rows(read_calls(spark, stored), fetched, dt.date(2023, 12, 31))
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    semi = plan.index("Join LeftSemi")
+    assert "Aggregate" not in plan[semi : plan.index("Relation", semi)]
+
+
 def test_refresh_replaces_the_last_day(spark):
     stored = mark_first_calls(
         makers.calls(
@@ -311,8 +333,8 @@ def test_refresh_of_an_empty_table(spark):
     assert makers.by_id(found, "first_call") == {"1": False, "2": True}
 
 
-@pytest.fixture
-def stored(spark, tmp_path):
+@pytest.fixture(params=[False, True], ids=["by year", "by day"])
+def stored(request, spark, tmp_path):
     path = str(tmp_path / "table")
     calls = makers.calls(
         spark,
@@ -322,7 +344,7 @@ def stored(spark, tmp_path):
             {"id": "3", "call_date": "2023-12-31"},
         ],
     )
-    write_calls(mark_first_calls(calls), path)
+    write_calls(mark_first_calls(calls), path, by_day=request.param)
     return path
 
 
@@ -341,7 +363,7 @@ def batch(spark):
 
 
 def untouched(path):
-    return {file.name: file.stat().st_mtime_ns for file in path.glob("year=2022/*")}
+    return {file.name: file.stat().st_mtime_ns for file in path.glob("year=2022/**/*")}
 
 
 def test_refresh_of_the_table_on_disk(spark, stored, tmp_path):
@@ -378,10 +400,11 @@ def test_failed_refresh_leaves_the_table(spark, stored):
     assert spark_bag(read_calls(spark, stored)) == before
 
 
-def test_year_that_loses_its_only_day(spark, tmp_path):
+@pytest.mark.parametrize("by_day", [False, True])
+def test_last_day_that_is_fetched_empty(spark, tmp_path, by_day):
     path = str(tmp_path / "table")
     calls = makers.calls(spark, [{"id": "1", "call_date": "2022-06-01"}, {"call_date": "2023-01-01"}])
-    write_calls(mark_first_calls(calls), path)
+    write_calls(mark_first_calls(calls), path, by_day=by_day)
     late = makers.records(spark, [{"id": "5", "date": "2024-01-02"}])
     refresh_table(spark, path, late, makers.areas(spark, AREAS), "2024-01-05")
     assert sorted((row.id, row.year) for row in read_calls(spark, path).collect()) == [
@@ -394,11 +417,12 @@ def test_replacing_can_be_repeated(spark, stored):
     areas = makers.areas(spark, AREAS)
     refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
     done = spark_bag(read_calls(spark, stored))
-    read_calls(spark, stored).limit(0).drop("year").write.mode("overwrite").parquet(
-        f"{stored}/year=2023"
+    last = "year=2024/day=2024-01-02" if "day" in done[0] else "year=2024"
+    spark.read.parquet(f"{stored}/{last}").limit(0).write.mode("overwrite").parquet(
+        f"{stored}/{last}"
     )
     assert spark_bag(read_calls(spark, stored)) != done
-    replace_years(spark, stage_path(spark, stored), stored, [2023, 2024])
+    replace_partitions(spark, stage_path(spark, stored), stored, dt.date(2023, 12, 31))
     assert spark_bag(read_calls(spark, stored)) == done
 
 
