@@ -20,47 +20,43 @@ def _as_text(headings: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(heading, T.StringType()) for heading in headings])
 
 
-def _csv_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """CSV files below a folder, each with a name for the write it came from.
+FOLDER = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}
 
-    Only paths are read and brought to the driver. Part files of one Spark
-    write share their header.
+
+def _csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the CSV files below a folder, with a name for the write they came from.
+
+    Part files of one Spark write share their header.
     """
-    paths = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
-    )
+    paths = spark.read.format("binaryFile").options(**FOLDER).load(path).select("path")
     write = F.regexp_extract("path", r"part-\d+-([0-9a-f-]{36})", 1)
-    rows = paths.withColumn("write", F.when(write != "", write).otherwise(F.col("path")))
-    return [(row.path, row.write) for row in rows.orderBy("path").collect()]
+    return paths.withColumn("write", F.when(write != "", write).otherwise(F.col("path")))
 
 
 def read_text_by_name(spark: SparkSession, path: str) -> DataFrame:
     """CSV files in a folder as text columns, matched by name; missing ones are null.
 
-    A CSV read with one schema matches columns by position. So the header is
-    looked at first, and files are read together only if theirs is the same:
-    the plan has one branch per kind of header, however many files there are.
+    A CSV read with one schema matches columns by position. So one header per
+    write is looked at first, and files are read together only if theirs is
+    the same: the plan has one branch per kind of header, however many files
+    there are.
     """
-    by_write: dict[str, list[str]] = {}
-    for file, write in _csv_files(spark, path):
-        by_write.setdefault(write, []).append(file)
-    if not by_write:
-        raise FileNotFoundError(f"no CSV files in {path}")
+    files = _csv_files(spark, path)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for files in by_write.values():
-        header = tuple(spark.read.options(**CSV).csv(files[0]).columns)
+    for row in files.groupBy("write").agg(F.min("path").alias("sample")).collect():
+        header = tuple(spark.read.options(**CSV).csv(row.sample).columns)
         if header:
-            by_header.setdefault(header, []).extend(files)
+            by_header.setdefault(header, []).append(row.write)
     if not by_header:
-        raise FileNotFoundError(f"only empty CSV files in {path}")
-    parts = [
-        spark.read.options(**CSV).schema(_as_text(header)).csv(files)
-        for header, files in by_header.items()
-    ]
+        raise FileNotFoundError(f"no CSV files with a header in {path}")
+    if len(by_header) == 1:
+        header = next(iter(by_header))
+        return spark.read.options(**CSV, **FOLDER).schema(_as_text(header)).csv(path)
+    parts = []
+    for header, writes in sorted(by_header.items()):
+        chosen = files.filter(F.col("write").isin(writes)).select("path")
+        paths = [row.path for row in chosen.collect()]
+        parts.append(spark.read.options(**CSV).schema(_as_text(header)).csv(paths))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -46,8 +46,11 @@ def read_responses(
     stop: Day = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Records of the responses in a folder, as text; none is a valid result."""
-    reader = spark.read.schema(ENVELOPE).option("multiLine", str(multi_line).lower())
+    """Records of the responses in a folder, as text; none is a valid result.
+
+    A file that is no response fails the job, rather than to count for none.
+    """
+    reader = spark.read.schema(ENVELOPE).options(mode="FAILFAST", multiLine=multi_line)
     return records_between(unwrap(reader.json(path)), start, stop)
 
 
@@ -56,7 +59,8 @@ def parse_responses(
 ) -> DataFrame:
     """S6 for response bodies that are held in a text column."""
     body = F.col(body) if isinstance(body, str) else body
-    envelopes = responses.select(F.from_json(body, ENVELOPE).alias("e")).select("e.*")
+    parsed = F.from_json(body, ENVELOPE, {"mode": "FAILFAST"})
+    envelopes = responses.select(parsed.alias("e")).select("e.*")
     return records_between(unwrap(envelopes), start, stop)
 
 

@@ -35,6 +35,7 @@ def follow_landing(
 
     return (
         spark.readStream.schema(ENVELOPE)
+        .option("mode", "FAILFAST")
         .json(landing)
         .writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)

@@ -25,7 +25,7 @@ from ringlog.sources.files import (
     read_state_attributes,
     read_states,
 )
-from ringlog.sources.landing import chunk_plan, read_responses
+from ringlog.sources.landing import chunk_plan, parse_responses, read_responses
 from ringlog.sources.synthetic import synthetic_calls, synthetic_table
 from ringlog.sources.table import read_calls, replace_partitions, write_calls
 from ringlog.streaming.follow import follow_landing
@@ -241,6 +241,16 @@ def test_responses(spark, tmp_path):
     assert [row.id for row in some.collect()] == ["2"]
 
 
+def test_broken_response_is_not_passed_over(spark, tmp_path):
+    text(tmp_path / "a.json", envelope(api_row()))
+    text(tmp_path / "b.json", envelope(api_row())[:40])
+    with pytest.raises(Exception, match="FAILFAST|[Mm]alformed"):
+        read_responses(spark, str(tmp_path)).collect()
+    bodies = spark.createDataFrame([(envelope(api_row())[:40],)], "body string")
+    with pytest.raises(Exception, match="FAILFAST|[Mm]alformed"):
+        parse_responses(bodies, "body").collect()
+
+
 def test_multi_line_response(spark, tmp_path):
     pretty = json.dumps(json.loads(envelope(api_row())), indent=2)
     text(tmp_path / "a.json", pretty)

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL."""
+"""Every registered query against its SQL, and its plan."""
 
 import pytest
 from compare import duck_bag, spark_bag
@@ -20,7 +20,11 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
-    names, rows = spark_bag(QUERIES[name](spark, sf_dir))
+    frame = QUERIES[name](spark, sf_dir)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("NestedLoop", "CartesianProduct", "Python", "Arrow", "MapInPandas"):
+        assert unwanted not in plan
+    names, rows = spark_bag(frame)
     wanted_names, wanted = duck_bag(duck, SQL[name])
     assert names == wanted_names
     assert len(rows) == len(wanted)
