@@ -88,7 +88,8 @@ def pivot_origins(
     """
     labelled = report.withColumn("origin", F.coalesce("origin", F.lit(UNLABELLED)))
     if only_present:
-        origins = [row.origin for row in labelled.select("origin").distinct().limit(99).collect()]
+        # No more than there are states, and three labels besides.
+        origins = [row.origin for row in labelled.select("origin").distinct().collect()]
     origins = list(origins or [*ORIGINS, UNLABELLED])
     mobile = [o for o in origins if o == MOBILE]
     columns = {

@@ -27,8 +27,8 @@ def synthetic_calls(
     """One call per row of numbers (column n), joined to its area.
 
     All values come from a digest of seed and n, not from a random stream: a
-    task that is run again makes the same calls. As in real data made up so,
-    first_call is random too; use mark_first_calls to set it right.
+    task that is run again makes the same calls. first_call is random too, as
+    the other columns are; use mark_first_calls to set it right.
     """
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("n").cast("string")), 256)
 
