@@ -35,8 +35,9 @@ def _own_folder() -> str:
 def work_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path for a written table in the folder named by spark.checkpoint.dir.
 
-    The path is new on every call, unless unique is off. A machine-local folder is only good enough when the executors are threads
-    of this process; on a cluster an unset folder is an error.
+    The path is new on every call, unless unique is off. A machine-local
+    folder is only good enough when the executors are threads of this process;
+    on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
