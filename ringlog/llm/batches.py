@@ -31,8 +31,10 @@ def slices(
             start = stop
 
 
-def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+def lists(values: np.ndarray | pa.Array, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from all values one after another and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+    if not isinstance(values, pa.Array):
+        values = pa.array(values, type=kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)

@@ -2,16 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, languages, licenses, pieces, secret_scan, simhash, warc
+
+#: Where the public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pieces(
+    spark: SparkSession, sf_dir: str, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model"
+) -> DataFrame:
+    model = pieces.read_model(model_path)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("ids", pieces.encode(F.col("text"), model))
+    return found.withColumn("decoded", pieces.decode(F.col("ids"), model)).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    return found.select("doc_id", *secret_scan.digest_columns())
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    counts = ["n_words", "n_base", "first_word", "last_word"]
+    return found.select(F.col("id").alias("doc_id"), *counts, *licenses.digest_columns())
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(_table(spark, sf_dir, "pages"))
+
+
+def held_out() -> Column:
+    """Whether a document is kept from learning."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = languages.fit(docs.where(~held_out()))
+    found = languages.identified(docs.select("doc_id", "text"), model, "text", "found")
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        F.size("found.spans").cast("bigint").alias("n_spans"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -21,8 +72,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
+    "op1_pieces": op1_pieces,
+    "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
+    "op5_warc": op5_warc,
+    "op6_languages": op6_languages,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 #: Queries that DuckDB can express on whole tables in fair time.

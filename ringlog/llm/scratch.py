@@ -52,3 +52,11 @@ def remove(frame: DataFrame) -> None:
     for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of the frame has it."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
