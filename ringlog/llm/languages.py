@@ -273,14 +273,17 @@ def label(texts: list[str | None], model: Model, letters: np.ndarray, scripts: n
     labels = viterbi(word_scores(words, model), words.per_text)
     text_of = np.repeat(np.arange(count), words.per_text)
     states = len(model.languages)
-    share = np.bincount(
-        text_of * states + labels, weights=words.sizes, minlength=count * states
-    ).reshape(count, states)
+    place = text_of * states + labels
+    known = model.scripts.any(axis=1)[words.scripts]
+    share = np.bincount(place, weights=words.sizes, minlength=count * states)
+    sure = np.bincount(place, weights=words.sizes * known, minlength=count * states)
+    share, sure = share.reshape(count, states), sure.reshape(count, states)
     total = share.sum(axis=1)
     best = share.argmax(axis=1) if states else np.zeros(count, np.int64)
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
     lang = names[np.where(total > 0, best, states)]
-    score = np.where(total > 0, share.max(axis=1, initial=0) / np.maximum(total, 1), 0.0)
+    most = sure[np.arange(count), best] if states else np.zeros(count)
+    score = most / np.maximum(total, 1)
     new = np.ones(len(labels), bool)
     new[1:] = (labels[1:] != labels[:-1]) | (text_of[1:] != text_of[:-1])
     first = np.flatnonzero(new)
@@ -312,9 +315,10 @@ def identified(docs: DataFrame, model: Model, text_col: str, out: str) -> DataFr
     """The rows of `docs` with a column `out`: struct<lang, score, spans>.
 
     lang is the language of most of the letters, score the part of the letters that
-    is in it, spans array<struct<start, end, lang>> in code points. A text that is
-    null or has no letter is "und" with score 0 and no span, and so is every text
-    where the model knows no language.
+    is in it and in a script that some language has, spans
+    array<struct<start, end, lang>> in code points. A text that is null or has no
+    letter is "und" with score 0 and no span, and so is every text where the model
+    knows no language.
     """
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, licenses, pieces, secret_scan, simhash, warc
+from . import (
+    decontaminate,
+    languages,
+    licenses,
+    neighbours,
+    pieces,
+    repeats,
+    secret_scan,
+    simhash,
+    token_tree,
+    warc,
+)
 
 #: Where the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +40,17 @@ def op1_pieces(
     )
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "kept_ids",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        "removed",
+        "text",
+    )
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.fit(docs))
@@ -78,14 +100,53 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What is taken out of texts whose tokens are counted anew: long numbers, keys, addresses.
+PRIVATE = r"[0-9a-f]{24,}|[0-9]{12,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+REMOVED = "[removed]"
+
+
+def op9_token_counts(
+    spark: SparkSession, sf_dir: str, ranks_path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+) -> DataFrame:
+    vocabulary = token_tree.read_vocabulary(ranks_path, token_tree.PATTERN)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.matches(F.coalesce("text", F.lit("")), PRIVATE)
+    edits = F.transform(
+        found,
+        lambda x: F.struct(
+            x["s"].alias("start"), x["e"].alias("end"), F.lit(REMOVED).alias("text")
+        ),
+    )
+    trees = docs.withColumn("edits", edits).withColumn(
+        "tree", token_tree.tree(F.col("text"), vocabulary)
+    )
+    after = token_tree.edit_tree(F.col("text"), F.col("tree"), F.col("edits"), vocabulary)
+    return trees.withColumn("after", after).select(
+        "doc_id",
+        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"),
+        token_tree.tokens_of(F.col("tree")).alias("n_tokens"),
+        F.col("after.applied").cast("bigint").alias("n_edits"),
+        F.col("after.encoded").cast("bigint").alias("n_chars_encoded"),
+        token_tree.tokens_of(F.col("after")).alias("n_tokens_after"),
+    )
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op2_repeats": op2_repeats,
     "op3_secrets": op3_secrets,
     "op4_licenses": op4_licenses,
     "op5_warc": op5_warc,
     "op6_languages": op6_languages,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_token_counts": op9_token_counts,
+    "op10_neighbours": op10_neighbours,
 }
 
 #: Queries that DuckDB can express on whole tables in fair time.

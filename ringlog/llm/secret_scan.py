@@ -35,7 +35,7 @@ SMOOTHING = 0.5
 CODES = 128
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str) -> Column:
     """(s, e, m) of the leftmost non-overlapping matches, in code points, end exclusive.
 
     The pieces between the matches and the matches take turns, so a match starts
@@ -200,9 +200,9 @@ def scan(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(
-        _spans(_matches(text, ASSIGN), "assign", _long_enough),
-        _spans(_matches(text, ACCESS), "access"),
-        _spans(_matches(text, HEX), "hex"),
+        _spans(matches(text, ASSIGN), "assign", _long_enough),
+        _spans(matches(text, ACCESS), "access"),
+        _spans(matches(text, HEX), "hex"),
     )
     table = F.lit(np.array(weights, dtype=np.float64))
 
@@ -210,7 +210,7 @@ def scan(
         ratio = _ratio(match["m"], table)
         return (ratio >= MIN_RATIO) & (ratio >= MIN_PAIR_RATIO * (F.length(match["m"]) - 1))
 
-    candidates = F.filter(_matches(text, CANDIDATE), random)
+    candidates = F.filter(matches(text, CANDIDATE), random)
 
     def uncovered(base_spans: Column):
         return lambda x: ~F.exists(
