@@ -6,9 +6,9 @@ tokens below it. An edit finds its leaves by the characters, encodes only these
 anew, with the next leaf where the edit has changed the cut between them, and
 updates the sums on the way up. The count of the edited text is the root's.
 
-Leaves are cut before a space that stands between two word characters. Byte-level
-BPE patterns take such a space as the beginning of a pre-token whatever is
-around it, so the leaves' counts add up to the text's.
+Leaves are cut before a space that stands alone between other characters. The
+pattern takes such a space as the beginning of a pre-token whatever is around it,
+so the leaves' counts add up to the text's.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LEAF_CHARS = 256
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-CUT = r"(?<=\w) (?=\w)"
+CUT = r"(?<=\S) (?=\S)"
 TREE = "struct<chars:array<int>,tokens:array<int>>"
 EDITED = "struct<text:string,chars:array<int>,tokens:array<int>,encoded:int,applied:int>"
 

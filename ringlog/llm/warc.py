@@ -4,10 +4,14 @@
 
 Reading, one row per record: warc_type, record_id, target_uri, refers_to,
 payload_digest, payload_length, content_length, headers, payload. Files are
-planned into partitions on the driver by name and size alone. Predicates on
-warc_type, record_id, target_uri, refers_to, payload_digest, payload_length and
-content_length are pushed down: a task parses a record's headers first, and where
-these fail a predicate it steps over the block without reading or decoding it.
+planned into partitions on the driver by name and size alone. Predicates on the
+first seven columns are pushed down to the tasks: these parse a record's headers
+first, and where they fail a predicate the block is stepped over, neither read nor
+decoded. `read_records` takes the predicates with the read. With the option
+pushdown=true, for which spark.sql.python.filterPushdown.enabled has to be on, those
+of a `where` on the frame are pushed down too; then read a frame of its own for each
+`where`, as Spark 4.1 keeps what was pushed with the frame that was read, and every
+other use of that frame sees it.
 With the option payload=false no block is read at all. Option partition_bytes is
 the size up to which small files share a task (64 MB).
 
@@ -20,6 +24,7 @@ left behind is never read. Option date is the records' WARC-Date.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -196,6 +201,20 @@ PUSHED = (
 )
 
 
+#: The predicates of `read_records`, by the word that names them.
+RULES = {
+    "=": EqualTo, "in": In, "<": LessThan, "<=": LessThanOrEqual, ">": GreaterThan,
+    ">=": GreaterThanOrEqual, "startswith": StringStartsWith, "endswith": StringEndsWith,
+    "contains": StringContains, "is null": IsNull, "is not null": IsNotNull,
+}
+
+
+def rule(column: str, test: str, *value) -> Filter:
+    if column not in HEADER_OF or test not in RULES:
+        raise ValueError(f"no predicate: {column} {test}")
+    return RULES[test]((column,), *(tuple(x) if isinstance(x, list) else x for x in value))
+
+
 def payload_of(block: bytes, content_type: str) -> bytes:
     """The body of an HTTP message, or the whole block of any other kind."""
     if content_type.startswith("application/http"):
@@ -208,14 +227,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.with_payload = options.get("payload", "true").lower() != "false"
         self.partition_bytes = int(options.get("partition_bytes", 64 * MEGABYTE))
-        self.rules: list[Filter] = []
-
-    def pushFilters(self, filters):
-        for rule in filters:
-            if isinstance(rule, PUSHED) and rule.attribute[0] in HEADER_OF:
-                self.rules.append(rule)
-            else:
-                yield rule
+        self.rules = [rule(*each) for each in json.loads(options.get("where", "[]"))]
 
     def partitions(self):
         """Files in order of their names, small ones together up to partition_bytes."""
@@ -282,6 +294,17 @@ class WarcReader(DataSourceReader):
             yield row | {"headers": list(headers.items()), "payload": payload}
 
 
+class PushingReader(WarcReader):
+    """Takes predicates of a `where` on the frame as well."""
+
+    def pushFilters(self, filters):
+        for rule in filters:
+            if isinstance(rule, PUSHED) and rule.attribute[0] in HEADER_OF:
+                self.rules.append(rule)
+            else:
+                yield rule
+
+
 # Writing
 
 
@@ -369,16 +392,16 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options)
+        pushes = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingReader if pushes else WarcReader)(self.options)
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format "warc" known, with predicates pushed down to it."""
+    """Make the format "warc" known."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 # Pages to records and back
@@ -453,14 +476,21 @@ def write_pages(pages: DataFrame, path: str, **columns) -> None:
     found.write.format("warc").mode("append").option("path", path).save()
 
 
-def read_records(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """All records of the archives in a folder, or of one file."""
+def read_records(
+    spark: SparkSession, path: str, where: list[tuple] | None = None, **options: str
+) -> DataFrame:
+    """The records of the archives in a folder, or of one file.
+
+    where: predicates that all have to hold, such as ("warc_type", "in", ["revisit"]),
+    ("payload_length", ">", 0) or ("refers_to", "is null"); see RULES.
+    """
     register(spark)
-    return spark.read.format("warc").options(**options).load(path)
+    reader = spark.read.format("warc").options(**options)
+    return reader.option("where", json.dumps(where or [])).load(path)
 
 
 def page_records(found: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of records read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of pages read back.
 
     Length and digest of a response are those of the payload as it was read, and
     must be those of its headers; a revisit has them in its headers alone.
@@ -471,7 +501,7 @@ def page_records(found: DataFrame, id_type: str = "bigint") -> DataFrame:
         (digest == F.col("payload_digest")) & (size == F.col("payload_length")), digest
     ).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))
     response = F.col("warc_type") == "response"
-    return found.where(F.col("warc_type").isin("response", "revisit")).select(
+    return found.select(
         _page_id(F.col("record_id"), id_type).alias("page_id"),
         F.when(response, size).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(response, checked).otherwise(F.col("payload_digest")).alias("payload_digest"),
@@ -485,4 +515,4 @@ def through_archives(pages: DataFrame, path: str | None = None, min_bytes: int =
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_pages(pages, path, min_bytes=min_bytes)
-    return page_records(read_records(spark, path))
+    return page_records(read_records(spark, path, [("warc_type", "in", ["response", "revisit"])]))

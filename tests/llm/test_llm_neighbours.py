@@ -1,0 +1,105 @@
+"""Operator 10 against all pairs."""
+
+import numpy as np
+import pytest
+
+from ringlog.llm import neighbours, queries
+
+
+def plain(rows, threshold=0.9):
+    """By row: links and the least id of its component."""
+    good = [
+        v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        for _, v in rows
+    ]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = [0] * len(rows)
+    for length in {len(v) for (_, v), g in zip(rows, good, strict=True) if g}:
+        at = [k for k, ((_, v), g) in enumerate(zip(rows, good, strict=True)) if g and len(v) == length]
+        m = np.array([rows[k][1] for k in at], dtype=np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        for i, j in zip(*np.nonzero(np.triu(m @ m.T >= threshold - 1e-12, 1)), strict=True):
+            a, b = at[i], at[j]
+            links[a] += 1
+            links[b] += 1
+            root[find(a)] = find(b)
+    least = {}
+    for k, (name, _) in enumerate(rows):
+        if name is not None:
+            least[find(k)] = min(least.get(find(k), name), name)
+    return [(name, links[k], least.get(find(k))) for k, (name, _) in enumerate(rows)]
+
+
+def test_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    found = queries.op10_neighbours(spark, sf_dir).collect()
+    want = {name: (links, least) for name, links, least in plain(rows)}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found}
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found)
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert sum(v[0] for v in got.values()) >= 0.99 * sum(v[0] for v in want.values())
+    assert all(got[k][0] <= want[k][0] for k in want)
+
+
+def test_groups_and_chains(spark):
+    """A large group that fills its lists, pairs at the threshold, a chain, copies."""
+    rng = np.random.default_rng(6)
+    rows = []
+
+    def add(v):
+        rows.append((len(rows), [float(x) for x in v]))
+
+    centre = rng.normal(size=24)
+    for _ in range(300):
+        add(centre + 0.1 * rng.normal(size=24))
+    for _ in range(60):
+        one = rng.normal(size=24)
+        add(one)
+        side = rng.normal(size=24)
+        side -= one * (side @ one) / (one @ one)
+        angle = np.arccos(0.92)
+        add(one / np.linalg.norm(one) * np.cos(angle) + side / np.linalg.norm(side) * np.sin(angle))
+    one, side = np.eye(24)[:2]
+    for k in range(12):
+        add(np.cos(0.4 * k) * one + np.sin(0.4 * k) * side)
+    for _ in range(40):
+        add(centre * 3)
+    for _ in range(300):
+        add(rng.normal(size=24))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    found = {r.id: r for r in neighbours.near_duplicates(frame).collect()}
+    want = plain(rows)
+    assert sum(found[k].component_id != least for k, _, least in want) <= 4
+    assert sum(r.n_links for r in found.values()) >= 0.98 * sum(links for _, links, _ in want)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.1, 0.0]), (4, None), (5, []),
+        (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 0.0]), (8, [nan, 1.0, 0.0]), (9, [inf, 1.0, 0.0]), (10, [1.0, 0.0]),
+        (11, [3.0, 0.0]), (None, [1.0, 0.0, 0.0]), (None, None), (12, [0.0, 0.0, -5.0]), (13, [-0.0, 0.0, -5.0]),
+    ]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, node string, id int")
+    found = [(r.id, r.n_links, r.component_id) for r in neighbours.near_duplicates(frame).collect()]
+    assert sorted(found, key=str) == sorted(plain(rows), key=str)
+    assert neighbours.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_audit_sees_what_is_missing(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    rows = [(k, [float(x) for x in centres[k % 20] + 0.01 * rng.normal(size=16)]) for k in range(200)]
+    nodes = spark.createDataFrame(rows, "node bigint, vector array<double>")
+    edges = neighbours.kept_edges(neighbours.ordered_pairs(nodes, range(20)), 0.9)
+    assert neighbours.audit(nodes, edges, 0.9) > 0.9
+    half = edges.where("u % 2 = 0")
+    assert neighbours.audit(nodes, half, 0.9) == pytest.approx(0.5, abs=0.2)
+    assert neighbours.audit(nodes, edges.limit(0), 0.9) == 0

@@ -1,0 +1,95 @@
+"""Operator 3 against Python's regular expressions and a plain sum of ratios."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ringlog.llm import queries, secret_scan
+
+NAMES = "password passwd secret token api_?key".split()
+ANY = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in NAMES)
+FORMS = {
+    "assign": (re.compile(rf"""({ANY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+}
+
+
+def base(text):
+    spans = []
+    for k, (kind, (form, group, least)) in enumerate(FORMS.items()):
+        for m in form.finditer(text or ""):
+            if len(m[group]) >= least:
+                spans.append((m.start(), k, m.end(), kind))
+    return sorted(spans)
+
+
+def joined(spans):
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans)
+
+
+def llr(weights, value):
+    return sum(weights[ord(a) * 128 + ord(b)] for a, b in zip(value, value[1:], strict=False))
+
+
+@pytest.fixture(scope="module")
+def weights(docs):
+    return secret_scan.fit(docs)
+
+
+def test_models_tell_keys_from_names(weights):
+    for key in ("wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "aGVsbG8gd29ybGQ0NTY3ODkwMTIz", "9f8e7d6c5b4a39281706f5e4d3c2b1a0"):
+        assert llr(weights, key) > secret_scan.MIN_RATIO, key
+    for name in ("getUserNameFromDatabase", "some/path/to/the/directory/tree", "-" * 40, "1234567890123456789012345"):
+        assert llr(weights, name) < secret_scan.MIN_RATIO, name
+
+
+def test_scan_as_plain_python(spark, weights):
+    rng = random.Random(3)
+    parts = ["token", "=", ":", '"', "'", " ", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "😀", "api_key",
+             "PassWord", "ſecret", "abcdef", "xyz", "\n", "wJalrXUtnFEMIK7MDENGbPxRfiCY", "tok=en", "secret=password=hunter22"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(600)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = secret_scan.scan(frame, weights).select("doc_id", *secret_scan.digest_columns()).collect()
+    assert len(rows) == len(texts)
+    extra = 0
+    for row in rows:
+        text = texts[row.doc_id] or ""
+        spans = base(text)
+        assert row.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
+        for kind, count in (("assign", row.n_assign), ("access", row.n_access), ("hex", row.n_hex)):
+            assert count == sum(s[3] == kind for s in spans)
+        for m in re.finditer(secret_scan.CANDIDATE, text):
+            ratio, free = llr(weights, m[0]), all(s[2] <= m.start() or m.end() <= s[0] for s in spans)
+            random_like = ratio >= secret_scan.MIN_RATIO and ratio >= secret_scan.MIN_PAIR_RATIO * (len(m[0]) - 1)
+            if free and random_like:
+                spans = sorted([*spans, (m.start(), 3, m.end(), "markov")])
+                extra += 1
+        assert row.spans == joined(spans)
+    assert extra > 10
+
+
+def test_redact(spark, weights, odd_docs, no_docs):
+    rows = secret_scan.redact(odd_docs, weights).collect()
+    assert len(rows) == odd_docs.count() and rows[0].asDict().keys() == set(odd_docs.columns)
+    changed = [r for r in rows if r.text and "[secret]" in r.text]
+    assert [(r.doc_id, r.text, r.secrets) for r in changed] == [(9, '[secret]" ok', "y")]
+    assert secret_scan.redact(no_docs, weights).count() == 0
+    assert secret_scan.fit(no_docs) == [0.0] * (128 * 128)
+
+
+def test_overlapping_spans_are_one_mark(spark, weights):
+    text = "x token = abcdef0123456789abcdef0123456789 y"
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert secret_scan.redact(frame, weights).first().text == "x [secret] y"
+
+
+def test_query_is_native(spark):
+    frame = queries.op3_secrets(spark, "/root/testdata/sf0.01")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert frame.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    assert frame.where(F.col("n_hex") > 0).count() > 0
