@@ -14,25 +14,29 @@ Day = dt.date | str | None
 
 
 def parse_date(text: Column) -> Column:
-    """Year, month and day, with hyphens or without; else null."""
+    """Year, month and day, with hyphens, slashes, dots or spaces or without; else null."""
     text = F.trim(text)
     parted = F.concat_ws(
         "-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)
     )
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date")).when(
+    hyphens = F.regexp_replace(text, r"[-/. ]+", "-")
+    return F.when(text.rlike(r"^\d{4}([-/. ]+)\d{1,2}([-/. ]+)\d{1,2}$"), hyphens.try_cast("date")).when(
         text.rlike(r"^\d{8}$"), parted.try_cast("date")
     )
 
 
 def parse_clock(text: Column) -> Column:
-    """HH:MM:SS as seconds since midnight, or null."""
+    """HH:MM:SS or HH:MM as seconds since midnight, or null."""
     text = F.trim(text)
-    valid = text.rlike(r"^([01]?\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?$")
-    to_minute = F.substring_index(text, ":", 2)
-    hours = F.substring_index(text, ":", 1).try_cast("int")
-    minutes = F.substring_index(to_minute, ":", -1).try_cast("int")
-    seconds = F.substring(F.substring_index(text, ":", -1), 1, 2).try_cast("int")
-    return F.when(valid, hours * 3600 + minutes * 60 + seconds)
+    valid = text.rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?$")
+    parts = F.split(text, ":")
+
+    def part(k: int) -> Column:
+        return F.substring(F.get(parts, F.lit(k)), 1, 2).try_cast("int")
+
+    return F.when(
+        valid, part(0) * 3600 + part(1) * 60 + F.coalesce(part(2), F.lit(0))
+    )
 
 
 def clock_text(time_s: Column) -> Column:

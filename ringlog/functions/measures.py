@@ -44,5 +44,12 @@ def display_count(n: Column) -> Column:
 
 
 def percent_label(share: Column) -> Column:
-    """P21"""
-    return F.concat(F.format_number(F.round(100 * share, 2), 2), F.lit("%"))
+    """Four significant digits, but no more than eight after the point."""
+    value = 100 * share
+    size = F.coalesce(F.floor(F.log10(F.abs(F.nullif(value, F.lit(0.0))))), F.lit(0))
+    decimals = F.least(F.greatest(F.lit(3) - size, F.lit(0)), F.lit(8))
+    shown = F.format_string("%.0f", value)
+    for count in range(1, 9):
+        text = F.format_string(f"%.{count}f", F.round(value, count))
+        shown = F.when(decimals == count, text).otherwise(shown)
+    return F.when(share.isNotNull(), F.concat(shown, F.lit("%")))

@@ -66,7 +66,19 @@ def clean_calls(
     job runs (rows_in, rows_without_number). Duplicates stay, see
     remove_duplicate_calls. All steps are narrow, so cleaning is one stage.
     """
-    parsed = add_is_landline(parse_records(raw))
+    return clean_parsed(parse_records(raw), areas, area_columns, on_bad, salt, observe)
+
+
+def clean_parsed(
+    parsed: DataFrame,
+    areas: DataFrame,
+    area_columns: Sequence[str] = AREA_COLUMNS,
+    on_bad: str = "error",
+    salt: str | None = None,
+    observe: Observation | None = None,
+) -> DataFrame:
+    """P5 from the second step on, for records that are parsed already."""
+    parsed = add_is_landline(parsed)
     if observe is not None:
         parsed = parsed.observe(
             observe,

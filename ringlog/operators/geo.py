@@ -1,8 +1,8 @@
 """Find the area a landline number belongs to.
 
-Area codes are 0049 and two to five digits, so a number begins with at most
-four candidates. An area table holds at most 10^2 + 10^3 + 10^4 + 10^5 codes,
-which bounds what is broadcast, whatever the number of calls.
+Codes of four lengths are looked up by equality with the beginning of the number.
+The areas are counted first and broadcast if they are few; else adaptive execution
+chooses the joins, and cuts frequent beginnings into parts.
 """
 
 from __future__ import annotations
@@ -13,27 +13,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringlog.operators.groups import join_back
+from ringlog.operators.groups import broadcast_if_small, join_back
 
 # Lengths of 0049 and the rest of an area code, longest first.
 PREFIX_LENGTHS = (9, 8, 7, 6)
-AREA_CODE = r"^0049\d{2,5}$"
 AREA_COLUMNS = ("area_name", "state", "plz")
 
 ON_BAD = ("error", "null", "flag")
 
 
 def area_lookup(areas: DataFrame, columns: Sequence[str] = AREA_COLUMNS) -> DataFrame:
-    """One row per area code: code, its attributes, and whether its name is clear."""
-    found = [c for c in columns if c in areas.columns and c != "area_name"]
-    return (
-        areas.filter(F.col("area_code").rlike(AREA_CODE))
-        .groupBy("area_code")
-        .agg(
-            F.min(F.struct("area_name", *found)).alias("area"),
-            (F.min("area_name") != F.max("area_name")).alias("several"),
-        )
+    """One row per code: area, a struct of its attributes, and whether it has several.
+
+    A code with rows that differ in any attribute has several; area is then the
+    first of them, by name and then by the other attributes, where a known value
+    comes before a missing one.
+    """
+    found = ["area_name", *[c for c in columns if c in areas.columns and c != "area_name"]]
+    order = [x for c in found for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    rows = areas.select("area_code", *found).distinct()
+    grouped = rows.groupBy("area_code").agg(
+        F.min(F.struct(*order)).alias("area"), (F.count(F.lit(1)) > 1).alias("several")
     )
+    area = F.struct(*[F.col("area")[c].alias(c) for c in found]).alias("area")
+    return grouped.filter("area_code is not null").select("area_code", area, "several")
 
 
 def attach_area(
@@ -50,15 +53,17 @@ def attach_area(
     split_area_matches. Calls from elsewhere pass with nulls; calls whose
     is_landline is null pass too, and are for clean_calls to drop.
 
-    Each call goes through four broadcast lookups in one stage, with no
-    shuffle, and stays one row; so there is no lookup of distinct numbers to
-    put back on the calls (J4).
+    A match of a code with several areas counts as two. Each call goes through
+    four lookups and stays one row, so there is no lookup of distinct numbers to
+    put back on the calls (J4). Where the areas are broadcast, as an ordinary
+    table of codes is, that is one stage without a shuffle.
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"on_bad must be one of {', '.join(ON_BAD)}")
     found = [c for c in columns if c in areas.columns]
     # An area without a name is no match.
-    lookup = F.broadcast(area_lookup(areas.filter(F.col("area_name").isNotNull()), columns))
+    named = areas.filter(F.col("area_name").isNotNull())
+    lookup = broadcast_if_small(area_lookup(named, columns))
     located = calls.drop("area_code", *columns)
     inputs = located.columns
     for length in PREFIX_LENGTHS:
@@ -117,18 +122,20 @@ def match_distribution(calls: DataFrame, areas: DataFrame) -> DataFrame:
     return match_counts(calls, areas).groupBy("matches").agg(F.count("*").alias("numbers"))
 
 
-def assert_area_matches(calls: DataFrame, areas: DataFrame, shown: int = 20) -> None:
-    """Stop before a long job, with some of the numbers at fault."""
-    bad = match_counts(calls, areas).filter(F.col("matches") != 1)
-    none, several = bad.agg(
-        F.count_if(F.col("matches") == 0), F.count_if(F.col("matches") > 1)
-    ).first()
+def bad_matches(calls: DataFrame, areas: DataFrame) -> DataFrame:
+    """Every landline number at fault, and how many areas it matches."""
+    return match_counts(calls, areas).filter(F.col("matches") != 1)
+
+
+def assert_area_matches(calls: DataFrame, areas: DataFrame) -> None:
+    """Stop before a long job; bad_matches has all numbers at fault."""
+    none, several = (
+        bad_matches(calls, areas)
+        .agg(F.count_if(F.col("matches") == 0), F.count_if(F.col("matches") > 1))
+        .first()
+    )
     if none or several:
-        examples = [row.caller for row in bad.select("caller").limit(shown).collect()]
-        raise ValueError(
-            f"{none} landline numbers match no area and {several} match several, such as "
-            + ", ".join(examples)
-        )
+        raise ValueError(f"without an area: {none} landline numbers; with several: {several}")
 
 
 def prefix_candidates(calls: DataFrame) -> DataFrame:
@@ -146,24 +153,26 @@ def attach_area_anywhere(
     """Match a code found anywhere in the number, as before J1.
 
     A call is repeated for every code found in its number, and kept with nulls
-    when there is none. All pieces of a number that could be a code are looked
-    up by equality, as a join on "contains" would compare each call with each
-    code.
+    when there is none. All pieces of a number that are as long as some code are
+    looked up by equality, as a join on "contains" would compare each call with
+    each code. The lengths are asked of the area table first: a code has no more
+    characters than a number.
     """
     columns = [c for c in AREA_COLUMNS if c in areas.columns]
     calls = calls.drop("area_code", *AREA_COLUMNS)
     numbers = (calls.filter("is_landline") if landline_only else calls).select("caller").distinct()
-    shortest = min(PREFIX_LENGTHS)
-    starts = F.sequence(F.lit(1), F.greatest(F.length("caller") - (shortest - 1), F.lit(1)))
+    lookup = broadcast_if_small(area_lookup(areas).select("area_code", "area.*"))
+    sizes = areas.select(F.length("area_code").alias("n")).filter("n > 0").distinct()
+    lengths = sorted(row.n for row in sizes.collect()) or [1]
+    starts = F.sequence(F.lit(1), F.greatest(F.length("caller"), F.lit(1)))
     pieces = F.flatten(
         F.transform(
             starts,
             lambda start: F.array(
-                *[F.substring(F.col("caller"), start, F.lit(n)) for n in PREFIX_LENGTHS]
+                *[F.substring(F.col("caller"), start, F.lit(n)) for n in lengths]
             ),
         )
     )
-    lookup = F.broadcast(area_lookup(areas).select("area_code", "area.*"))
     hits = (
         numbers.filter(F.col("caller").isNotNull())
         .select("caller", F.explode(F.array_distinct(pieces)).alias("area_code"))

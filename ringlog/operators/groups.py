@@ -18,6 +18,19 @@ from pyspark.sql import functions as F
 COPIES_PER_TASK_ROW = 1_000_000
 
 
+# A table of up to so many rows is broadcast.
+MOST_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if a count of its rows, which runs now, allows it.
+
+    A larger one is left to the optimizer and to adaptive execution.
+    """
+    small = table.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    return F.broadcast(table) if small else table
+
+
 def join_back(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys where null equals null; key columns come from the rows.
 
@@ -47,33 +60,16 @@ def collapse_copies(rows: DataFrame) -> DataFrame:
 def unfold_copies(collapsed: DataFrame) -> DataFrame:
     """Undo collapse_copies; copy_no counts the copies of a row from 0.
 
-    A row with very many copies is cut into chunks that are spread over the
-    cluster before they are unfolded.
+    A row is cut into chunks of copies, which are spread over the cluster before
+    they are unfolded, so one with very many copies is no burden to a task.
     """
-    step = F.lit(COPIES_PER_TASK_ROW)
-    few = collapsed.filter(F.col("copies") <= step).withColumn(
-        "copy_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))
-    )
+    step, zero = F.lit(COPIES_PER_TASK_ROW), F.lit(0).cast("bigint")
+    chunks = F.sequence(zero, F.floor((F.col("copies") - 1) / step).cast("bigint"))
     chunk = F.col("chunk")
-    many = (
-        collapsed.filter(F.col("copies") > step)
-        .withColumn(
-            "chunk",
-            F.explode(
-                F.sequence(
-                    F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / step).cast("bigint")
-                )
-            ),
-        )
-        .repartition("chunk")
-        .withColumn(
-            "copy_no",
-            F.explode(
-                F.sequence(
-                    chunk * step, F.least((chunk + 1) * step, F.col("copies")) - 1
-                )
-            ),
-        )
-        .drop("chunk")
+    numbers = F.sequence(chunk * step, F.least((chunk + 1) * step, F.col("copies")) - 1)
+    return (
+        collapsed.withColumn("chunk", F.explode(chunks))
+        .repartition(F.xxhash64(*collapsed.columns), "chunk")
+        .withColumn("copy_no", F.explode(numbers))
+        .drop("chunk", "copies")
     )
-    return few.unionByName(many).drop("copies")

@@ -83,8 +83,9 @@ def pivot_origins(
 
     Column order: week, totals over the origins, mobile, the others by name.
     A caller seen under two origins counts in both and twice in the total. By
-    default there is a column for each possible origin; only_present asks the
-    data which ones occur, as the shown report does.
+    default there is a column for each possible origin. only_present asks the
+    report which ones occur, as the shown report does; give it a report that is
+    written or stored, or it is computed for that first.
     """
     labelled = report.withColumn("origin", F.coalesce("origin", F.lit(UNLABELLED)))
     if only_present:
@@ -102,14 +103,17 @@ def pivot_origins(
         return F.sum(F.when(F.col("origin") == origin, F.col(measure)))
 
     zero = F.lit(0).cast("bigint")
-    return labelled.groupBy(
-        F.col("iso_year").cast("string").alias("iso_year"), "iso_week", "first_date", "last_date"
-    ).agg(
-        *[F.sum(measure).alias(f"all_{measure}") for measure in MEASURES],
-        *[
-            F.coalesce(cell(origin, measure), zero).alias(name)
-            for name, (origin, measure) in columns.items()
-        ],
+    # The year becomes text only after the groups, whose rows already lie together.
+    return (
+        labelled.groupBy(*WEEK, "first_date", "last_date")
+        .agg(
+            *[F.sum(measure).alias(f"all_{measure}") for measure in MEASURES],
+            *[
+                F.coalesce(cell(origin, measure), zero).alias(name)
+                for name, (origin, measure) in columns.items()
+            ],
+        )
+        .withColumn("iso_year", F.col("iso_year").cast("string"))
     )
 
 

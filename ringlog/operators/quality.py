@@ -113,7 +113,7 @@ def remove_duplicate_calls(calls: DataFrame, strict: bool = False) -> DataFrame:
     if strict:
         return calls.drop("id", "module").distinct()
     distinct = calls.drop("id", "module", "first_call").distinct()
-    return mark_first_calls(distinct, rows_unique=True)
+    return mark_first_calls(distinct)
 
 
 def distinct_check(calls: DataFrame) -> DataFrame:
@@ -133,9 +133,8 @@ def distinct_check(calls: DataFrame) -> DataFrame:
 def assert_distinct(calls: DataFrame) -> None:
     found = distinct_check(calls).first()
     if not found.ok:
-        raise ValueError(
-            f"there are duplicates: {found.rows} rows vs {found.distinct_rows} distinct rows"
-        )
+        repeated = found.rows - found.distinct_rows
+        raise ValueError(f"{repeated} of {found.rows} rows repeat another row")
 
 
 # Coverage
@@ -150,10 +149,11 @@ def missing_days(calls: DataFrame) -> DataFrame:
     return wanted.join(days, "call_date", "left_anti")
 
 
-def assert_all_days(calls: DataFrame, shown: int = 20) -> None:
-    missing = [str(row.call_date) for row in missing_days(calls).limit(shown).collect()]
+def assert_all_days(calls: DataFrame) -> None:
+    """Fails with all missing days; the calendar bounds how many there can be."""
+    missing = [str(row.call_date) for row in missing_days(calls).orderBy("call_date").collect()]
     if missing:
-        raise ValueError("there are days without calls, such as " + ", ".join(missing))
+        raise ValueError("no call on " + ", ".join(missing))
 
 
 def record_count(calls: DataFrame, start: Day = None, stop: Day = None) -> DataFrame:

@@ -81,6 +81,11 @@ _CTES = {
     "numbered": r"""
         SELECT id, caller, NOT regexp_matches(caller, '^00491|^491|^0049800|^49800') AS is_landline
         FROM calls""",
+    "numbered_oddly": r"""
+        SELECT id, caller, NOT regexp_matches(caller, '^00491|^491|^0049800|^49800') AS is_landline
+        FROM (SELECT id, CASE WHEN id::BIGINT % 17 = 0 AND NOT starts_with(caller, '00491')
+                              THEN '0049777' || substr(caller, 8) ELSE caller END AS caller
+              FROM calls)""",
     "caller_days": """
         SELECT caller, call_date, count(*) AS attempts,
                count(*) FILTER (WHERE success) AS successes
@@ -123,6 +128,7 @@ _NEEDS = {
     "raw": ["calls"],
     "rerouted": ["calls"],
     "numbered": ["calls"],
+    "numbered_oddly": ["calls"],
     "caller_days": ["event_calls"],
     "strict_days": ["event_calls"],
     "multiple": ["rerouted"],
@@ -164,6 +170,13 @@ _BOUNDS = "min(call_date) AS first_date, max(call_date) AS last_date"
 _ISO = "isoyear(call_date)::INTEGER AS iso_year, week(call_date)::INTEGER AS iso_week"
 
 
+# One call of each caller, whatever the ids: all columns in their order decide.
+_FIRST_OF_ALL = """row_number() OVER (PARTITION BY caller
+    ORDER BY call_date, time_s, length(id) NULLS FIRST, id NULLS FIRST, duration_in, duration_out,
+             success, area_code NULLS FIRST, area_name NULLS FIRST, state NULLS FIRST,
+             plz NULLS FIRST, is_landline, module) = 1"""
+
+
 def _series(source: str, where: str) -> str:
     return _with(
         f"""SELECT {_ISO}, count(*) AS n_calls, min(call_date) AS start_date,
@@ -177,8 +190,8 @@ def _series(source: str, where: str) -> str:
 
 _MATCHES = """
     SELECT caller, count(DISTINCT area_name) AS matches
-    FROM (SELECT DISTINCT caller FROM numbered WHERE is_landline) n
-    LEFT JOIN (SELECT * FROM areas WHERE state IS NOT NULL) a ON starts_with(caller, area_code)
+    FROM (SELECT DISTINCT caller FROM numbered_oddly WHERE is_landline) n
+    LEFT JOIN areas ON starts_with(caller, area_code)
     GROUP BY caller"""
 
 
@@ -349,19 +362,20 @@ def oracle_sql() -> dict[str, str]:
             """SELECT id, caller, is_landline, NULL::VARCHAR AS area_code,
                       NULL::VARCHAR AS area_name, NULL::VARCHAR AS state, NULL::VARCHAR AS plz,
                       0::BIGINT AS area_matches
-               FROM numbered
+               FROM numbered_oddly
                WHERE is_landline AND NOT EXISTS (
-                 SELECT 1 FROM areas WHERE state IS NOT NULL AND starts_with(caller, area_code))""",
-            "numbered",
+                 SELECT 1 FROM areas WHERE starts_with(caller, area_code))""",
+            "numbered_oddly",
         ),
         "area_contains_join": _with(
             """SELECT id, caller, is_landline, area_code, area_name, state, plz
                FROM numbered LEFT JOIN areas ON contains(caller, area_code)""",
             "numbered",
         ),
-        "prefix_match_check": _with(_MATCHES, "numbered"),
+        "prefix_match_check": _with(_MATCHES, "numbered_oddly"),
         "prefix_match_distribution": _with(
-            f"SELECT matches, count(*) AS numbers FROM ({_MATCHES}) m GROUP BY matches", "numbered"
+            f"SELECT matches, count(*) AS numbers FROM ({_MATCHES}) m GROUP BY matches",
+            "numbered_oddly",
         ),
         "prefix_candidates": _with(
             """SELECT caller, k::INTEGER AS prefix_length, substr(caller, 1, k) AS area_code
@@ -375,9 +389,88 @@ def oracle_sql() -> dict[str, str]:
                GROUP BY 1""",
             "numbered",
         ),
-        "repaired_umlauts": _with("SELECT id, state FROM calls", "calls"),
+        "repaired_umlauts": _with(
+            "SELECT id, replace(area_name || 'ue ', 'ue', 'ü') AS state FROM calls", "calls"
+        ),
         "legacy_column": _with(
-            "SELECT id, is_landline AS landline, is_landline FROM calls", "calls"
+            """SELECT id, CASE WHEN is_landline THEN 'TRUE' WHEN id::BIGINT % 3 > 0 THEN 'FALSE'
+                               ELSE 'NA' END AS landline,
+                      CASE WHEN is_landline THEN TRUE WHEN id::BIGINT % 3 > 0 THEN FALSE
+                           END AS is_landline
+               FROM calls""",
+            "calls",
+        ),
+        "first_call_without_ids": _with(
+            f"""SELECT caller, call_date, time_s, module, {_FIRST_OF_ALL} AS first_call
+                FROM (SELECT NULL::VARCHAR AS id, * EXCLUDE (id) FROM rerouted) d""",
+            "rerouted",
+        ),
+        "first_call_mixed_ids": _with(
+            f"""SELECT id, caller, call_date, time_s, module, {_FIRST_OF_ALL} AS first_call
+                FROM (SELECT CASE WHEN ltrim(id, 'r')::BIGINT % 3 > 0 THEN ltrim(id, 'r') END AS id,
+                             * EXCLUDE (id) FROM rerouted) d""",
+            "rerouted",
+        ),
+        "period_week_range": _with(
+            f"""SELECT {_ISO}, {_BOUNDS}, {_MEASURES} FROM flagged
+                WHERE call_date BETWEEN DATE '1996-03-05' AND DATE '1998-10-20' GROUP BY 1, 2""",
+            "flagged",
+        ),
+        "origin_range": _with(
+            """SELECT iso_year, iso_week, origin,
+                      min(min(call_date)) OVER (PARTITION BY iso_year, iso_week) AS first_date,
+                      max(max(call_date)) OVER (PARTITION BY iso_year, iso_week) AS last_date,
+                      count(*) AS calls, count(DISTINCT caller) AS callers,
+                      count(*) FILTER (WHERE first_call) AS first_callers
+               FROM originated WHERE call_date BETWEEN DATE '1996-03-05' AND DATE '1998-10-20'
+               GROUP BY iso_year, iso_week, origin""",
+            "originated",
+        ),
+        "record_count_range": _with(
+            """SELECT count(*) AS n FROM calls
+               WHERE call_date BETWEEN DATE '1996-03-05' AND DATE '1998-10-20'""",
+            "calls",
+        ),
+        "period_year_with_gaps": _with(
+            f"""SELECT year(call_date)::INTEGER AS year, {_BOUNDS}, {_MEASURES}
+                FROM (SELECT *, row_number() OVER (PARTITION BY caller
+                                  ORDER BY call_date, time_s, length(id), id) = 1 AS first_call
+                      FROM (SELECT * REPLACE (CASE WHEN id::BIGINT % 11 > 0 THEN caller END AS caller,
+                                              CASE WHEN id::BIGINT % 13 > 0 THEN success END AS success)
+                            FROM calls)) f
+                GROUP BY 1""",
+            "calls",
+        ),
+        "landline_kinds": _with(
+            r"""SELECT id, caller,
+                       NOT regexp_matches(caller, '^00491|^491|^0049800|^49800') AS is_landline
+                FROM (SELECT id, CASE id::BIGINT % 5 WHEN 0 THEN '0049800' || id
+                                   WHEN 1 THEN substr(caller, 3) ELSE caller END AS caller
+                      FROM calls)""",
+            "calls",
+        ),
+        "dedup_strict": _with(
+            """SELECT DISTINCT * EXCLUDE (id, module)
+               FROM (SELECT *, row_number() OVER (PARTITION BY caller
+                                 ORDER BY call_date, time_s, length(id), id) = 1 AS first_call
+                     FROM rerouted)""",
+            "rerouted",
+        ),
+        "refreshed_table": _with(
+            """SELECT id, call_date, time_s, sha256(caller) AS caller, state, first_call
+               FROM flagged""",
+            "flagged",
+        ),
+        "table_by_day": _with(
+            """SELECT id, call_date, time_s, caller, duration_in, duration_out, success,
+                      NULL::VARCHAR AS area_code, NULL::VARCHAR AS area_name,
+                      NULL::VARCHAR AS state, NULL::VARCHAR AS plz,
+                      row_number() OVER (PARTITION BY caller
+                        ORDER BY call_date, time_s, length(id), id) = 1 AS first_call,
+                      NULL::BOOLEAN AS is_landline, NULL::VARCHAR AS module,
+                      year(call_date)::INTEGER AS year, call_date AS day
+               FROM event_calls""",
+            "event_calls",
         ),
         "origin_long": _with("SELECT * FROM origins", "origins"),
         "origin_pivot": _pivot(),

@@ -20,7 +20,8 @@ from ringlog.sources import landing, samples
 from ringlog.sources.export import export_name
 from ringlog.sources.files import read_annual
 from ringlog.sources.synthetic import synthetic_calls
-from ringlog.sources.table import write_calls
+from ringlog.plans.tables import refresh_table
+from ringlog.sources.table import read_calls, write_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +103,72 @@ def first_call(spark, sf):
     return flagged(spark, sf).select("id", "caller", "first_call")
 
 
+def _rerouted_with_ids(spark, sf, id_):
+    """Rerouted pairs, whose calls share caller and moment, with other ids."""
+    return samples.rerouted_calls(spark, sf).withColumn("id", id_)
+
+
+@query
+def first_call_without_ids(spark, sf):
+    none = F.lit(None).cast("string")
+    marked = mark_first_calls(_rerouted_with_ids(spark, sf, none))
+    return marked.select("caller", "call_date", "time_s", "module", "first_call")
+
+
+@query
+def first_call_mixed_ids(spark, sf):
+    key = F.regexp_replace("id", "^r", "")
+    some = F.when(key.cast("bigint") % 3 > 0, key)
+    marked = mark_first_calls(_rerouted_with_ids(spark, sf, some))
+    return marked.select("id", "caller", "call_date", "time_s", "module", "first_call")
+
+
+@query
+def period_week_range(spark, sf):
+    return period.period_report(flagged(spark, sf), "week", "1996-03-05", "1998-10-20")
+
+
+@query
+def origin_range(spark, sf):
+    calls, states = flagged(spark, sf), state_table(spark)
+    return origin.origin_report(calls, states, "1996-03-05", "1998-10-20")
+
+
+@query
+def record_count_range(spark, sf):
+    return quality.record_count(samples.calls(spark, sf), "1996-03-05", "1998-10-20")
+
+
+@query
+def period_year_with_gaps(spark, sf):
+    """Withheld numbers and calls of unknown outcome."""
+    key = F.col("id").cast("bigint")
+    calls = samples.calls(spark, sf).withColumns(
+        {
+            "caller": F.when(key % 11 > 0, F.col("caller")),
+            "success": F.when(key % 13 > 0, F.col("success")),
+        }
+    )
+    return period.period_report(mark_first_calls(calls), "year")
+
+
+@query
+def landline_kinds(spark, sf):
+    """Freephone numbers, and numbers that begin with 49."""
+    key, raw = F.col("id").cast("bigint"), samples.raw_records(spark, sf)
+    kinds = F.when(key % 5 == 0, F.concat(F.lit("0049800"), "id")).when(
+        key % 5 == 1, F.substr("caller", F.lit(3))
+    )
+    found = raw.withColumn("caller", F.coalesce(kinds, "caller"))
+    return clean.add_is_landline(found).select("id", "caller", "is_landline")
+
+
+@query
+def dedup_strict(spark, sf):
+    calls = mark_first_calls(samples.rerouted_calls(spark, sf))
+    return quality.remove_duplicate_calls(calls, strict=True)
+
+
 @query
 def parsed_records(spark, sf):
     return clean.parse_records(samples.raw_records(spark, sf))
@@ -129,9 +196,13 @@ def _numbered(spark, sf):
     return raw.select("id", "caller", "is_landline")
 
 
-def _areas_with_state(spark, sf):
-    """An area table that lacks the areas of unknown state."""
-    return samples.areas(spark, sf).filter("state is not null")
+def _numbered_oddly(spark, sf):
+    """One in 17 landline numbers begins with a code that no area has."""
+    raw, caller = samples.raw_records(spark, sf), F.col("caller")
+    odd = (F.col("id").cast("bigint") % 17 == 0) & ~caller.startswith("00491")
+    moved = F.when(odd, F.concat(F.lit("0049777"), F.substr(caller, F.lit(8)))).otherwise(caller)
+    numbered = clean.add_is_landline(raw.withColumn("caller", moved))
+    return numbered.select("id", "caller", "is_landline")
 
 
 @query
@@ -141,7 +212,7 @@ def area_prefix_join(spark, sf):
 
 @query
 def area_quarantine(spark, sf):
-    found = geo.attach_area(_numbered(spark, sf), _areas_with_state(spark, sf), on_bad="flag")
+    found = geo.attach_area(_numbered_oddly(spark, sf), samples.areas(spark, sf), on_bad="flag")
     return geo.split_area_matches(found)[1]
 
 
@@ -152,12 +223,12 @@ def area_contains_join(spark, sf):
 
 @query
 def prefix_match_check(spark, sf):
-    return geo.match_counts(_numbered(spark, sf), _areas_with_state(spark, sf))
+    return geo.match_counts(_numbered_oddly(spark, sf), samples.areas(spark, sf))
 
 
 @query
 def prefix_match_distribution(spark, sf):
-    return geo.match_distribution(_numbered(spark, sf), _areas_with_state(spark, sf))
+    return geo.match_distribution(_numbered_oddly(spark, sf), samples.areas(spark, sf))
 
 
 @query
@@ -173,13 +244,15 @@ def area_code_lengths(spark, sf):
 
 @query
 def repaired_umlauts(spark, sf):
-    ascii_names = samples.calls(spark, sf).withColumn("state", F.regexp_replace("state", "ü", "ue"))
-    return clean.repair_umlauts(ascii_names).select("id", "state")
+    names = samples.areas(spark, sf).select("area_code", F.concat("area_name", F.lit("ue ")).alias("state"))
+    calls = samples.calls(spark, sf).drop("state").join(names, "area_code", "left")
+    return clean.repair_umlauts(calls).select("id", "state")
 
 
 @query
 def legacy_column(spark, sf):
-    old = samples.calls(spark, sf).withColumnRenamed("is_landline", "landline")
+    text = F.when(F.col("is_landline"), "TRUE").when(F.col("id").cast("bigint") % 3 > 0, "FALSE")
+    old = samples.calls(spark, sf).select("id", F.coalesce(text, F.lit("NA")).alias("landline"))
     return clean.adopt_legacy_column(old).select("id", "landline", "is_landline")
 
 
@@ -458,6 +531,27 @@ def union_by_name(spark, sf):
     )
 
 
+@query
+def refreshed_table(spark, sf):
+    """A table of the calls up to a day, by year, brought up to date from API records."""
+    turn = F.lit("1998-01-01").cast("date")
+    path = work_path(spark, "table")
+    old = samples.calls(spark, sf).filter(F.col("call_date") <= turn)
+    hashed = clean.hash_column(old)
+    write_calls(mark_first_calls(hashed), path, by_day=False)
+    records = samples.raw_records(spark, sf).filter(F.col("date") >= "1998-01-01")
+    refresh_table(spark, path, records, samples.areas(spark, sf), None)
+    kept = ["id", "call_date", "time_s", "caller", "state", "first_call"]
+    return read_calls(spark, path).select(*kept)
+
+
+@query
+def table_by_day(spark, sf):
+    path = work_path(spark, "days")
+    write_calls(mark_first_calls(samples.event_calls(spark, sf)), path)
+    return read_calls(spark, path)
+
+
 @query
 def annual_roundtrip(spark, sf):
     path = work_path(spark, "annual")
@@ -469,12 +563,11 @@ def annual_roundtrip(spark, sf):
 def refresh_replace_day(spark, sf):
     every = samples.calls(spark, sf)
     turn = F.lit("2000-01-01").cast("date")
-    stored = mark_first_calls(
-        every.filter(
-            (F.col("call_date") < turn)
-            | ((F.col("call_date") == turn) & (F.col("time_s") < 12 * 3600))
-        )
-    )
+    noon = (F.col("call_date") == turn) & (F.col("time_s") < 12 * 3600)
+    old = every.filter((F.col("call_date") < turn) | noon)
+    path = work_path(spark, "stored")
+    mark_first_calls(old).write.parquet(path)
+    stored = spark.read.parquet(path)
     start = last_day(stored)
     return refresh_calls(stored, every.filter(F.col("call_date") >= F.lit(start)), start)
 

@@ -3,48 +3,63 @@
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ringlog.functions.calendar import Day
-from ringlog.operators.clean import adopt_legacy_column, clean_calls, repair_umlauts
+from ringlog.functions.calendar import Day, as_day
+from ringlog.operators.clean import (
+    adopt_legacy_column,
+    clean_parsed,
+    parse_records,
+    repair_umlauts,
+)
 from ringlog.operators.first_call import mark_first_calls
-from ringlog.operators.refresh import last_day, new_rows
-from ringlog.session import work_path
+from ringlog.operators.geo import split_area_matches
+from ringlog.operators.groups import join_back
+from ringlog.operators.refresh import Range, last_day, new_rows
+from ringlog.schema import PARTITIONS, as_calls
+from ringlog.session import remove_path, work_path
 from ringlog.sources.files import read_annual, read_legacy
-from ringlog.sources.landing import records_between
-from ringlog.sources.table import PARTITIONS, read_calls, replace_partitions, write_calls
+from ringlog.sources.table import partition_columns, read_calls, replace_partitions, write_calls
 
 
-def stage_path(spark: SparkSession, path: str, part: str = "years") -> str:
-    """Where rows on their way to a table are written; each job uses it anew."""
-    name = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
-    return work_path(spark, f"stage-{name}/{part}", unique=False)
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared work folder for one job, removed when the job is done.
+
+    A job that fails leaves it, so that a replacement that was broken off can be
+    repeated.
+    """
+    folder = work_path(spark, "stage")
+    yield folder
+    remove_path(spark, folder)
 
 
-def staged(spark: SparkSession, rows: DataFrame, path: str, part: str) -> DataFrame:
-    """Rows written to the shared work folder and read from there.
+def staged(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """Rows written to a folder and read from there.
 
     What is parsed, hashed and located is then used several times without
     doing it again, and a lost executor costs no more than a part of that.
     """
-    folder = stage_path(spark, path, part)
     rows.write.mode("overwrite").parquet(folder)
-    return spark.read.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def build_table(
     spark: SparkSession,
     calls: DataFrame,
     path: str,
-    by_day: bool = False,
+    by_day: bool = True,
     observe: Observation | None = None,
 ) -> DataFrame:
     """Write a whole history with its first calls set, and read it back."""
-    history = staged(spark, calls, path, "history")
-    write_calls(mark_first_calls(history), path, by_day=by_day, observe=observe)
+    with stage(spark) as folder:
+        history = staged(spark, as_calls(calls), f"{folder}/history")
+        write_calls(mark_first_calls(history), path, by_day=by_day, observe=observe)
     return read_calls(spark, path)
 
 
@@ -54,7 +69,7 @@ def import_annual(
     path: str,
     repair: bool = False,
     legacy_column: str | None = None,
-    by_day: bool = False,
+    by_day: bool = True,
 ) -> DataFrame:
     """S1 to S10; on request with P17, and P18 for files that name is_landline otherwise."""
     calls = read_annual(spark, folder)
@@ -65,50 +80,113 @@ def import_annual(
     return build_table(spark, calls, path, by_day)
 
 
-def split_legacy(
-    spark: SparkSession, file: str, path: str, by_day: bool = False
-) -> DataFrame:
-    """The former single file as a table by year."""
+def split_legacy(spark: SparkSession, file: str, path: str, by_day: bool = True) -> DataFrame:
+    """The former single file as a table by year and day."""
     return build_table(spark, read_legacy(spark, file), path, by_day)
 
 
+@dataclass(frozen=True)
+class Refresh:
+    """What a refresh did: the first day that may have changed, and what became of the records."""
+
+    start: dt.date | None
+    calls: int
+    without_date: int
+    without_number: int
+    later: int
+    set_aside: int
+
+
+def quarantine_path(path: str) -> str:
+    """Where calls that match no area, or several, are set aside."""
+    return f"{path.rstrip('/')}-set-aside"
+
+
 def refresh_table(
     spark: SparkSession,
     path: str,
     records: DataFrame,
     areas: DataFrame,
     as_of: Day,
+    covered: Range | None = None,
     on_bad: str = "error",
     salt: str | None = None,
-) -> tuple[dt.date | None, int]:
+) -> Refresh:
     """Bring the table on disk up to as_of from raw API records.
 
-    Returns the day from which calls were replaced and the number of new
-    calls. Running it again with the same records changes nothing.
+    covered are the first and the last day of which the records hold all calls, as
+    the answer to a request for these days does; stored calls of these days are
+    replaced. Without it no stored call goes, and a call that is stored already is
+    known by its id. Running it again with the same records changes nothing.
 
-    Only the years touched are rewritten, or in a table by day only the days.
-    They are written whole to the shared work folder first and replaced from
-    there, so a run that fails while reading, cleaning or joining leaves the
-    table as it was. If it fails while replacing, repeat replace_partitions
-    with stage_path(path).
+    Records without a date that parses, without a number, or of days after as_of
+    are not stored; the result counts each. With on_bad="flag" calls that do not
+    match one area are kept out of the table and added to quarantine_path(path).
+
+    Only partitions from the first day on that the records touch are rewritten:
+    days, or the years in a table by year. They are written whole to a folder of
+    this job first and replaced from there, so a run that fails while reading,
+    cleaning or joining leaves the table as it was. One that fails while replacing
+    leaves its folder; run it again.
     """
-    current = read_calls(spark, path)
-    by_day = "day" in current.columns
-    newest_year = current.agg(F.max("year")).first()[0]
-    start = last_day(current.filter(F.col("year") == newest_year))
-    cleaned = clean_calls(
-        records_between(records, start, as_of), areas, on_bad=on_bad, salt=salt
+    with stage(spark) as folder:
+        parsed = staged(spark, parse_records(records), f"{folder}/parsed")
+        day = F.col("call_date")
+        in_time = F.lit(True) if as_of is None else day <= F.lit(as_day(as_of))
+        counts = parsed.agg(
+            F.count_if(day.isNull()).alias("without_date"),
+            F.count_if(in_time & F.col("caller").isNull()).alias("without_number"),
+            F.count_if(~in_time).alias("later"),
+        ).first()
+        wanted = parsed.filter(day.isNotNull() & in_time)
+        cleaned = clean_parsed(wanted, areas, on_bad=on_bad, salt=salt)
+        set_aside = 0
+        if on_bad == "flag":
+            flagged = staged(spark, cleaned, f"{folder}/flagged")
+            cleaned, bad = split_area_matches(flagged)
+            set_aside = _set_aside(spark, bad, quarantine_path(path))
+        fetched = staged(spark, as_calls(cleaned), f"{folder}/fetched")
+        found = fetched.agg(F.min("call_date").alias("first"), F.count(F.lit(1)).alias("n")).first()
+        start = found["first"]
+        if found.n:
+            if covered and covered[0]:
+                start = min(start, as_day(covered[0]))
+            _replace(spark, path, fetched, start, covered, f"{folder}/table")
+    return Refresh(
+        start, found.n, counts.without_date, counts.without_number, counts.later, set_aside
     )
-    fetched = staged(spark, cleaned, path, "fetched")
-    if fetched.isEmpty():
-        return start, 0
-    stored = current.drop(*PARTITIONS)
-    changed = new_rows(stored, fetched, start)
+
+
+def _replace(
+    spark: SparkSession,
+    path: str,
+    fetched: DataFrame,
+    start: dt.date,
+    covered: Range | None,
+    folder: str,
+) -> None:
+    """Write what changes from a day on to a folder, and put it in its place."""
+    current = read_calls(spark, path)
+    by_day = "day" in partition_columns(spark, path)
+    stored = current.drop(*PARTITIONS.names)
+    changed = new_rows(stored, fetched, start, covered, f"{folder}-rows")
+    since = current.filter((F.col("year") >= start.year) & (F.col("call_date") >= F.lit(start)))
+    days = [row.call_date for row in since.select("call_date").distinct().collect()]
     if not by_day:
-        kept = current.filter(
-            (F.col("year") >= start.year) & (F.col("call_date") < F.lit(start))
-        )
-        changed = kept.drop(*PARTITIONS).unionByName(changed, allowMissingColumns=True)
-    write_calls(changed, stage_path(spark, path), by_day=by_day)
-    replace_partitions(spark, stage_path(spark, path), path, start)
-    return start, fetched.count()
+        kept = current.filter((F.col("year") >= start.year) & (F.col("call_date") < F.lit(start)))
+        changed = kept.drop(*PARTITIONS.names).unionByName(changed)
+    write_calls(changed, folder, by_day=by_day)
+    replace_partitions(spark, folder, path, days)
+
+
+def _set_aside(spark: SparkSession, bad: DataFrame, path: str) -> int:
+    """Add calls to the quarantine that are not in it yet; how many there are."""
+    count = bad.count()
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = bad
+    if found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+        known = spark.read.schema(bad.schema).parquet(path)
+        new = join_back(bad, known.distinct(), bad.columns, "left_anti")
+    if count:
+        new.write.mode("append").parquet(path)
+    return count

@@ -26,6 +26,11 @@ CALLS = T.StructType(
     ]
 )
 
+# How the fact table is partitioned on disk.
+PARTITIONS = T.StructType(
+    [T.StructField("year", T.IntegerType()), T.StructField("day", T.DateType())]
+)
+
 # Heading in the exchanged files and API records -> column here.
 FILE_COLUMNS = {
     "id": "id",
@@ -110,6 +115,16 @@ UNKNOWN = "Unbk."
 ALL_STATES = "Alle"
 
 
+def as_calls(rows: DataFrame) -> DataFrame:
+    """The columns of the fact table in their order and types; missing ones are null."""
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in CALLS
+        ]
+    )
+
+
 def state_table(spark: SparkSession) -> DataFrame:
     """The sixteen states as a table of (state, state_code).
 

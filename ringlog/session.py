@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,23 +25,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="ringlog-")
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses, in the folder named by spark.checkpoint.dir.
 
-
-def work_path(spark: SparkSession, name: str, unique: bool = True) -> str:
-    """A path for a written table in the folder named by spark.checkpoint.dir.
-
-    The path is new on every call, unless unique is off. A machine-local
-    folder is only good enough when the executors are threads of this process;
-    on a cluster an unset folder is an error.
+    All executors must share that folder; an unset one is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _own_folder()
-    path = f"{base.rstrip('/')}/{name}"
-    return f"{path}-{uuid.uuid4().hex}" if unique else path
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,41 +23,63 @@ def _as_text(headings: Sequence[str]) -> T.StructType:
 FOLDER = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}
 
 
-def _csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of the CSV files below a folder, with a name for the write they came from.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of the CSV files below a folder, without empty lines."""
+    lines = spark.read.options(**FOLDER).text(path)
+    text = F.regexp_replace("value", "^\\ufeff", "")
+    return lines.select(F.col("_metadata.file_path").alias("file"), text.alias("line")).filter(
+        F.trim("line") != ""
+    )
+
 
-    Part files of one Spark write share their header.
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of every file, found in one distributed pass.
+
+    Lines get numbers that rise within a file as it is read; only those of a
+    file's beginning are compared, and the least number is combined before the
+    shuffle.
     """
-    paths = spark.read.format("binaryFile").options(**FOLDER).load(path).select("path")
-    write = F.regexp_extract("path", r"part-\d+-([0-9a-f-]{36})", 1)
-    return paths.withColumn("write", F.when(write != "", write).otherwise(F.col("path")))
+    lines = spark.read.options(**FOLDER).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", "^\\ufeff", "").alias("line"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+    lines = lines.filter((F.col("block") == 0) & (F.trim("line") != ""))
+    first = lines.groupBy("file").agg(F.min("number").alias("number"))
+    found = lines.join(first, ["file", "number"])
+    return found.select("file", F.col("line").alias("header"))
 
 
 def read_text_by_name(spark: SparkSession, path: str) -> DataFrame:
     """CSV files in a folder as text columns, matched by name; missing ones are null.
 
-    A CSV read with one schema matches columns by position. So one header per
-    write is looked at first, and files are read together only if theirs is
-    the same: the plan has one branch per kind of header, however many files
-    there are.
+    A CSV read with one schema matches columns by position. So the header of each
+    file is found first, and a line is parsed by the header of its file, which it
+    gets by a join on the file's name. The driver sees the different headers only,
+    of which there are few, however many files there are. Lines that repeat their
+    file's header are left out.
     """
-    files = _csv_files(spark, path)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in files.groupBy("write").agg(F.min("path").alias("sample")).collect():
-        header = tuple(spark.read.options(**CSV).csv(row.sample).columns)
-        if header:
-            by_header.setdefault(header, []).append(row.write)
-    if not by_header:
+    headers = _headers(spark, path)
+    kinds = sorted(row.header for row in headers.select("header").distinct().collect())
+    if not kinds:
         raise FileNotFoundError(f"no CSV files with a header in {path}")
-    if len(by_header) == 1:
-        header = next(iter(by_header))
-        return spark.read.options(**CSV, **FOLDER).schema(_as_text(header)).csv(path)
-    parts = []
-    for header, writes in sorted(by_header.items()):
-        chosen = files.filter(F.col("write").isin(writes)).select("path")
-        paths = [row.path for row in chosen.collect()]
-        parts.append(spark.read.options(**CSV).schema(_as_text(header)).csv(paths))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lines = _lines(spark, path).join(headers, "file").filter(F.col("line") != F.col("header"))
+    options = {k: v for k, v in CSV.items() if k != "header"}
+    names: list[str] = []
+    parsed = []
+    for k, header in enumerate(kinds):
+        own = [name.strip() for name in next(csv.reader([header]))]
+        names += [name for name in own if name not in names]
+        cells = F.from_csv("line", F.lit(", ".join(f"`{name}` STRING" for name in own)), options)
+        parsed.append((own, F.when(F.col("header") == F.lit(header), cells).alias(f"kind_{k}")))
+    rows = lines.select(*[cells for _, cells in parsed])
+
+    def cell(name: str) -> Column:
+        found = [F.col(f"kind_{k}")[name] for k, (own, _) in enumerate(parsed) if name in own]
+        return F.coalesce(*found) if len(found) > 1 else found[0]
+
+    return rows.select(*[cell(name).alias(name) for name in names])
 
 
 def read_annual(spark: SparkSession, path: str) -> DataFrame:

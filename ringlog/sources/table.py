@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ringlog.functions import clock_text, in_period
 from ringlog.functions.calendar import Day
-from ringlog.schema import FILE_COLUMNS
+from ringlog.schema import CALLS, FILE_COLUMNS, PARTITIONS, as_calls
 
 ORDER = ["call_date", "time_s", "caller"]
-PARTITIONS = ["year", "day"]
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """What a table on disk is partitioned by: year, or year and day."""
+    found = spark.read.schema(T.StructType([])).parquet(path).columns
+    return [name for name in PARTITIONS.names if name in found]
 
 
 def read_calls(spark: SparkSession, path: str, start: Day = None, stop: Day = None) -> DataFrame:
-    """The fact table; a period also selects the partitions to read."""
-    return in_period(spark.read.parquet(path), start, stop)
+    """The fact table; a period also selects the partitions to read.
+
+    It has the columns of the fact table whatever its files have, as files that
+    were written at different times may lack some.
+    """
+    by = partition_columns(spark, path)
+    schema = T.StructType([*CALLS.fields, *[PARTITIONS[name] for name in by]])
+    return in_period(spark.read.schema(schema).parquet(path), start, stop)
 
 
 def write_calls(
@@ -26,7 +38,7 @@ def write_calls(
     path: str,
     years: Sequence[int] | None = None,
     format: str = "parquet",
-    by_day: bool = False,
+    by_day: bool | None = None,
     observe: Observation | None = None,
 ) -> None:
     """Write calls by year, sorted by date, time and caller.
@@ -36,8 +48,9 @@ def write_calls(
     written; an observation counts them (rows_in, rows_without_date,
     rows_of_other_years).
 
-    by_day also partitions by day, for tables so large that a refresh should
-    not rewrite a year.
+    Rows get the columns and types of the fact table, nulls where they lack one.
+    Parquet is also partitioned by day unless by_day is off, so that a refresh
+    rewrites days and not a year; exchanged CSV files are by year.
 
     Rows are shuffled by month or day and rebalanced: adaptive execution cuts
     what is large into files of its advisory size, whether that is a year, a
@@ -46,7 +59,8 @@ def write_calls(
     file is sorted. CSV files have the headings in which such files are
     exchanged.
     """
-    calls = calls.withColumn("year", F.year("call_date"))
+    by_day = format == "parquet" if by_day is None else by_day
+    calls = as_calls(calls).withColumn("year", F.year("call_date"))
     wanted = F.col("year").isNotNull()
     if years is not None:
         wanted = wanted & F.col("year").isin([int(year) for year in years])
@@ -69,8 +83,13 @@ def write_calls(
         rows = rows.withColumn("time_s", clock_text(F.col("time_s"))).withColumnsRenamed(
             {c: names[c] for c in rows.columns if c in names}
         )
+    old_days: set[dt.date] = set()
+    if by_day and years is not None:
+        # Of a year that is written, days without a call any more are emptied after.
+        new_years = [row.year for row in rows.select("year").distinct().collect()]
+        old_days = _days(calls.sparkSession, path, new_years)
     writer = (
-        rows.write.partitionBy(*PARTITIONS[: 2 if by_day else 1])
+        rows.write.partitionBy(*PARTITIONS.names[: 2 if by_day else 1])
         .mode("overwrite")
         .option("partitionOverwriteMode", "static" if years is None else "dynamic")
     )
@@ -78,25 +97,50 @@ def write_calls(
         writer.option("header", "true").option("escape", '"').option("nullValue", "NA").csv(path)
     else:
         writer.parquet(path)
+    if old_days:
+        new_days = rows.filter(F.col("day").isin(sorted(old_days))).select("day").distinct()
+        gone = old_days - {row.day for row in new_days.collect()}
+        _empty(calls.sparkSession, path, {(day.year, day) for day in gone})
+
 
+def _days(spark: SparkSession, path: str, years: Sequence[int]) -> set[dt.date]:
+    """The days of some years that a table on disk has, none if there is no table."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+        return set()
+    days = read_calls(spark, path).filter(F.col("year").isin([int(year) for year in years]))
+    return {row.day for row in days.select("day").distinct().collect()}
 
-def replace_partitions(spark: SparkSession, staged: str, path: str, first: dt.date) -> None:
+
+def _empty(spark: SparkSession, path: str, keys: set[tuple]) -> None:
+    """Leave partitions without rows, as an overwrite by partitions keeps those it has none for."""
+    nothing = spark.createDataFrame([], CALLS)
+    for key in sorted(keys):
+        folder = "/".join(
+            f"{name}={value}" for name, value in zip(PARTITIONS.names, key, strict=False)
+        )
+        nothing.write.mode("overwrite").parquet(f"{path}/{folder}")
+    if keys:
+        spark.catalog.refreshByPath(path)
+
+
+def replace_partitions(
+    spark: SparkSession, staged: str, path: str, emptied: Iterable[dt.date] = ()
+) -> None:
     """R2: put the partitions of a staged table in the place of those on disk.
 
-    first is the day the staged calls replace, whose partition is emptied if
-    no call came for it. Older years go first. Can be repeated as long as the
-    staged table is there, and has to be if it fails.
+    emptied are days whose calls are all gone. Their partitions are emptied where
+    the staged table has none for them, after the others are written, so a reader
+    in between sees a call twice rather than not at all. Older years go first. Can
+    be repeated as long as the staged table is there, and has to be if it fails.
     """
-    rows = spark.read.parquet(staged)
-    by = [c for c in PARTITIONS if c in rows.columns]
-    # An overwrite by partitions keeps those it has no rows for.
-    replaced = {"year": first.year, "day": first}
-    if rows.filter(F.col(by[-1]) == F.lit(replaced[by[-1]])).isEmpty():
-        folder = "/".join(f"{c}={replaced[c]}" for c in by)
-        rows.drop(*by).limit(0).write.mode("overwrite").parquet(f"{path}/{folder}")
-    for year in sorted(row.year for row in rows.select("year").distinct().collect()):
+    by = partition_columns(spark, staged)
+    rows = read_calls(spark, staged)
+    present = {tuple(row) for row in rows.select(*by).distinct().collect()}
+    for year in sorted({key[0] for key in present}):
         one = rows.filter(F.col("year") == year).sortWithinPartitions("year", *ORDER)
         one.write.partitionBy(*by).mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(path)
+    _empty(spark, path, {(day.year, day)[: len(by)] for day in emptied} - present)
     spark.catalog.refreshByPath(path)

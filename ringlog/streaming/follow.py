@@ -22,16 +22,16 @@ def follow_landing(
 ) -> StreamingQuery:
     """Take up the response files that came since the last run, then stop.
 
-    The files of a batch together must hold all calls from the table's newest
-    day on, so put all responses to one request there before a run. Records
-    that several responses hold are taken once. The refresh of a batch can be
-    repeated without harm, so one that is run again after a failure is no
-    problem. The checkpoint belongs in a shared folder.
+    A batch may hold any part of any days: its calls are put in call by call, those
+    that are stored already by their id, and no stored call goes. So files may come
+    one by one or all at once. Records that several responses hold are taken once.
+    The refresh of a batch can be repeated without harm, so one that is run again
+    after a failure is no problem. The checkpoint belongs in a shared folder.
     """
 
     def refresh(batch: DataFrame, _: int) -> None:
         records = unwrap(batch).distinct()
-        refresh_table(batch.sparkSession, path, records, areas, as_of, on_bad, salt)
+        refresh_table(batch.sparkSession, path, records, areas, as_of, None, on_bad, salt)
 
     return (
         spark.readStream.schema(ENVELOPE)

@@ -100,7 +100,7 @@ def test_unmatched(spark, table):
     good, bad = geo.split_area_matches(geo.attach_area(calls, table, on_bad="flag"))
     assert sorted(makers.by_id(bad, "area_matches").items()) == [("1", 0), ("2", 0)]
     assert list(makers.by_id(good, "area_code").items()) == [("3", None)]
-    with pytest.raises(ValueError, match="2 landline numbers match no area"):
+    with pytest.raises(ValueError, match="without an area: 2 landline numbers"):
         geo.assert_area_matches(calls, table)
 
 

@@ -94,10 +94,9 @@ def test_known_callers(spark):
     }
 
 
-@pytest.mark.parametrize("rows_unique", [True, False])
-def test_stored_flag_is_replaced(spark, rows_unique):
+def test_stored_flag_is_replaced(spark):
     calls = makers.calls(spark, [{"first_call": True, "call_date": dt.date(2024, 3, 5)}, {}])
-    marked = mark_first_calls(calls, rows_unique=rows_unique)
+    marked = mark_first_calls(calls)
     assert makers.by_id(marked, "first_call") == {"1": False, "2": True}
 
 
@@ -105,3 +104,33 @@ def test_group_stats_match_null_keys(spark):
     rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     stats = groups.with_group_stats(rows, ["k"], F.count("*").alias("n"))
     assert sorted((row.v, row.n) for row in stats.collect()) == [(1, 2), (2, 2), (3, 1)]
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [[None, None], ["7", "7"], [None, "7"], ["7", None, "7"], ["", None], ["10", "9", "10", None]],
+)
+def test_one_first_call_whatever_the_ids(spark, ids):
+    """Null, repeated and mixed ids, of calls at the same moment and of equal rows."""
+    other = [{"id": "1", "caller": "x", "module": m} for m in ("a", None, "b")]
+    calls = makers.calls(spark, [{"id": i} for i in ids] * 2 + other)
+    marked = mark_first_calls(calls)
+    assert spark_bag(marked.drop("first_call")) == spark_bag(calls.drop("first_call"))
+    per_caller = marked.groupBy("caller").agg(F.count_if("first_call").alias("n")).collect()
+    assert [row.n for row in per_caller] == [1, 1]
+    chosen = marked.filter("first_call and caller <> 'x'").first().id
+    assert chosen == min(ids, key=lambda i: (i is not None, len(i or ""), i or ""))
+    assert marked.filter("first_call and caller = 'x'").first().module is None
+
+
+def test_only_first_moments_are_sorted(spark):
+    """Calls meet in a hash aggregate; what is sorted to be compared comes after a join with that."""
+    rows = spark.range(5000).selectExpr(
+        "cast(id as string) id", "date'2024-01-01' call_date", "cast(id as int) time_s",
+        "cast(id % 700 as string) caller",
+    )
+    marked = mark_first_calls(rows)
+    assert marked.filter("first_call").count() == 700
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("min(struct(")
+    assert "LeftSemi" in plan[at:]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import pathlib
 import re
 
 import makers
@@ -12,9 +13,16 @@ from pyspark.sql import functions as F
 
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.period import period_report
-from ringlog.operators.refresh import last_day, new_rows, refresh_calls
-from ringlog.plans.tables import import_annual, refresh_table, split_legacy, stage_path, staged
-from ringlog.schema import FILE_COLUMNS
+from ringlog.operators.refresh import known_before, last_day, refresh_calls
+from ringlog.plans.tables import (
+    Refresh,
+    import_annual,
+    quarantine_path,
+    refresh_table,
+    split_legacy,
+    staged,
+)
+from ringlog.schema import CALLS, FILE_COLUMNS
 from ringlog.session import work_path
 from ringlog.sources import samples
 from ringlog.sources.export import export_report
@@ -123,7 +131,7 @@ def test_annual_roundtrip_and_import(spark, sf_dir, tmp_path):
     again = read_annual(spark, folder)
     assert set(again.columns) == set(FILE_COLUMNS.values())
     assert spark_bag(again) == spark_bag(calls)
-    table = import_annual(spark, folder, str(tmp_path / "table"), repair=True)
+    table = import_annual(spark, folder, str(tmp_path / "table"), repair=True, by_day=False)
     assert spark_bag(table.drop("year")) == spark_bag(calls)
 
 
@@ -294,8 +302,9 @@ def test_small_range_is_one_chunk(spark):
 
 
 def test_history_is_cut_to_those_who_call_again(spark, stored, tmp_path):
-    fetched = staged(spark, makers.calls(spark, [{"call_date": "2023-12-31"}]), "x", "fetched")
-    plan = new_rows(read_calls(spark, stored), fetched, dt.date(2023, 12, 31))
+    calls = makers.calls(spark, [{"call_date": "2023-12-31"}])
+    fetched = staged(spark, calls, str(tmp_path / "fetched"))
+    plan = known_before(read_calls(spark, stored), fetched, dt.date(2023, 12, 31))
     plan = plan._jdf.queryExecution().optimizedPlan().toString()
     semi = plan.index("Join LeftSemi")
     assert "Aggregate" not in plan[semi : plan.index("Relation", semi)]
@@ -311,7 +320,7 @@ def test_refresh_replaces_the_last_day(spark):
                 {"id": "0", "caller": "z", "call_date": None},
             ],
         )
-    )
+    ).cache()
     fetched = makers.calls(
         spark,
         [
@@ -323,7 +332,7 @@ def test_refresh_replaces_the_last_day(spark):
     )
     assert last_day(stored) == dt.date(2024, 3, 5)
     wanted = {"1": True, "2": True, "3": False, "4": True}
-    once = refresh_calls(stored, fetched, stop="2024-03-06")
+    once = refresh_calls(stored, fetched, stop="2024-03-06").cache()
     assert makers.by_id(once, "first_call") == wanted
     again = refresh_calls(once, fetched, stop="2024-03-06")
     assert makers.by_id(again, "first_call") == wanted
@@ -332,7 +341,7 @@ def test_refresh_replaces_the_last_day(spark):
 
 
 def test_empty_refresh_changes_nothing(spark):
-    stored = mark_first_calls(makers.calls(spark, [{}, {"caller": None}]))
+    stored = mark_first_calls(makers.calls(spark, [{}, {"caller": None}])).cache()
     nothing = makers.calls(spark, [{}]).limit(0)
     assert spark_bag(refresh_calls(stored, nothing)) == spark_bag(stored)
 
@@ -380,7 +389,7 @@ def test_refresh_of_the_table_on_disk(spark, stored, tmp_path):
     areas = makers.areas(spark, AREAS)
     before = untouched(tmp_path / "table")
     first = refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
-    assert first == (dt.date(2023, 12, 31), 3)
+    assert first == Refresh(dt.date(2023, 12, 30), 4, 0, 1, 1, 0)
     once = spark_bag(read_calls(spark, stored))
     rows = {row.id: row for row in read_calls(spark, stored).collect()}
     assert set(rows) == {"1", "2", "3", "4", "6"}
@@ -390,7 +399,7 @@ def test_refresh_of_the_table_on_disk(spark, stored, tmp_path):
     assert untouched(tmp_path / "table") == before
 
     again = refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
-    assert again == (dt.date(2024, 1, 2), 1)
+    assert again == first
     assert spark_bag(read_calls(spark, stored)) == once
 
 
@@ -398,7 +407,7 @@ def test_refresh_without_records(spark, stored):
     before = spark_bag(read_calls(spark, stored))
     areas = makers.areas(spark, AREAS)
     nothing = refresh_table(spark, stored, batch(spark).limit(0), areas, "2024-01-05")
-    assert nothing == (dt.date(2023, 12, 31), 0)
+    assert nothing == Refresh(None, 0, 0, 0, 0, 0)
     assert spark_bag(read_calls(spark, stored)) == before
 
 
@@ -416,24 +425,62 @@ def test_last_day_that_is_fetched_empty(spark, tmp_path, by_day):
     calls = makers.calls(spark, [{"id": "1", "call_date": "2022-06-01"}, {"call_date": "2023-01-01"}])
     write_calls(mark_first_calls(calls), path, by_day=by_day)
     late = makers.records(spark, [{"id": "5", "date": "2024-01-02"}])
-    refresh_table(spark, path, late, makers.areas(spark, AREAS), "2024-01-05")
+    covered = ("2023-01-01", "2024-01-05")
+    refresh_table(spark, path, late, makers.areas(spark, AREAS), "2024-01-05", covered)
     assert sorted((row.id, row.year) for row in read_calls(spark, path).collect()) == [
         ("1", 2022),
         ("5", 2024),
     ]
 
 
-def test_replacing_can_be_repeated(spark, stored):
+def test_replacing_can_be_repeated(spark, stored, tmp_path):
+    by_day = "day" in read_calls(spark, stored).columns
+    new = makers.calls(spark, [{"id": "7", "call_date": "2023-12-31"}, {"id": "8", "call_date": "2024-01-01"}])
+    write_calls(mark_first_calls(new), str(tmp_path / "new"), by_day=by_day)
+    for _ in range(2):
+        replace_partitions(spark, str(tmp_path / "new"), stored, [dt.date(2023, 12, 30)])
+        ids = sorted(row.id for row in read_calls(spark, stored).collect())
+        assert ids == ["1", "7", "8"]
+
+
+def test_years_only_replaces_their_days(spark, tmp_path):
+    path = str(tmp_path / "table")
+    old = [{"id": str(k), "call_date": f"202{k}-01-0{k}"} for k in (1, 2, 3)]
+    write_calls(makers.calls(spark, old), path)
+    write_calls(makers.calls(spark, [{"id": "9", "call_date": "2022-05-05"}]), path, years=[2022, 2024])
+    assert sorted(row.id for row in read_calls(spark, path).collect()) == ["1", "3", "9"]
+
+
+def test_files_of_several_schemas(spark, tmp_path):
+    """Files that lack columns are read with nulls, and no column is lost."""
+    path = str(tmp_path / "table")
+    bare = makers.calls(spark, [{"id": None, "call_date": "2022-01-01"}]).drop("id", "module", "plz")
+    write_calls(bare, path)
+    write_calls(makers.calls(spark, [{"id": "2", "call_date": "2023-01-01"}]), path, years=[2023])
+    found = read_calls(spark, path)
+    assert found.columns[:-2] == CALLS.names
+    assert {row.id for row in found.collect()} == {None, "2"}
+
+
+def test_records_are_counted_not_lost(spark, stored, tmp_path):
     areas = makers.areas(spark, AREAS)
-    refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
-    done = spark_bag(read_calls(spark, stored))
-    last = "year=2024/day=2024-01-02" if "day" in done[0] else "year=2024"
-    spark.read.parquet(f"{stored}/{last}").limit(0).write.mode("overwrite").parquet(
-        f"{stored}/{last}"
-    )
-    assert spark_bag(read_calls(spark, stored)) != done
-    replace_partitions(spark, stage_path(spark, stored), stored, dt.date(2023, 12, 31))
-    assert spark_bag(read_calls(spark, stored)) == done
+    records = makers.records(
+        spark,
+        [
+            {"id": "10", "date": "2024/01/02"}, {"id": "11", "date": "2024.01.02", "time": "12:30"},
+            {"id": "12", "date": "02.01.2024"}, {"id": "13", "date": "2024-01-02", "caller": None},
+            {"id": "14", "date": "2024-01-02", "caller": "0049777"},
+        ],
+    )
+    for _ in range(2):
+        done = refresh_table(spark, stored, records, areas, "2024-01-05", on_bad="flag")
+        assert done == Refresh(dt.date(2024, 1, 2), 2, 1, 1, 0, 1)
+        ids = {row.id for row in read_calls(spark, stored).collect()}
+        assert ids == {"1", "2", "3", "10", "11"}
+        aside = spark.read.parquet(quarantine_path(stored)).collect()
+        assert [(row.id, row.area_matches) for row in aside] == [("14", 0)]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert not list(pathlib.Path(shared).glob("stage-*"))
 
 
 def test_follow_landing(spark, stored, tmp_path):
@@ -457,6 +504,13 @@ def test_follow_landing(spark, stored, tmp_path):
     text(landing / "3.json", envelope(four, api_row(id="5", date="2024-01-02", caller="0049892")))
     assert run() == {"1": True, "2": True, "3": True, "4": True, "5": False}
     assert set(run()) == {"1", "2", "3", "4", "5"}
+    # A file with a later day only, and one with an earlier day, take nothing away.
+    text(landing / "4.json", envelope(api_row(id="6", date="2024-01-03", caller="0049893")))
+    assert set(run()) == {"1", "2", "3", "4", "5", "6"}
+    text(landing / "5.json", envelope(api_row(id="0", date="2023-12-31", caller="0049893", time="01:00:00")))
+    late = run()
+    assert set(late) == {"0", "1", "2", "3", "4", "5", "6"}
+    assert late["0"] and not late["6"]
 
 
 # Made-up calls

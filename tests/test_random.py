@@ -313,7 +313,7 @@ def test_refresh_continues_the_history(both):
     _, marked, _ = both
     dated = marked.filter("call_date is not null")
     for day in ("2023-12-20", "2024-01-07", "2024-01-28"):
-        stored = mark_first_calls(dated.filter(F.col("call_date") <= day))
+        stored = mark_first_calls(dated.filter(F.col("call_date") <= day)).cache()
         fetched = dated.drop("first_call").filter(F.col("call_date") >= day)
         whole = spark_bag(mark_first_calls(dated))
         assert spark_bag(refresh_calls(stored, fetched)) == whole

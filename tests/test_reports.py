@@ -292,7 +292,7 @@ def test_dedup(spark):
     assert quality.distinct_check(calls).first().ok
     repeated = calls.drop("id", "module")
     assert tuple(quality.distinct_check(repeated).first()) == (3, 2, False)
-    with pytest.raises(ValueError, match="3 rows vs 2 distinct"):
+    with pytest.raises(ValueError, match="1 of 3 rows"):
         quality.assert_distinct(repeated)
 
 
