@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -57,7 +58,9 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cores, int(cores) if cores.isdigit() else 8)
+    shared = tempfile.mkdtemp(prefix="ringlog-bench-")
+    parts = int(cores) if cores.isdigit() else 8
+    spark = local_session(cores, parts, **{"spark.checkpoint.dir": shared})
     for name in names:
         seconds(spark, name, sf_dir)
     times = {

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,14 +27,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="ringlog-")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A path that nothing else uses, in the folder named by spark.checkpoint.dir.
 
-    All executors must share that folder; an unset one is an error.
+    All executors must share that folder. Where it is unset, a local session, whose
+    executors are threads of this process, gets a folder of its own; on a cluster
+    that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
