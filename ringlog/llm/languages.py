@@ -54,6 +54,11 @@ SCRIPT_SHARE = 0.01
 SWITCH = 12.0
 UNDETERMINED = "und"
 
+#: Characters that are turned into features at a time, and bytes of text whose words
+#: are labelled together.
+PIECE_CHARS = 250_000
+LABEL_BYTES = 4_000_000
+
 CODES = 0x110000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -169,7 +174,7 @@ def fit(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.unpackbits(np.frombuffer(bits, np.uint8), count=CODES).astype(bool)
         scripts = script_table()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PIECE_CHARS):
             langs = np.array(part.column("lang").to_pylist(), dtype=object)
             texts = part.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -237,8 +242,8 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-per_text, kind="stable")
     sizes = per_text[order]
     begins = (np.cumsum(per_text) - per_text)[order]
-    own = np.arange(states, dtype=np.int32)
-    back = np.zeros((count, states), np.int32)
+    own = np.arange(states, dtype=np.int16)
+    back = np.zeros((count, states), np.int16)
     last = np.zeros((len(order), states))
     active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
     for step, live in enumerate(active):
@@ -261,16 +266,65 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
+def pieces_of(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
+    """The texts in lists of about PIECE_CHARS, as (text, offset, part).
+
+    Longer texts are cut at a space, or where there is none anywhere.
+    """
+    held: list[tuple[int, int, str]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = min(len(text), at + PIECE_CHARS)
+            if end < len(text):
+                space = text.rfind(" ", at + 1, end)
+                end = space if space > 0 else end
+            if held and size + end - at > PIECE_CHARS:
+                yield held
+                held, size = [], 0
+            held.append((k, at, text[at:end]))
+            size += end - at
+            at = end
+    if held:
+        yield held
+
+
+@dataclass
+class Scored:
+    """The words of some texts in order, with their scores."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    scripts: np.ndarray
+    scores: np.ndarray
+    per_text: np.ndarray
+
+
+def scored(texts: list[str | None], model: Model, letters, scripts) -> Scored:
+    parts = [
+        (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8),
+         np.empty((0, len(model.languages)), np.float32), np.empty(0, np.int64))
+    ]
+    for held in pieces_of(texts) if model.languages else ():
+        words = words_of([part for _, _, part in held], letters, scripts)
+        owner = np.repeat([k for k, _, _ in held], words.per_text)
+        offset = np.repeat([at for _, at, _ in held], words.per_text)
+        scores = word_scores(words, model)
+        parts.append((words.starts + offset, words.sizes, words.scripts, scores, owner))
+    starts, sizes, own, scores, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    counts = np.bincount(owner.astype(np.int64), minlength=len(texts))
+    return Scored(starts, sizes, own, scores, counts)
+
+
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
 
 def label(texts: list[str | None], model: Model, letters: np.ndarray, scripts: np.ndarray) -> list:
     """Columns lang, score and spans of some texts."""
     count = len(texts)
-    if not model.languages:
-        texts = [None] * count
-    words = words_of(texts, letters, scripts)
-    labels = viterbi(word_scores(words, model), words.per_text)
+    words = scored(texts, model, letters, scripts)
+    labels = viterbi(words.scores, words.per_text)
     text_of = np.repeat(np.arange(count), words.per_text)
     states = len(model.languages)
     place = text_of * states + labels
@@ -333,7 +387,7 @@ def identified(docs: DataFrame, model: Model, text_col: str, out: str) -> DataFr
                 pa.StructArray.from_arrays(
                     label(part.column(0).to_pylist(), model, letters, scripts), fields=list(kind)
                 )
-                for part in slices(iter([batch]), "text")
+                for part in slices(iter([batch]), "text", LABEL_BYTES)
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 

@@ -71,6 +71,20 @@ def test_viterbi_is_the_best_path():
         at += size
 
 
+def test_long_texts_are_cut_at_spaces(model, monkeypatch):
+    letters = np.unpackbits(np.frombuffer(model.letters, np.uint8), count=languages.CODES).astype(bool)
+    scripts = languages.script_table()
+    texts = ["the and of " * 50, None, "x" * 90, "", "und die das " * 20, "  "]
+    whole = languages.scored(texts, model, letters, scripts)
+    monkeypatch.setattr(languages, "PIECE_CHARS", 100)
+    parts = languages.scored(texts, model, letters, scripts)
+    for name in ("starts", "sizes", "scripts", "per_text"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+    assert np.allclose(whole.scores, parts.scores)
+    monkeypatch.setattr(languages, "PIECE_CHARS", 7)
+    assert sum(languages.scored(["x" * 90], model, letters, scripts).sizes) == 90
+
+
 def test_odd_rows(odd_docs, no_docs, model):
     rows = languages.identified(odd_docs, model, "text", "said").collect()
     assert len(rows) == odd_docs.count()
