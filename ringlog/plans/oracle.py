@@ -6,9 +6,19 @@ takes the plain form, so the two agree only if the rewrite is right.
 
 from __future__ import annotations
 
-from ringlog.functions.calendar import WEEKDAYS
-from ringlog.operators.origin import MEASURES, ORIGINS, UNLABELLED, column_of
-from ringlog.schema import MOBILE, STATES
+# Fixed values, written out here so that a wrong one in the library shows.
+WEEKDAYS = ["Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag"]
+STATES = [
+    ("Baden-Württemberg", "BW"), ("Bayern", "BY"), ("Berlin", "BE"), ("Brandenburg", "BB"),
+    ("Bremen", "HB"), ("Hamburg", "HH"), ("Hessen", "HE"), ("Mecklenburg-Vorpommern", "MV"),
+    ("Niedersachsen", "NI"), ("Nordrhein-Westfalen", "NW"), ("Rheinland-Pfalz", "RP"),
+    ("Saarland", "SL"), ("Sachsen", "SN"), ("Sachsen-Anhalt", "ST"), ("Schleswig-Holstein", "SH"),
+    ("Thüringen", "TH"),
+]
+MOBILE, UNLABELLED = "Mobil", "NA"
+ORIGINS = [MOBILE, *sorted(code for _, code in STATES), "Unbk."]
+MEASURES = ("calls", "callers", "first_callers")
+_COLUMN = {"Mobil": "mobil", "Unbk.": "unbk", "NA": "na"} | {c: c.lower() for _, c in STATES}
 
 _STATE_LIST = ", ".join(f"'{name}'" for name, _ in STATES)
 _STATE_ROWS = ", ".join(f"('{name}', '{code}')" for name, code in STATES)
@@ -232,7 +242,7 @@ def _pivot(shown: bool = False) -> str:
     ordered = [MOBILE, *sorted({*ORIGINS, UNLABELLED} - {MOBILE})]
     cells = ", ".join(
         f"""coalesce(sum({m}) FILTER (WHERE coalesce(origin, 'NA') = '{o}'), 0)::BIGINT
-            AS "{f"{o} {head[m]}" if shown else column_of(o, m)}\""""
+            AS "{f"{o} {head[m]}" if shown else f"{_COLUMN[o]}_{m}"}\""""
         for o in ordered
         for m in MEASURES
     )
