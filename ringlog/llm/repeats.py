@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 from .decontaminate import BASE, INVERSE, mixed, powers, words_of
+from .scratch import written
 
 LEAST_WORDS = 8
 #: Bytes that end a unit.
@@ -125,7 +126,9 @@ def repeated(
     groups = rows.groupBy("k1", "k2").agg(
         F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.min("id").alias("kept_id")
     )
-    groups = groups.where("n > 1").drop("n")
+    # Written first: a join of the paragraphs with what is read again, not with the
+    # aggregate that lies by the same key, is one that adaptive execution can cut.
+    groups = written(groups.where("n > 1").drop("n"), "repeated")
     return (
         rows.join(groups, ["k1", "k2"])
         .where("rank > first")
