@@ -37,8 +37,9 @@ UNIGRAM, BPE = 1, 2
 #: How far the score of an unknown character lies below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ "
-#: Answers about pairs of pieces that a task remembers at most.
-MOST_PAIRS = 2_000_000
+#: Answers about pairs of pieces, and words, that a task remembers at most.
+MOST_PAIRS = 500_000
+MOST_WORDS = 200_000
 
 
 # The model file
@@ -91,7 +92,6 @@ class Model:
         }
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = [k for k, kind in enumerate(self.kinds) if kind == BYTE]
-        self.longest = max(map(len, self.ids), default=1)
 
 
 def read_model(path: str) -> Model:
@@ -166,9 +166,15 @@ class Search:
         self.ends: dict[int, tuple[Spine, Spine] | None] = {}
         self.floor = min(model.scores, default=0.0) - UNKNOWN_PENALTY
         self.word = ""
+        self.known: dict[str, tuple[int, ...]] = {}
         # By number of characters: id of the last piece (under 0: an unknown
         # character), where it begins, and the score.
         self.last, self.begin, self.score = [0], [0], [0.0]
+        # Where pieces that go on may have begun, by number of characters; and the
+        # beginnings of all pieces, with their ids or -1.
+        self.open: list[list[int]] = [[]]
+        self.prefixes = {piece[:k]: -1 for piece in model.ids for k in range(1, len(piece))}
+        self.prefixes.update(model.ids)
 
     def _spines(self, piece: int) -> tuple[Spine, Spine] | None:
         if piece not in self.ends:
@@ -182,36 +188,44 @@ class Search:
         a piece at the left end of the other have a merge before either is taken
         up by its own: at equal scores the merge further left comes first.
         """
-        key = (left + 1) * len(self.model.pieces) + right
-        known = self.pairs.get(key)
-        if known is None:
-            after, before = self._spines(right), self._spines(left) if left >= 0 else ([], [])
-            known = after is not None
-            for a, a_ends in before[1] if known else ():
-                for b, b_ends in after[0]:
-                    both = self.model.ids.get(a + b)
-                    if both is not None and a_ends < self.model.scores[both] >= b_ends:
-                        known = False
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+        after, before = self._spines(right), self._spines(left) if left >= 0 else ([], [])
+        known = after is not None
+        for a, a_ends in before[1] if known else ():
+            for b, b_ends in after[0]:
+                both = self.model.ids.get(a + b)
+                if both is not None and a_ends < self.model.scores[both] >= b_ends:
+                    known = False
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        self.pairs[(left + 1) * len(self.model.scores) + right] = known
         return known
 
     def _step(self, word: str, end: int) -> None:
-        ids, scores, last = self.model.ids, self.model.scores, self.last
+        """The state of a prefix from those of shorter ones, earliest beginnings first."""
+        prefixes, scores, last = self.prefixes, self.model.scores, self.last
+        pairs, count = self.pairs, len(scores)
         best, piece, start = -np.inf, -1, end - 1
-        for begin in range(max(0, end - self.model.longest), end):
-            found = ids.get(word[begin:end])
+        open_ = []
+        for begin in (*self.open[end - 1], end - 1):
+            found = prefixes.get(word[begin:end])
             if found is None:
                 continue
+            open_.append(begin)
+            if found < 0:
+                continue
             if self.bpe:
-                if self._follows(last[begin] if begin else -1, found):
-                    best, piece, start = 0.0, found, begin
-                    break
+                if piece < 0:
+                    left = last[begin] if begin else -1
+                    follows = pairs.get((left + 1) * count + found)
+                    if follows is None:
+                        follows = self._follows(left, found)
+                    if follows:
+                        best, piece, start = 0.0, found, begin
             elif self.score[begin] + scores[found] > best:
                 best, piece, start = self.score[begin] + scores[found], found, begin
         if piece < 0:
             best = self.score[end - 1] + (0.0 if self.bpe else self.floor)
+        self.open.append(open_)
         last.append(piece)
         self.begin.append(start)
         self.score.append(best)
@@ -221,7 +235,7 @@ class Search:
         shared, most = 0, min(len(word), len(self.word))
         while shared < most and word[shared] == self.word[shared]:
             shared += 1
-        for states in (self.last, self.begin, self.score):
+        for states in (self.last, self.begin, self.score, self.open):
             del states[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             self._step(word, end)
@@ -262,9 +276,13 @@ def encode_texts(
             found = words.findall(prefix + text.replace(" ", MARK))
             sequence.extend([places.setdefault(word, len(places)) for word in found])
             counts[k] = len(found)
-    encoded: list[list[int]] = [[]] * len(places)
-    for word in sorted(places):
-        encoded[places[word]] = search.encode(word)
+    # Words of the last texts are known; the others are gone through in order.
+    known = search.known
+    for word in sorted(places.keys() - known.keys()):
+        known[word] = tuple(search.encode(word))
+    encoded = [known[word] for word in places]
+    if len(known) > MOST_WORDS:
+        search.known = {word: known[word] for word in places} if len(places) < MOST_WORDS else {}
     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
     values = np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths.sum()))
     starts = np.cumsum(lengths) - lengths
@@ -277,21 +295,49 @@ def encode_texts(
     return taken, np.diff(edges)
 
 
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 2_000_000
+
+
 def encode(text: Column, model: Model) -> Column:
     """The ids of a text as array<int>; none for a null or empty text."""
+    return _coded(text, model, False)
+
+
+def encode_checked(text: Column, model: Model) -> Column:
+    """struct<ids, round_trip>: as encode, and whether decoding the ids gives the text back.
+
+    A null text counts as empty. Decoding cannot tell the mark U+2581 from a space.
+    """
+    return _coded(text, model, True)
+
+
+def _coded(text: Column, model: Model, checked: bool) -> Column:
+    ids = pa.list_(pa.int32())
+    kind = pa.struct([("ids", ids), ("round_trip", pa.bool_())]) if checked else ids
+
+    def code(search: Search, words: re.Pattern, table: pa.Array, part: pa.Array) -> pa.Array:
+        texts = part.to_pylist()
+        found = lists(*encode_texts(model, search, words, texts), pa.int32())
+        if not checked:
+            return found
+        back = decode_lists(table, found, model.dummy_prefix)
+        same = [a == (b or "") for a, b in zip(back, texts, strict=True)]
+        return pa.StructArray.from_arrays([found, pa.array(same, pa.bool_())], fields=list(kind))
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        search, words = Search(model), word_pattern(model)
+        search, words, table = Search(model), word_pattern(model), piece_bytes(model)
         for column in columns:
             batch = pa.RecordBatch.from_arrays([column], ["text"])
             parts = [
-                lists(*encode_texts(model, search, words, part.column(0).to_pylist()), pa.int32())
-                for part in slices(iter([batch]), "text")
+                code(search, words, table, part.column(0))
+                for part in slices(iter([batch]), "text", ENCODE_BYTES)
             ]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>")(text)
+    name = "struct<ids:array<int>,round_trip:boolean>" if checked else "array<int>"
+    return F.arrow_udf(run, name)(text)
 
 
 # Decoding

@@ -31,12 +31,12 @@ def op1_pieces(
 ) -> DataFrame:
     model = pieces.read_model(model_path)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.withColumn("ids", pieces.encode(F.col("text"), model))
-    return found.withColumn("decoded", pieces.decode(F.col("ids"), model)).select(
+    found = docs.withColumn("coded", pieces.encode_checked(F.col("text"), model))
+    return found.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_ids"),
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.size("coded.ids").cast("bigint").alias("n_ids"),
+        "coded.ids",
+        "coded.round_trip",
     )
 
 

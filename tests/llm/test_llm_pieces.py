@@ -68,6 +68,10 @@ def test_columns(spark, model, library, odd_docs, no_docs):
         assert row.back == (row.text or "")
     assert any(row.text == LONG for row in rows)
     assert coded(no_docs).count() == 0
+    checked = odd_docs.select("text", pieces.encode_checked(F.col("text"), model).alias("c")).collect()
+    assert [(r.c.ids, r.c.round_trip) for r in checked] == [
+        (library.encode(r.text) if r.text else [], True) for r in checked
+    ]
     null = spark.range(1).select(pieces.decode(F.lit(None).cast("array<int>"), model).alias("t"))
     assert null.first().t is None
 
