@@ -103,3 +103,47 @@ def test_audit_sees_what_is_missing(spark):
     half = edges.where("u % 2 = 0")
     assert neighbours.audit(nodes, half, 0.9) == pytest.approx(0.5, abs=0.2)
     assert neighbours.audit(nodes, edges.limit(0), 0.9) == 0
+
+
+def rare_pairs(count, pairs, size=64, seed=3):
+    """Vectors without links, but for some lone pairs at a cosine of 0.905."""
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(count, size))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for k in range(pairs):
+        side = rng.normal(size=size)
+        side -= m[2 * k] * (side @ m[2 * k])
+        m[2 * k + 1] = 0.905 * m[2 * k] + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side)
+    return [(k, [float(x) for x in v]) for k, v in enumerate(m)]
+
+
+def test_audit_goes_on_to_nodes_with_links(spark):
+    nodes = spark.createDataFrame(rare_pairs(900, 1), "node bigint, vector array<double>").repartition(3)
+    nothing = spark.createDataFrame([], neighbours.PAIR)
+    first = nodes.orderBy("node").where("node > 1").union(nodes.where("node < 2"))
+    assert neighbours.audit(first, nothing, 0.9, 10) == 0
+    parts, audited, having = neighbours.true_links(nodes, 0.9, 10, 1)
+    assert having >= 1 and audited <= 900 and sum(part.count() for part in parts) == having
+    assert neighbours.audit(nodes.where("node > 1"), nothing, 0.9, 10) == 1
+
+
+def test_lone_pairs(spark):
+    rows = rare_pairs(6000, 300)
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(6)
+    found = {r.id: r.component_id for r in neighbours.near_duplicates(frame).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(300)) >= 0.999 * 300
+
+
+def test_a_missed_target_fails(spark, monkeypatch):
+    rows = rare_pairs(40, 5)
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    graph = neighbours.graph
+    monkeypatch.setattr(neighbours, "graph", lambda *a, **b: (graph(*a, **b)[0], 0.5))
+    with pytest.raises(RuntimeError, match="0.5000 of the audited links"):
+        neighbours.near_duplicates(frame).collect()
+
+
+def test_effort_grows_with_rows():
+    found = [neighbours.effort(10**k, 64, 0.9) for k in (3, 6, 9)]
+    assert all(a < b for a, b in zip(found, found[1:], strict=False))
+    assert found[0][0] < found[1][0] < found[2][0] and found[0][1] < found[1][1] < found[2][1]
