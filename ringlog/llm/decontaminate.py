@@ -2,17 +2,18 @@
 
 Words are lower-cased runs of letters and digits. An item is in a document if a
 stretch of the document is within a word edit distance of a fifth of the item's
-words. To find such stretches, items of about one size form a class, and windows
-of that size begin at every word of a document. Windows and items are embedded by
+words. To find such stretches, long items are cut into pieces, of which one has at
+most its part of the edits; pieces of about one size form a class, and windows of
+that size begin at every word of a document. Windows and pieces are embedded by
 random walks (Chakraborty, Goldenberg, Koucky): the walk gives out the word it
 stands at, and a random bit of that word and the step says whether it moves on.
 Near in edit distance becomes near in Hamming distance, so keys made of a few
-sampled steps are often equal. Walks and samples are repeated until a stretch at
-the allowed distance is expected to share a key with its item. The exact distance
-decides on each pair that does.
+sampled steps are often equal. Walks and samples of a class are as many as made-up
+pieces at its largest distance need to share a key with their stretch. The exact
+distance decides on each pair of item and document that does.
 
 A window that holds more words unknown to the benchmark than the distance allows
-cannot be near any item, and is not walked.
+cannot be near any piece, and is not walked.
 
 All windows of a batch of texts are walked together as arrays.
 """
@@ -23,6 +24,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,17 @@ from .batches import slices
 SIMILARITY = 0.8
 #: Items of fewer words are not looked for.
 LEAST_WORDS = 5
-#: Steps in a key, walks, and the share of stretches at the allowed distance that
-#: share a key with their item, if a sampled step of theirs agrees with STEP_AGREES.
+#: Words that a piece of an item has at least.
+PIECE_WORDS = 30
+#: Steps in a key, least and most walks, most samples of a walk, and the share of
+#: stretches at the largest distance of a class that share a key with their piece,
+#: as measured on TRIALS made-up pieces of each kind.
 SAMPLES = 3
 WALKS = 3
-STEP_AGREES = 0.5
+MOST_WALKS = 48
+MOST_SAMPLES = 16
 TARGET_RECALL = 0.95
+TRIALS = 400
 #: Items are looked for in blocks of at most this many, so that what a task gets of
 #: the benchmark is bounded; every block is a pass over the documents.
 BLOCK_ITEMS = 20_000
@@ -54,12 +61,6 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 KNOWN_BITS = 20
 
 
-def repetitions() -> int:
-    """Samples per walk, so that all walks together reach the target."""
-    missed = 1 - STEP_AGREES**SAMPLES
-    return math.ceil(math.log(1 - TARGET_RECALL) / math.log(missed) / WALKS)
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     values = values ^ (values >> np.uint64(30))
     values = values * MIX[0]
@@ -145,7 +146,7 @@ class Plan:
     def steps(self, size: int, walk: int) -> np.ndarray:
         """(samples, SAMPLES): the steps sampled on a walk over about `size` words."""
         rng = np.random.default_rng([self.seed, size, walk])
-        return rng.integers(0, 2 * size, (self.samples, SAMPLES))
+        return rng.integers(0, 2 * size, (MOST_SAMPLES, SAMPLES))[: self.samples]
 
     def keys(self, hashes: np.ndarray, at: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
         """(walks * samples, windows): the keys of windows that begin at `at`.
@@ -172,22 +173,73 @@ class Plan:
         return mixed(found + np.arange(len(found), dtype=np.uint64)[:, None])
 
 
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator, mixed_kinds: bool) -> list:
+    """The words with random substitutions, or with insertions and deletions among them."""
+    found = words.tolist()
+    for _ in range(edits):
+        at = int(rng.integers(len(found)))
+        kind = int(rng.integers(3)) if mixed_kinds and len(found) > 1 else 0
+        new = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+        found[at : at + (kind != 1)] = new
+    return found
+
+
+@cache
+def plan_for(seed: int, least: int, most: int, allowed: int) -> Plan:
+    """The fewest keys with which made-up pieces share one with their stretch as often as wanted.
+
+    The pieces are of the least and of the most words, with all the edits allowed,
+    and other words follow.
+    """
+    rng = np.random.default_rng([seed, least, most, allowed])
+    pieces, windows = [], []
+    for size in (least, most):
+        for kinds in (False, True):
+            for _ in range(TRIALS):
+                words = rng.integers(1, 1 << 62, size).astype(np.uint64)
+                after = rng.integers(1, 1 << 62, most + allowed).tolist()
+                pieces.append(words)
+                window = edited(words, allowed, rng, kinds) + after
+                windows.append(np.array(window[: most + allowed], np.uint64))
+    joined = []
+    for parts in (pieces, windows):
+        ends = np.cumsum([len(part) for part in parts])
+        joined.append((np.concatenate(parts), ends - [len(part) for part in parts], ends))
+    walks = WALKS
+    while walks <= MOST_WALKS:
+        most_keys = Plan(seed, walks, MOST_SAMPLES)
+        one, other = (most_keys.keys(*parts, least) for parts in joined)
+        shared = (one == other).reshape(walks, MOST_SAMPLES, 4, TRIALS)
+        # By number of samples, the recall of the kind of pieces that is found least.
+        recall = np.logical_or.accumulate(shared.any(axis=0), axis=0).mean(axis=2).min(axis=1)
+        enough = np.flatnonzero(recall >= TARGET_RECALL)
+        if len(enough):
+            return Plan(seed, walks, int(enough[0]) + 1)
+        walks += max(1, walks // 3)
+    raise ValueError(
+        f"no plan finds {allowed} edits in {least} to {most} words with recall {TARGET_RECALL}"
+    )
+
+
 # The benchmark
 
 
 @dataclass
 class Class:
-    """Items of about one size: the least and the most words, and all their keys in order."""
+    """Pieces of about one size: the least and the most words, the most edits, and in order
+    of their keys the item that each is of, and the words of it before the piece."""
 
     least: int
     most: int
+    allowed: int
+    plan: Plan
     keys: np.ndarray
     items: np.ndarray
+    offsets: np.ndarray
 
 
 @dataclass
 class Index:
-    plan: Plan
     similarity: float
     items: list[np.ndarray]
     known: np.ndarray
@@ -198,28 +250,49 @@ class Index:
         return math.floor((1 - self.similarity) * words + 1e-9)
 
 
+def cut(size: int, edits: int) -> int:
+    """Into how many pieces an item is cut: where a piece's edits are fewest for its size.
+
+    With so many edits in all, one of n pieces has at most an n-th of them. Walks
+    drift apart with the square of the edits.
+    """
+    most = max(1, size // PIECE_WORDS)
+    return min(range(1, most + 1), key=lambda n: ((edits // n) ** 2 * n, n))
+
+
 def index(texts: list[str | None], similarity: float, least: int, seed: int = 8) -> Index:
     words = words_of(texts)
     items = [words.hashes[words.text == k] for k in range(len(texts))]
-    plan = Plan(seed, WALKS, repetitions())
-    found = Index(plan, similarity, items, np.zeros(1 << KNOWN_BITS, bool), [])
-    sizes = sorted((len(item), k) for k, item in enumerate(items) if len(item) >= least)
-    groups: list[list[int]] = []
-    for size, k in sizes:
-        if not groups or size > CLASS_RATIO * len(items[groups[-1][0]]):
+    found = Index(similarity, items, np.zeros(1 << KNOWN_BITS, bool), [])
+    parts: list[tuple[int, int, int, int]] = []  # words, edits, item, words before
+    for k, item in enumerate(items):
+        if len(item) < least:
+            continue
+        count = cut(len(item), found.edits(len(item)))
+        bounds = [len(item) * j // count for j in range(count + 1)]
+        edits = found.edits(len(item)) // count
+        parts += [(b - a, edits, k, a) for a, b in zip(bounds, bounds[1:], strict=False)]
+    groups: list[list[tuple[int, int, int, int]]] = []
+    for part in sorted(parts):
+        if not groups or part[0] > CLASS_RATIO * groups[-1][0][0]:
             groups.append([])
-        groups[-1].append(k)
+        groups[-1].append(part)
     for group in groups:
-        shortest, longest = len(items[group[0]]), len(items[group[-1]])
-        joined = np.concatenate([items[k] for k in group])
+        shortest, longest = group[0][0], group[-1][0]
+        allowed = max(edits for _, edits, _, _ in group)
+        plan = plan_for(seed, shortest, longest, allowed)
+        joined = np.concatenate([items[k][a : a + size] for size, _, k, a in group])
         found.known[joined & np.uint64((1 << KNOWN_BITS) - 1)] = True
-        ends = np.cumsum([len(items[k]) for k in group])
-        starts = ends - [len(items[k]) for k in group]
-        keys = plan.keys(joined, starts, ends, shortest)
+        sizes = np.array([size for size, _, _, _ in group])
+        ends = np.cumsum(sizes)
+        keys = plan.keys(joined, ends - sizes, ends, shortest)
         flat = keys.ravel()
         order = np.argsort(flat, kind="stable")
-        owners = np.tile(np.array(group), len(keys))
-        found.classes.append(Class(shortest, longest, flat[order], owners[order]))
+        owners = np.tile(np.array([k for _, _, k, _ in group]), len(keys))
+        offsets = np.tile(np.array([a for _, _, _, a in group]), len(keys))
+        found.classes.append(
+            Class(shortest, longest, allowed, plan, flat[order], owners[order], offsets[order])
+        )
     return found
 
 
@@ -227,13 +300,13 @@ def index(texts: list[str | None], similarity: float, least: int, seed: int = 8)
 
 
 def candidates(found: Index, words: Words) -> dict[tuple[int, int], set[int]]:
-    """By text and item, the words at which a window shares a key with the item."""
+    """By text and item, the words at which it would begin if a piece is where a key is shared."""
     pairs: dict[tuple[int, int], set[int]] = defaultdict(set)
     count = len(words.hashes)
     known = found.known[words.hashes & np.uint64((1 << KNOWN_BITS) - 1)]
     sums = np.concatenate(([0], np.cumsum(known)))
     for each in found.classes:
-        allowed = found.edits(each.most)
+        allowed = each.allowed
         begins = np.arange(count)
         inside = np.minimum(words.left, each.least)
         good = sums[begins + inside] - sums[begins] >= each.least - allowed
@@ -241,13 +314,16 @@ def candidates(found: Index, words: Words) -> dict[tuple[int, int], set[int]]:
         if not len(at):
             continue
         stop = at + np.minimum(words.left[at], each.most + allowed)
-        for row in found.plan.keys(words.hashes, at, stop, each.least):
+        for row in each.plan.keys(words.hashes, at, stop, each.least):
             low = np.searchsorted(each.keys, row, side="left")
             high = np.searchsorted(each.keys, row, side="right")
             for k in np.flatnonzero(high > low):
                 place = int(at[k])
-                for item in set(each.items[low[k] : high[k]].tolist()):
-                    pairs[int(words.text[place]), item].add(place)
+                own = slice(low[k], high[k])
+                for item, offset in zip(
+                    each.items[own].tolist(), each.offsets[own].tolist(), strict=True
+                ):
+                    pairs[int(words.text[place]), item].add(place - offset)
     return pairs
 
 
@@ -278,6 +354,11 @@ def verify(found: Index, words: Words, text: int, item: int, places: set[int]) -
             stretches.append([low, high])
     best = None
     for low, high in stretches:
+        # A near stretch has so many of the item's words on so few places.
+        held = np.concatenate(([0], np.cumsum(np.isin(words.hashes[low:high], wanted))))
+        span = min(size + allowed, high - low)
+        if (held[span:] - held[: len(held) - span]).max() < size - allowed:
+            continue
         edits, end = nearest(wanted, words.hashes[low:high])
         if edits <= allowed and (best is None or edits < best[0]):
             back = words.hashes[low : low + end][::-1][: size + allowed]

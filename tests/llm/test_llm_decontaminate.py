@@ -110,3 +110,26 @@ def test_nearest_and_hashes():
     words = decontaminate.words_of(["Ab, cd ab", None, "", "CD\0ab"])
     assert words.text.tolist() == [0, 0, 0, 3, 3]
     assert words.hashes[0] == words.hashes[2] == words.hashes[4] != words.hashes[1] == words.hashes[3]
+
+
+def test_recall_at_the_largest_distance_by_length(spark):
+    """A fifth of the words edited, for each length alone."""
+    rng = random.Random(4)
+    lengths, each = (6, 12, 15, 20, 29, 59, 80, 150, 250), 120
+    items, rows = [], []
+    for size in lengths:
+        for k in range(each):
+            item = [f"w{rng.randrange(20_000)}" for _ in range(size)]
+            words = list(item)
+            for _ in range(int(0.2 * size + 1e-9)):
+                at, kind = rng.randrange(len(words)), rng.choice("sdi") if k % 2 else "s"
+                words[at : at + (kind != "i")] = [] if kind == "d" else [f"w{rng.randrange(20_000)}"]
+            host = [f"w{rng.randrange(20_000)}" for _ in range(60)]
+            rows.append((len(rows), " ".join([*host[:30], *words, *host[30:]])))
+            items.append((len(items), " ".join(item)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    for n, size in enumerate(lengths):
+        hits = sum((k, k) in found for k in range(n * each, (n + 1) * each))
+        assert hits / each >= 0.95, (size, hits / each)
