@@ -188,15 +188,20 @@ def _ratio(value: Column, weights: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, weights: list[float], text_col: str = "text", out: str = "secrets"
+    docs: DataFrame,
+    weights: list[float],
+    text_col: str = "text",
+    out: str = "secrets",
+    partly: bool = False,
 ) -> DataFrame:
     """The rows of `docs` with a column `out`: array<struct<start, order, end, kind>>.
 
     Positions are code points, end exclusive; sorted by start, then by kind as
     KINDS lists them. A null or empty text has none. Kinds "assign", "access" and
     "hex" are the known forms; "markov" is a string of CANDIDATE that the models
-    find random, and that no known form covers. A column of `docs` named as `out`
-    is replaced; rows that repeat are scanned one by one.
+    find random, and that no known form overlaps; with `partly`, that no single known
+    span covers whole. A column of `docs` named as `out` is replaced; rows that repeat
+    are scanned one by one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(
@@ -213,6 +218,10 @@ def scan(
     candidates = F.filter(matches(text, CANDIDATE), random)
 
     def uncovered(base_spans: Column):
+        if partly:
+            return lambda x: ~F.exists(
+                base_spans, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])
+            )
         return lambda x: ~F.exists(
             base_spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
         )
@@ -254,7 +263,7 @@ def redact(
     not changed.
     """
     out = free_name(docs, "secrets")
-    found = scan(docs, weights, text_col, out)
+    found = scan(docs, weights, text_col, out, partly=True)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
