@@ -9,6 +9,7 @@ from . import (
     decontaminate,
     languages,
     licenses,
+    merkle,
     neighbours,
     pieces,
     repeats,
@@ -17,6 +18,7 @@ from . import (
     token_tree,
     warc,
 )
+from .oracle import SQL as SQL
 
 #: Where the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -136,6 +138,29 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+#: What a document's leaf is made of, in this order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*LEAF)
+    unbroken = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in LEAF]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    altered = F.when(tampered, merkle.leaf(unbroken))
+    found = merkle.manifest(docs, LEAF, altered=altered)
+    start = F.coalesce("altered", "leaf")
+    found = found.withColumn("folded_root", merkle.folded(start, F.col("path")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_repeats": op2_repeats,
@@ -147,7 +172,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_neighbours": op10_neighbours,
+    "op12_merkle": op12_merkle,
 }
-
-#: Queries that DuckDB can express on whole tables in fair time.
-SQL: dict[str, str] = {}
