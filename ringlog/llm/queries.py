@@ -16,6 +16,7 @@ from . import (
     secret_scan,
     simhash,
     token_tree,
+    toxicity,
     warc,
 )
 from .oracle import SQL as SQL
@@ -161,6 +162,19 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    model = toxicity.fit(docs.where(~held_out()), labels)
+    found = docs.withColumn("score", toxicity.score(F.col("text"), model))
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_repeats": op2_repeats,
@@ -173,4 +187,5 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_neighbours": op10_neighbours,
     "op12_merkle": op12_merkle,
+    "op13_toxicity": op13_toxicity,
 }
