@@ -85,4 +85,33 @@ FROM leaves l JOIN tops t ON t.source IS NOT DISTINCT FROM l.source
 JOIN ends e ON e.row = l.row LEFT JOIN proofs p ON p.row = l.row CROSS JOIN root
 """
 
-SQL = {"op12_merkle": OP12}
+OP11 = """
+WITH part AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), rows AS (
+    SELECT *, row_number() OVER () AS row FROM part
+), scores AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, r.row, r.vec_id, a.label = r.label AS same,
+           coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * r.v[k])), 0)
+               ::BIGINT AS score
+    FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.row <> r.row AND len(a.v) = len(r.v)
+), positives AS (
+    SELECT * FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+), pairs AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id,
+           p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scores n
+      ON n.anchor = p.anchor AND NOT n.same
+     AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM pairs WHERE rank <= 5
+"""
+
+SQL = {"op11_negatives": OP11, "op12_merkle": OP12}

@@ -10,6 +10,7 @@ from . import (
     languages,
     licenses,
     merkle,
+    negatives,
     neighbours,
     pieces,
     repeats,
@@ -139,6 +140,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 #: What a document's leaf is made of, in this order.
 LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -186,6 +194,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_neighbours": op10_neighbours,
+    "op11_negatives": op11_negatives,
     "op12_merkle": op12_merkle,
     "op13_toxicity": op13_toxicity,
 }
