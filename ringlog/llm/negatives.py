@@ -369,7 +369,8 @@ def hard_negatives(
     liked = search(index, own.select("query", *common, F.lit(True).alias("same"), *start), positives)
     pairs = liked.select(F.col("query").alias("anchor"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     least, whole = (F.lit(x).cast("bigint") for x in share)
-    low = F.call_function("div", F.col("positive_score") * least + whole - 1, whole)
+    scaled = F.col("positive_score").cast("decimal(20,0)") * least + whole - 1
+    low = F.call_function("div", scaled, whole.cast("decimal(20,0)"))
     windows = pairs.where("positive_score >= 0").select("anchor", "positive_score").distinct()
     windows = written(windows.select("*", F.monotonically_increasing_id().alias("query")), "negatives-windows")
     asked = windows.join(own.withColumnRenamed("query", "anchor"), "anchor").select(
