@@ -216,6 +216,8 @@ def manifest(
         "hash",
         "height",
     )
+    # Written, as every level of the way down takes some of these few rows.
+    upper = written(upper, "merkle-tops")
     above = forest(upper, fanout, "merkle-top")
     no_steps = F.array().cast(PATH)
     root = above.tops.select("tree", "height", no_steps.alias("path"), F.col("hash").alias("root"))
@@ -233,6 +235,7 @@ def manifest(
                 F.col("place").alias("tree"), "height", "path", F.col("hash").alias("subroot"), "root"
             )
         )
+    found = written(found, "merkle-subroots")
     result = ["id", F.col("hash").alias("leaf"), "altered", "subroot", "root", "path"]
     alone = leaves.where("size = 1").join(found, "tree").select(*result)
     return alone.union(paths(trees, found).select(*result)) if trees.runs else alone
