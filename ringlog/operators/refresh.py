@@ -60,6 +60,11 @@ def known_before(current: DataFrame, calls: DataFrame, start: Day) -> DataFrame:
     where these callers are few enough to broadcast.
     """
     history = current.filter(F.col("call_date") < F.lit(as_day(start))).select("caller").distinct()
+    return known_among(history, calls)
+
+
+def known_among(history: DataFrame, calls: DataFrame) -> DataFrame:
+    """Those of a table of callers, each there once, who are callers of `calls`."""
     return join_back(history, calls.select("caller").distinct(), ["caller"], "left_semi")
 
 
@@ -69,20 +74,24 @@ def new_rows(
     start: Day,
     covered: Range | None = None,
     folder: str | None = None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """All calls from a day on as they are after the refresh, with first_call.
 
     start is the first day that has a fetched call or is covered. Flags of calls
     before it hold, as nothing earlier changes; from there on they are set anew.
     The calls of these days are written to a folder (one in the shared work folder
-    if none is given), as they are used several times.
+    if none is given), as they are used several times. earlier are the callers before
+    start, each once; without it they are taken from the calls of current.
     """
     later = current.filter(F.col("call_date") >= F.lit(as_day(start)))
     rows = merged(later, fetched, covered)
     folder = folder or work_path(current.sparkSession, "refresh")
     rows.write.parquet(folder)
     both = current.sparkSession.read.schema(rows.schema).parquet(folder)
-    return mark_first_calls(both, known_before(current, both, start))
+    if earlier is None:
+        return mark_first_calls(both, known_before(current, both, start))
+    return mark_first_calls(both, known_among(earlier, both))
 
 
 def refresh_calls(

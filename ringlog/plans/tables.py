@@ -20,23 +20,32 @@ from ringlog.operators.clean import (
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.geo import split_area_matches
 from ringlog.operators.groups import join_back
-from ringlog.operators.refresh import Range, last_day, new_rows
+from ringlog.operators.refresh import Range, new_rows
 from ringlog.schema import PARTITIONS, as_calls
-from ringlog.session import remove_path, work_path
+from ringlog.session import exists, remove_path, work_path
+from ringlog.sources.callers import callers_before, callers_path, has_callers, write_callers
 from ringlog.sources.files import read_annual, read_legacy
-from ringlog.sources.table import partition_columns, read_calls, replace_partitions, write_calls
+from ringlog.sources.table import (
+    begin_replacement,
+    finish_replacement,
+    new_stage,
+    partition_columns,
+    read_calls,
+    write_calls,
+)
 
 
 @contextmanager
 def stage(spark: SparkSession) -> Iterator[str]:
-    """A folder in the shared work folder for one job, removed when the job is done.
+    """A folder in the shared work folder for one job, removed when it is done or fails.
 
-    A job that fails leaves it, so that a replacement that was broken off can be
-    repeated.
+    What is written there is pseudonymised already.
     """
     folder = work_path(spark, "stage")
-    yield folder
-    remove_path(spark, folder)
+    try:
+        yield folder
+    finally:
+        remove_path(spark, folder)
 
 
 def staged(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
@@ -60,9 +69,15 @@ def build_table(
     with stage(spark) as folder:
         history = staged(spark, as_calls(calls), f"{folder}/history")
         write_calls(mark_first_calls(history), path, by_day=by_day, observe=observe)
+    index_callers(spark, path)
     return read_calls(spark, path)
 
 
+def index_callers(spark: SparkSession, path: str) -> None:
+    """Write the index of a table's callers from its stored flags."""
+    write_callers(read_calls(spark, path), callers_path(path), "overwrite")
+
+
 def import_annual(
     spark: SparkSession,
     folder: str,
@@ -124,23 +139,25 @@ def refresh_table(
     match one area are kept out of the table and added to quarantine_path(path).
 
     Only partitions from the first day on that the records touch are rewritten:
-    days, or the years in a table by year. They are written whole to a folder of
-    this job first and replaced from there, so a run that fails while reading,
-    cleaning or joining leaves the table as it was. One that fails while replacing
-    leaves its folder; run it again.
+    days, or the years in a table by year. They are written whole beside the table
+    first, and a run that fails before that is done leaves the table as it was. Then
+    their list is written, which decides: from there on reads see the new state, and
+    the next refresh finishes what a broken-off one has left. Who has called before is
+    asked of the index of callers, not of earlier calls; a table without one gets it.
+    Records are read twice, so that their numbers are never written in plain.
     """
+    finish_replacement(spark, path)
+    parsed = parse_records(records)
+    day = F.col("call_date")
+    in_time = F.lit(True) if as_of is None else day <= F.lit(as_day(as_of))
+    counts = parsed.agg(
+        F.count_if(day.isNull()).alias("without_date"),
+        F.count_if(in_time & F.col("caller").isNull()).alias("without_number"),
+        F.count_if(~in_time).alias("later"),
+    ).first()
+    cleaned = clean_parsed(parsed.filter(day.isNotNull() & in_time), areas, on_bad=on_bad, salt=salt)
+    set_aside = 0
     with stage(spark) as folder:
-        parsed = staged(spark, parse_records(records), f"{folder}/parsed")
-        day = F.col("call_date")
-        in_time = F.lit(True) if as_of is None else day <= F.lit(as_day(as_of))
-        counts = parsed.agg(
-            F.count_if(day.isNull()).alias("without_date"),
-            F.count_if(in_time & F.col("caller").isNull()).alias("without_number"),
-            F.count_if(~in_time).alias("later"),
-        ).first()
-        wanted = parsed.filter(day.isNotNull() & in_time)
-        cleaned = clean_parsed(wanted, areas, on_bad=on_bad, salt=salt)
-        set_aside = 0
         if on_bad == "flag":
             flagged = staged(spark, cleaned, f"{folder}/flagged")
             cleaned, bad = split_area_matches(flagged)
@@ -151,7 +168,7 @@ def refresh_table(
         if found.n:
             if covered and covered[0]:
                 start = min(start, as_day(covered[0]))
-            _replace(spark, path, fetched, start, covered, f"{folder}/table")
+            _replace(spark, path, fetched, start, covered, f"{folder}/rows")
     return Refresh(
         start, found.n, counts.without_date, counts.without_number, counts.later, set_aside
     )
@@ -165,26 +182,34 @@ def _replace(
     covered: Range | None,
     folder: str,
 ) -> None:
-    """Write what changes from a day on to a folder, and put it in its place."""
-    current = read_calls(spark, path)
+    """Stage what changes from a day on beside the table, decide on it, and put it in place."""
+    if not has_callers(spark, path):
+        index_callers(spark, path)
     by_day = "day" in partition_columns(spark, path)
-    stored = current.drop(*PARTITIONS.names)
-    changed = new_rows(stored, fetched, start, covered, f"{folder}-rows")
-    since = current.filter((F.col("year") >= start.year) & (F.col("call_date") >= F.lit(start)))
-    days = [row.call_date for row in since.select("call_date").distinct().collect()]
+    stored = read_calls(spark, path, start)
+    earlier = callers_before(spark, path, start)
+    changed = new_rows(stored.drop(*PARTITIONS.names), fetched, start, covered, folder, earlier)
+    days = [row.call_date for row in stored.select("call_date").distinct().collect()]
     if not by_day:
-        kept = current.filter((F.col("year") >= start.year) & (F.col("call_date") < F.lit(start)))
+        kept = read_calls(spark, path, dt.date(start.year, 1, 1), start - dt.timedelta(1))
         changed = kept.drop(*PARTITIONS.names).unionByName(changed)
-    write_calls(changed, folder, by_day=by_day)
-    replace_partitions(spark, folder, path, days)
+    beside = new_stage(path)
+    try:
+        write_calls(changed, f"{beside}/table", by_day=by_day)
+        new = read_calls(spark, f"{beside}/table", start)
+        write_callers(new, f"{beside}/callers")
+        begin_replacement(spark, beside, path, start, days)
+    except BaseException:
+        remove_path(spark, beside)
+        raise
+    finish_replacement(spark, path)
 
 
 def _set_aside(spark: SparkSession, bad: DataFrame, path: str) -> int:
     """Add calls to the quarantine that are not in it yet; how many there are."""
     count = bad.count()
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
     new = bad
-    if found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+    if exists(spark, path):
         known = spark.read.schema(bad.schema).parquet(path)
         new = join_back(bad, known.distinct(), bad.columns, "left_anti")
     if count:

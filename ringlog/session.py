@@ -48,7 +48,50 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    """A path's file system and the path, whatever store it is in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, file = _file(spark, path)
+    return system.exists(file)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, none if there is no such folder."""
+    system, file = _file(spark, path)
+    found = system.listStatus(file) if system.exists(file) else []
+    return sorted(status.getPath().getName() for status in found if status.isDirectory())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    system, file = _file(spark, path)
+    system.delete(file, True)
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, if it is there."""
+    system, file = _file(spark, path)
+    if not system.exists(file):
+        return None
+    stream = system.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: written aside, then renamed."""
+    system, aside = _file(spark, f"{path}-{uuid.uuid4().hex}")
+    stream = system.create(aside)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    _, file = _file(spark, path)
+    if not system.rename(aside, file):
+        raise OSError(f"could not write {path}")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import types as T
 from ringlog.functions import clock_text, in_period
 from ringlog.functions.calendar import Day
 from ringlog.schema import CALLS, FILE_COLUMNS, PARTITIONS, as_calls
+from ringlog.session import exists, read_note, remove_path, write_note
+from ringlog.sources.callers import drop_callers, replace_callers
 
 ORDER = ["call_date", "time_s", "caller"]
 
@@ -26,11 +31,20 @@ def read_calls(spark: SparkSession, path: str, start: Day = None, stop: Day = No
     """The fact table; a period also selects the partitions to read.
 
     It has the columns of the fact table whatever its files have, as files that
-    were written at different times may lack some.
+    were written at different times may lack some. While a replacement is not
+    finished, the partitions that it replaces are read from where they are staged, so
+    a reader sees the table as it was before or as it will be, and no mixture.
     """
     by = partition_columns(spark, path)
     schema = T.StructType([*CALLS.fields, *[PARTITIONS[name] for name in by]])
-    return in_period(spark.read.schema(schema).parquet(path), start, stop)
+    found = in_period(spark.read.schema(schema).parquet(path), start, stop)
+    swap = pending(spark, path)
+    if swap is None:
+        return found
+    inner = PARTITIONS[by[-1]]
+    old = F.col(inner.name).isin([F.lit(key[len(by) - 1]) for key in sorted(swap.keys)])
+    new = in_period(spark.read.schema(schema).parquet(swap.rows), start, stop)
+    return found.filter(~old).unionByName(new)
 
 
 def write_calls(
@@ -60,6 +74,11 @@ def write_calls(
     exchanged.
     """
     by_day = format == "parquet" if by_day is None else by_day
+    if format == "parquet":
+        spark = calls.sparkSession
+        # What is pending is part of a table of which only some years are written.
+        finish_replacement(spark, path) if years is not None else drop_replacement(spark, path)
+        drop_callers(spark, path)
     calls = as_calls(calls).withColumn("year", F.year("call_date"))
     wanted = F.col("year").isNotNull()
     if years is not None:
@@ -105,8 +124,7 @@ def write_calls(
 
 def _days(spark: SparkSession, path: str, years: Sequence[int]) -> set[dt.date]:
     """The days of some years that a table on disk has, none if there is no table."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+    if not exists(spark, path):
         return set()
     days = read_calls(spark, path).filter(F.col("year").isin([int(year) for year in years]))
     return {row.day for row in days.select("day").distinct().collect()}
@@ -144,3 +162,89 @@ def replace_partitions(
         ).parquet(path)
     _empty(spark, path, {(day.year, day)[: len(by)] for day in emptied} - present)
     spark.catalog.refreshByPath(path)
+
+
+def swap_folder(path: str) -> str:
+    """Where partitions are staged that are to replace some of a table."""
+    return f"{path.rstrip('/')}-replacing"
+
+
+def new_stage(path: str) -> str:
+    """A folder of its own for the rows and the callers of one replacement."""
+    return f"{swap_folder(path)}/{uuid.uuid4().hex}"
+
+
+@dataclass(frozen=True)
+class Swap:
+    """A replacement that is to be: the staged folder, its first day, and the partitions replaced."""
+
+    folder: str
+    start: dt.date
+    keys: frozenset[tuple]
+
+    @property
+    def rows(self) -> str:
+        return f"{self.folder}/table"
+
+    @property
+    def callers(self) -> str:
+        return f"{self.folder}/callers"
+
+
+def _list_path(path: str) -> str:
+    return f"{swap_folder(path)}/list.json"
+
+
+def pending(spark: SparkSession, path: str) -> Swap | None:
+    """The replacement of partitions of a table that has begun and not ended, if there is one."""
+    text = read_note(spark, _list_path(path))
+    if text is None:
+        return None
+    said = json.loads(text)
+    keys = [(year, *map(dt.date.fromisoformat, days)) for year, *days in said["keys"]]
+    folder = f"{swap_folder(path)}/{said['folder']}"
+    return Swap(folder, dt.date.fromisoformat(said["start"]), frozenset(keys))
+
+
+def begin_replacement(
+    spark: SparkSession, folder: str, path: str, start: dt.date, emptied: Iterable[dt.date] = ()
+) -> None:
+    """R2: decide to replace partitions by those staged in a folder of new_stage.
+
+    The list of the partitions, a small file put there by a rename, is the decision.
+    From then on reads take them from the folder, and whoever comes next finishes what
+    is left to do; before, the table is as it was.
+    """
+    by = partition_columns(spark, f"{folder}/table")
+    rows = read_calls(spark, f"{folder}/table")
+    present = {tuple(row) for row in rows.select(*by).distinct().collect()}
+    keys = present | {(day.year, day)[: len(by)] for day in emptied}
+    said = {
+        "folder": folder.rsplit("/", 1)[1],
+        "start": start.isoformat(),
+        "keys": [[year, *(day.isoformat() for day in days)] for year, *days in sorted(keys)],
+    }
+    write_note(spark, _list_path(path), json.dumps(said))
+
+
+def finish_replacement(spark: SparkSession, path: str) -> bool:
+    """R2: put what is pending in its place; whether there was anything.
+
+    Every step can be repeated, so a run that breaks off is finished by the next. What
+    was staged and never decided on is removed. A table has one writer at a time.
+    """
+    swap = pending(spark, path)
+    if swap is not None:
+        days = [key[1] if len(key) > 1 else dt.date(key[0], 1, 1) for key in swap.keys]
+        replace_partitions(spark, swap.rows, path, days)
+        if exists(spark, swap.callers):
+            replace_callers(spark, swap.callers, path, swap.start)
+    drop_replacement(spark, path)
+    return swap is not None
+
+
+def drop_replacement(spark: SparkSession, path: str) -> None:
+    """Remove all that is staged beside a table, the list first."""
+    for folder in (_list_path(path), swap_folder(path)):
+        if exists(spark, folder):
+            remove_path(spark, folder)

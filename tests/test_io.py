@@ -4,8 +4,10 @@ import datetime as dt
 import json
 import pathlib
 import re
+import shutil
 
 import makers
+import pyspark
 import pytest
 from compare import spark_bag
 from pyspark.sql import Observation
@@ -17,6 +19,7 @@ from ringlog.operators.refresh import known_before, last_day, refresh_calls
 from ringlog.plans.tables import (
     Refresh,
     import_annual,
+    index_callers,
     quarantine_path,
     refresh_table,
     split_legacy,
@@ -24,7 +27,8 @@ from ringlog.plans.tables import (
 )
 from ringlog.schema import CALLS, FILE_COLUMNS
 from ringlog.session import work_path
-from ringlog.sources import samples
+from ringlog.sources import samples, table
+from ringlog.sources.callers import callers_path, first_days, has_callers
 from ringlog.sources.export import export_report
 from ringlog.sources.files import (
     read_annual,
@@ -533,3 +537,116 @@ def test_synthetic(spark):
     assert row.longest < 2000 and row.areas == 2
     numbers = spark.range(2000).withColumnRenamed("id", "n").repartition(7)
     assert spark_bag(synthetic_calls(numbers, areas)) == spark_bag(calls)
+
+
+# Replacements that break off, and the index of callers
+
+
+def folders(path):
+    """What is beside a table, but for its index of callers."""
+    return sorted(f.name for f in path.iterdir() if f.name.startswith("table-") and not f.name.endswith("-callers"))
+
+
+def as_recomputed(spark, stored):
+    """The table with first calls marked anew from the whole history."""
+    calls = read_calls(spark, stored)
+    marked = mark_first_calls(calls.drop("first_call")).select(calls.columns)
+    return spark_bag(marked)
+
+
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_broken_replacement_is_finished(spark, stored, tmp_path, monkeypatch, at):
+    """Broken off before the first year, between years, or before the index of callers."""
+    areas = makers.areas(spark, AREAS)
+    shutil.copytree(stored, tmp_path / "other")
+    refresh_table(spark, str(tmp_path / "other"), batch(spark), areas, "2024-01-05")
+    want = spark_bag(read_calls(spark, str(tmp_path / "other")))
+    seen = []
+    write, index = pyspark.sql.DataFrameWriter.parquet, table.replace_callers
+
+    def parquet(self, path, *args, **options):
+        if path == stored:
+            seen.append(path)
+            if len(seen) > at:
+                raise OSError("lost")
+        return write(self, path, *args, **options)
+
+    def lost(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(pyspark.sql.DataFrameWriter, "parquet", parquet)
+        broken.setattr(table, "replace_callers", lost)
+        with pytest.raises(OSError, match="lost"):
+            refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
+    assert folders(tmp_path) == ["table-replacing"]
+    assert spark_bag(read_calls(spark, stored)) == want
+    nothing = refresh_table(spark, stored, batch(spark).limit(0), areas, "2024-01-05")
+    assert nothing.calls == 0 and folders(tmp_path) == []
+    assert spark_bag(read_calls(spark, stored)) == want == as_recomputed(spark, stored)
+    refresh_table(spark, stored, batch(spark), areas, "2024-01-05")
+    assert spark_bag(read_calls(spark, stored)) == want
+
+
+def test_failed_refresh_leaves_no_number_in_plain(spark, stored, tmp_path):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    records = makers.records(spark, [{"id": "1", "caller": "0049777123", "date": "2024-01-02"}])
+    with pytest.raises(Exception, match="exactly one area"):
+        refresh_table(spark, stored, records, makers.areas(spark, AREAS), "2024-01-05")
+    assert set(shared.iterdir()) == before and folders(tmp_path) == []
+    seen = []
+    write = pyspark.sql.DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **options):
+        seen.append(self._df)
+        return write(self, path, *args, **options)
+
+    records = makers.records(spark, [{"id": "1", "caller": "0049301234567", "date": "2024-01-02"}])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pyspark.sql.DataFrameWriter, "parquet", parquet)
+        refresh_table(spark, stored, records, makers.areas(spark, AREAS), "2024-01-05")
+    assert seen and not any("0049301234567" in str(frame.collect()) for frame in seen[:2])
+
+
+def test_refresh_reads_no_call_before_its_first_day(spark, tmp_path):
+    """Earlier partitions may be unreadable: who called before is in the index."""
+    path = str(tmp_path / "table")
+    rows = [
+        {"id": str(k), "call_date": f"2023-01-{k + 1:02}", "caller": None if k % 5 == 0 else f"c{k % 7}"}
+        for k in range(20)
+    ]
+    write_calls(mark_first_calls(makers.calls(spark, rows)), path)
+    index_callers(spark, path)
+    want = {row.id: row.first_call for row in read_calls(spark, path).collect()}
+    for folder in sorted((tmp_path / "table" / "year=2023").iterdir())[:15]:
+        for file in folder.glob("*.parquet"):
+            file.write_bytes(b"gone")
+    records = makers.records(spark, [{"id": "99", "caller": "0049301", "date": "2023-01-18"}])
+    refresh_table(spark, path, records, makers.areas(spark, AREAS), "2023-02-01")
+    found = {row.id: row.first_call for row in read_calls(spark, path, "2023-01-16").collect()}
+    assert found == {k: v for k, v in want.items() if int(k) > 14} | {"99": True}
+
+
+def test_index_follows_refreshes(spark, stored):
+    """Calls that go take their callers along; the index is as if made from the table."""
+    areas = makers.areas(spark, AREAS)
+
+    def index():
+        rows = spark.read.parquet(callers_path(stored)).collect()
+        return sorted(((row.caller or "", row.first_day) for row in rows))
+
+    def made():
+        rows = first_days(read_calls(spark, stored)).collect()
+        return sorted(((row.caller or "", row.first_day) for row in rows))
+
+    one = makers.records(spark, [{"id": "20", "caller": "0049305", "date": "2024-01-02"}])
+    refresh_table(spark, stored, one, areas, "2024-01-05")
+    assert index() == made()
+    two = makers.records(spark, [{"id": "21", "caller": "0049306", "date": "2023-06-01"}])
+    refresh_table(spark, stored, two, areas, "2024-01-05", ("2023-01-01", "2024-01-05"))
+    assert index() == made() and as_recomputed(spark, stored) == spark_bag(read_calls(spark, stored))
+    some = read_calls(spark, stored)
+    new = makers.calls(spark, [{"id": "30", "call_date": "2023-02-03"}])
+    write_calls(new, stored, years=[2023], by_day="day" in some.columns)
+    assert not has_callers(spark, stored)
