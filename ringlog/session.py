@@ -84,6 +84,16 @@ def read_note(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def read_head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file."""
+    system, file = _file(spark, path)
+    stream = system.open(file)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def write_note(spark: SparkSession, path: str, text: str) -> None:
     """A small file that is there as a whole or not at all: written aside, then renamed."""
     system, aside = _file(spark, f"{path}-{uuid.uuid4().hex}")

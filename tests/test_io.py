@@ -27,7 +27,7 @@ from ringlog.plans.tables import (
 )
 from ringlog.schema import CALLS, FILE_COLUMNS
 from ringlog.session import work_path
-from ringlog.sources import samples, table
+from ringlog.sources import files, samples, table
 from ringlog.sources.callers import callers_path, first_days, has_callers
 from ringlog.sources.export import export_report
 from ringlog.sources.files import (
@@ -80,6 +80,34 @@ def test_annual_files_match_by_name(spark, tmp_path):
     assert three["call_date"] == dt.date(2021, 5, 6) and three["state"] is None
 
 
+def test_cells_with_line_breaks(spark, tmp_path):
+    """A record is not a line; a byte order mark, blank lines and a repeated header are no records."""
+    text(
+        tmp_path / "a.csv",
+        '\ufeff\n  \n"id","date",caller,Ortsnetzname\n1,2021-02-03,x,"Bad\nHomburg"\n\n'
+        'id,date,caller,Ortsnetzname\n2,2021-02-04,"y ""z""",\n , ,,\n',
+    )
+    (tmp_path / "b.csv").write_bytes(b'caller,id,"Orts\nname"\r\n"a,\r\nb",3,n\r\n')
+    rows = {row.id: row.asDict() for row in read_annual(spark, str(tmp_path)).collect()}
+    assert {k: (r["caller"], r["area_name"]) for k, r in rows.items() if k} == {
+        "1": ("x", "Bad\nHomburg"), "2": ('y "z"', None), "3": ("a,\r\nb", None)
+    }
+    old = text(tmp_path / "old.txt", 'a,b,c,d,e,f,g,h,i,j,k,l\n2020-01-02,10:00:00,abc,1,2,TRUE,FALSE,004930,"Bad\nX",Berlin,10115,TRUE\n')
+    assert [row.area_name for row in read_legacy(spark, old).collect()] == ["Bad\nX"]
+
+
+def test_many_files_of_few_kinds_are_scanned_once(spark, tmp_path, monkeypatch):
+    for k in range(60):
+        head = "id,date,caller" if k % 2 else "date,id,extra,caller"
+        row = f"{k},2021-01-02,x" if k % 2 else f"2021-01-02,{k},e,x"
+        text(tmp_path / f"{k}.csv", f"{head}\n{row}\n{row}\n")
+    monkeypatch.setattr(files, "HEAD_BYTES", 8)
+    found = read_annual(spark, str(tmp_path))
+    assert sorted(int(row.id) for row in found.collect()) == sorted([*range(60)] * 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2 and "Exchange" not in plan and "FileScan text" not in plan
+
+
 def test_annual_needs_a_folder_with_files(spark, tmp_path):
     with pytest.raises(ValueError):
         read_annual(spark, "")
