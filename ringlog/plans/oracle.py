@@ -671,6 +671,102 @@ def oracle_sql() -> dict[str, str]:
             "event_calls",
         ),
         "annual_roundtrip": _with("SELECT * FROM flagged", "flagged"),
+        "annual_line_breaks": _with(
+            """SELECT * REPLACE ('"' || area_name || '"' || chr(10) || plz AS area_name)
+               FROM flagged""",
+            "flagged",
+        ),
+        "legacy_file": _with("SELECT * EXCLUDE (id, module) FROM flagged", "flagged"),
+        "legacy_split": _with(
+            f"""SELECT call_date, time_s, caller, area_code, {_FIRST_OF_ALL} AS first_call,
+                       year(call_date)::INTEGER AS year, call_date AS day
+                FROM (SELECT * REPLACE (NULL::VARCHAR AS id) FROM calls)""",
+            "calls",
+        ),
+        "area_file": _with("SELECT area_code, area_name, state, plz FROM areas", "areas"),
+        "state_file": _with(
+            """SELECT state, state_code, min(area_code::BIGINT % 90) / 2 AS lat_correct,
+                      -max(area_code::BIGINT % 90) / 4 AS lon_correct
+               FROM areas JOIN states USING (state) GROUP BY ALL""",
+            "areas",
+            "states",
+        ),
+        "area_some_columns": _with(
+            """SELECT id, caller, is_landline, area_code, state
+               FROM numbered LEFT JOIN areas ON is_landline AND starts_with(caller, area_code)""",
+            "numbered",
+        ),
+        "area_several": _with(
+            """, wide AS (
+                   SELECT area_code, area_name, state, plz FROM areas
+                   UNION ALL
+                   SELECT area_code, 'Neu ' || area_name, state, plz FROM areas WHERE n_nationkey % 5 = 0
+                   UNION ALL
+                   SELECT area_code[:6], area_name, state, plz FROM areas WHERE n_nationkey % 4 = 2
+               ), kinds AS (
+                   SELECT area_code, count(DISTINCT (area_name, state, plz)) AS n,
+                          arg_min(area_name, area_name) AS area_name
+                   FROM wide GROUP BY area_code
+               )
+               SELECT id, substr(caller, 1, 9) AS dialled,
+                      CASE WHEN is_landline
+                           THEN count(DISTINCT k.area_name) + count(*) FILTER (k.n > 1) END
+                          AS area_matches
+               FROM numbered_oddly LEFT JOIN kinds k
+                 ON is_landline AND starts_with(caller, k.area_code)
+               GROUP BY id, caller, is_landline""",
+            "numbered_oddly",
+        ),
+        "attempts_beyond_the_cap": _with(
+            """SELECT least(attempts, 11) AS attempts_capped, ok > 0 AS any_success, count(*) AS n
+               FROM (SELECT right(caller, 1) AS caller, call_date, count(*) AS attempts,
+                            count(*) FILTER (WHERE success) AS ok
+                     FROM event_calls GROUP BY 1, 2)
+               GROUP BY ALL""",
+            "event_calls",
+        ),
+        "some_years_written": _with(
+            """SELECT id, caller, year(call_date)::INTEGER AS year, call_date AS day FROM calls
+               WHERE is_landline OR year(call_date) NOT IN (1994, 1996)""",
+            "calls",
+        ),
+        "rows_out_of_order": _with("SELECT count(*) AS n, 0::BIGINT AS late FROM calls", "calls"),
+        "export_content": _with(
+            f"""SELECT COLUMNS(*)::VARCHAR FROM (
+                    SELECT {_ISO}, {_BOUNDS}, {_MEASURES}, 'a "b", c' AS note
+                    FROM flagged GROUP BY 1, 2)""",
+            "flagged",
+        ),
+        "replacement_pending": _with("SELECT * FROM flagged", "flagged"),
+        "replacement_finished": _with("SELECT * FROM flagged", "flagged"),
+        "caller_index": _with(
+            """SELECT sha256(number) AS caller, min(call_date) AS first_day
+               FROM (SELECT call_date,
+                            CASE WHEN time_s < (SELECT quantile_cont(time_s, 0.5) FROM event_calls)
+                                 THEN caller ELSE '004915' || caller END AS number
+                     FROM event_calls)
+               GROUP BY number""",
+            "event_calls",
+        ),
+        "months_of_days": _with(
+            f"""SELECT * EXCLUDE (calls_per_caller) REPLACE (TRUE AS callers) FROM (
+                    SELECT year(call_date)::INTEGER AS year, month(call_date)::INTEGER AS month,
+                           {_BOUNDS}, {_MEASURES}
+                    FROM flagged GROUP BY 1, 2)""",
+            "flagged",
+        ),
+        "weeks_of_days": _with(
+            f"""SELECT * EXCLUDE (callers, calls_per_caller) FROM (
+                    SELECT {_ISO}, {_BOUNDS}, {_MEASURES} FROM flagged
+                    WHERE call_date BETWEEN '1994-02-03' AND '1996-11-12' GROUP BY 1, 2)""",
+            "flagged",
+        ),
+        "page_after_row": _with(
+            """SELECT call_date, count(caller) AS calls, count(DISTINCT caller) AS callers
+               FROM flagged GROUP BY call_date
+               ORDER BY calls DESC, call_date DESC LIMIT 15 OFFSET 15""",
+            "flagged",
+        ),
         "refresh_replace_day": _with("SELECT * FROM flagged", "flagged"),
         "export_names": _with(
             """SELECT 'wochentabelle_' || min(call_date) || '_' || max(call_date) AS name

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringlog.functions import display_count, display_date, hour_of
-from ringlog.operators import attempts, clean, geo, origin, patterns, period, quality, series
+from ringlog.functions import clock_text, display_count, display_date, hour_of
+from ringlog.operators import attempts, clean, daily, geo, origin, patterns, period, quality, series
 from ringlog.operators import states as state_reports
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.refresh import last_day, refresh_calls
-from ringlog.operators.view import page
+from ringlog.operators.view import Place, page, page_after
 from ringlog.plans import reports
-from ringlog.schema import state_table
+from ringlog.schema import AREA_FIELDS, FILE_COLUMNS, LEGACY_FIELDS, state_table
 from ringlog.session import work_path
 from ringlog.sources import landing, samples
-from ringlog.sources.export import export_name
-from ringlog.sources.files import read_annual
+from ringlog.sources.callers import callers_path, write_callers
+from ringlog.sources.export import export_name, export_report
+from ringlog.sources.files import read_annual, read_areas, read_legacy, read_states
 from ringlog.sources.synthetic import synthetic_calls
-from ringlog.plans.tables import refresh_table
-from ringlog.sources.table import read_calls, write_calls
+from ringlog.plans.tables import build_table, refresh_table, split_legacy
+from ringlog.sources.table import (
+    begin_replacement,
+    finish_replacement,
+    new_stage,
+    read_calls,
+    write_calls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,3 +607,210 @@ def synth_calls(spark, sf):
     return synthetic_calls(
         orders.select(F.col("o_orderkey").alias("n")), samples.areas(spark, sf)
     )
+
+
+# Files and tables in the forms that are exchanged
+
+
+@query
+def annual_line_breaks(spark, sf):
+    """Cells that hold a line break and quotes."""
+    path = work_path(spark, "annual")
+    broken = F.concat(F.lit('"'), "area_name", F.lit('"\n'), "plz")
+    write_calls(flagged(spark, sf).withColumn("area_name", broken), path, format="csv")
+    return read_annual(spark, path)
+
+
+def _legacy_file(spark, sf):
+    path = work_path(spark, "legacy")
+    rows = flagged(spark, sf).withColumn("time_s", clock_text(F.col("time_s")))
+    names = {"landline": "is_landline"} | FILE_COLUMNS
+    columns = [F.col(names[field]).alias(f"column {k}") for k, field in enumerate(LEGACY_FIELDS)]
+    rows.select(*columns).write.options(header="true", escape='"').csv(path)
+    return path
+
+
+@query
+def legacy_file(spark, sf):
+    """S2"""
+    return read_legacy(spark, _legacy_file(spark, sf))
+
+
+@query
+def legacy_split(spark, sf):
+    """P19"""
+    found = split_legacy(spark, _legacy_file(spark, sf), work_path(spark, "days"))
+    return found.select("call_date", "time_s", "caller", "area_code", "first_call", "year", "day")
+
+
+@query
+def area_file(spark, sf):
+    """S3"""
+    path = work_path(spark, "areas")
+    names = {column: heading for heading, column in AREA_FIELDS.items()}
+    areas = samples.areas(spark, sf).select(*names).withColumnsRenamed(names)
+    areas.write.options(header="true", escape='"').csv(path)
+    return read_areas(spark, path)
+
+
+@query
+def state_file(spark, sf):
+    """The states that the areas are in, with a place made from their codes."""
+    path = work_path(spark, "states")
+    code = F.col("area_code").cast("bigint") % 90
+    found = samples.areas(spark, sf).join(state_table(spark), "state").groupBy("state", "state_code")
+    found.agg((F.min(code) / 2).alias("lat"), (-F.max(code) / 4).alias("lon")).select(
+        F.col("state").alias("Bundesland"),
+        F.col("state_code").alias("bl_short"),
+        F.col("lat").alias("lat_correct"),
+        F.col("lon").alias("lon_correct"),
+    ).write.option("header", "true").csv(path)
+    return read_states(spark, path)
+
+
+@query
+def area_some_columns(spark, sf):
+    """J1a"""
+    return geo.attach_area(_numbered(spark, sf), samples.areas(spark, sf), ["state"])
+
+
+@query
+def area_several(spark, sf):
+    """One code in five has a second area, and codes are parts of longer ones."""
+    areas = samples.areas(spark, sf)
+    again = areas.filter(F.col("n_nationkey") % 5 == 0)
+    nested = areas.filter(F.col("n_nationkey") % 4 == 2)
+    areas = (
+        areas.union(again.withColumn("area_name", F.concat(F.lit("Neu "), "area_name")))
+        .union(nested.withColumn("area_code", F.substring("area_code", 1, 6)))
+        .drop("n_nationkey")
+    )
+    found = geo.attach_area(_numbered_oddly(spark, sf), areas, on_bad="flag")
+    return found.select("id", F.substring("caller", 1, 9).alias("dialled"), "area_matches")
+
+
+@query
+def attempts_beyond_the_cap(spark, sf):
+    """Few callers, so that most days have more attempts than are shown."""
+    calls = samples.event_calls(spark, sf)
+    few = calls.withColumn("caller", F.right(F.col("caller"), F.lit(1)))
+    return attempts.attempt_histogram(few)
+
+
+@query
+def some_years_written(spark, sf):
+    """Of a table two years are written again, without the calls of mobiles."""
+    path = work_path(spark, "years")
+    calls = flagged(spark, sf)
+    write_calls(calls, path)
+    write_calls(calls.filter("is_landline"), path, years=[1994, 1996])
+    return read_calls(spark, path).select("id", "caller", "year", "day")
+
+
+@query
+def rows_out_of_order(spark, sf):
+    """O2: rows of the table's files, and those that come after a later one in their file."""
+    path = work_path(spark, "sorted")
+    write_calls(flagged(spark, sf), path, by_day=False)
+    rows = spark.read.parquet(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+        F.struct("call_date", "time_s", "caller").alias("key"),
+    )
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("row"))
+    return rows.withColumn("before", before).agg(
+        F.count("*").alias("n"), F.count_if(F.col("before") > F.col("key")).alias("late")
+    )
+
+
+@query
+def export_content(spark, sf):
+    """What a reader of an exported report finds, all text."""
+    report = period.period_report(flagged(spark, sf), "week").withColumn("note", F.lit('a "b", c'))
+    path = export_report(report, work_path(spark, "export"), "week")
+    return spark.read.options(header="true", escape='"').csv(path)
+
+
+# Replacements, the index of callers, measures by day, pages
+
+
+def _half_replaced(spark, sf):
+    """A table whose last days are decided to be replaced and are not yet."""
+    path = work_path(spark, "table")
+    turn = dt.date(1997, 1, 1)
+    calls = flagged(spark, sf)
+    early = calls.filter(F.col("call_date") < F.lit(turn))
+    old = calls.filter(F.col("call_date") >= F.lit(turn)).filter("is_landline")
+    build_table(spark, early.union(old), path, by_day=False)
+    folder = new_stage(path)
+    write_calls(calls.filter(F.col("call_date") >= F.lit(turn)), f"{folder}/table", by_day=False)
+    write_callers(read_calls(spark, f"{folder}/table"), f"{folder}/callers")
+    begin_replacement(spark, folder, path, turn)
+    return path
+
+
+@query
+def replacement_pending(spark, sf):
+    """R2: a reader sees the table as it will be."""
+    return read_calls(spark, _half_replaced(spark, sf)).drop("year")
+
+
+@query
+def replacement_finished(spark, sf):
+    """R2: whoever comes next puts what is pending in its place."""
+    path = _half_replaced(spark, sf)
+    finish_replacement(spark, path)
+    return read_calls(spark, path).drop("year")
+
+
+@query
+def caller_index(spark, sf):
+    """Each caller's first day, kept by a refresh."""
+    path = work_path(spark, "table")
+    calls = samples.event_calls(spark, sf).withColumn("is_landline", F.lit(False))
+    middle = calls.agg(F.percentile("time_s", 0.5)).first()[0]
+    build_table(spark, clean.hash_column(calls.filter(F.col("time_s") < middle)), path)
+    rest = calls.filter(F.col("time_s") >= middle)
+    records = rest.select(
+        "id",
+        F.date_format("call_date", "yyyy-MM-dd").alias("date"),
+        clock_text(F.col("time_s")).alias("time"),
+        F.concat(F.lit("004915"), "caller").alias("caller"),
+        F.col("duration_in").cast("string").alias("duration_inbound"),
+        F.col("duration_out").cast("string").alias("duration_outbound"),
+        F.col("success").cast("string").alias("success"),
+    )
+    refresh_table(spark, path, records, samples.areas(spark, sf), None)
+    return spark.read.parquet(callers_path(path)).select("caller", "first_day")
+
+
+@query
+def months_of_days(spark, sf):
+    """A2, A5: all measures from days, and whether the estimate of callers is within 5 %."""
+    calls = flagged(spark, sf)
+    path = work_path(spark, "measures")
+    daily.day_measures(calls).write.parquet(path)
+    found = daily.report_of_days(spark.read.parquet(path), "month").drop("calls_per_caller")
+    exact = period.period_report(calls, "month").select("year", "month", F.col("callers").alias("n"))
+    near = F.abs(F.col("callers") - F.col("n")) <= 0.05 * F.col("n") + 1
+    return found.join(exact, ["year", "month"]).withColumn("callers", near).drop("n")
+
+
+@query
+def weeks_of_days(spark, sf):
+    """A1 of days, for a period; callers left out."""
+    days = daily.day_measures(flagged(spark, sf))
+    found = daily.report_of_days(days, "week", "1994-02-03", "1996-11-12")
+    return found.drop("callers", "calls_per_caller")
+
+
+@query
+def page_after_row(spark, sf):
+    """The page after the last row of the page before."""
+    report = period.period_report(flagged(spark, sf), "day").select("call_date", "calls", "callers")
+    path = work_path(spark, "report")
+    report.write.parquet(path)
+    report = spark.read.parquet(path)
+    order = {"calls": True, "call_date": True}
+    last = page_after(report, order).tail(1)
+    return page_after(report, order, Place(last[0], 1) if last else None)

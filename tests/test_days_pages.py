@@ -1,0 +1,91 @@
+"""Measures by day that add up, and pages that follow a row."""
+
+import datetime as dt
+
+import makers
+import pytest
+from compare import spark_bag
+from pyspark.sql import functions as F
+
+from ringlog.operators import daily, period
+from ringlog.operators.first_call import mark_first_calls
+from ringlog.operators.view import page_after, place_after
+from ringlog.sources import samples
+
+
+@pytest.fixture(scope="module")
+def some_calls(spark):
+    rows = [
+        {
+            "id": str(k),
+            "call_date": dt.date(2023, 12, 20) + dt.timedelta(k % 40) if k % 11 else None,
+            "caller": None if k % 6 == 0 else f"c{k % 17}",
+            "success": [True, False, None][k % 3],
+            "duration_out": None if k % 5 == 0 else 13 * k % 300,
+        }
+        for k in range(200)
+    ]
+    return mark_first_calls(makers.calls(spark, rows)).cache()
+
+
+@pytest.mark.parametrize("unit", ["day", "week", "month", "year"])
+def test_days_add_up(some_calls, unit):
+    """With few callers the sketch is exact, so all of the report is."""
+    days = daily.day_measures(some_calls.filter("call_date is not null"))
+    want = period.period_report(some_calls.filter("call_date is not null"), unit)
+    found = daily.report_of_days(days, unit)
+    assert found.columns == want.columns and found.dtypes == want.dtypes
+    assert spark_bag(found) == spark_bag(want)
+    # Days that come in parts, as from two tables, add up the same.
+    parts = [daily.day_measures(some_calls.filter(f"call_date is not null and id % 2 = {k}")) for k in (0, 1)]
+    assert spark_bag(daily.report_of_days(parts[0].union(parts[1]), unit)) == spark_bag(want)
+
+
+def test_estimate_within_its_bound(spark, sf_dir, tmp_path):
+    calls = samples.event_calls(spark, "/root/testdata/sf0.01").withColumn("first_call", F.lit(False))
+    calls = calls.withColumn("caller", F.concat("caller", F.lit("-"), F.col("id").cast("bigint") % 50))
+    daily.day_measures(calls).write.parquet(str(tmp_path / "days"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    found = daily.report_of_days(days, "month")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "/days" in plan and "events" not in plan
+    exact = period.period_report(calls, "month").select("year", "month", F.col("callers").alias("n"))
+    rows = found.join(exact, ["year", "month"]).collect()
+    error = 1.04 / 2 ** (daily.SKETCH_BITS / 2)
+    assert rows and max(row.n for row in rows) > 300
+    assert all(abs(row.callers - row.n) <= 4 * error * row.n + 1 for row in rows)
+
+
+def test_no_days(spark, some_calls):
+    nothing = daily.day_measures(some_calls.limit(0))
+    assert daily.report_of_days(nothing, "week").count() == 0
+    with pytest.raises(ValueError):
+        daily.report_of_days(nothing, "decade")
+
+
+@pytest.mark.parametrize("order", [{"n": True}, {"n": False, "name": True}, {"name": False}])
+def test_pages_are_the_table(spark, order):
+    """Ties, nulls and equal rows over several pages; no row twice, none left out."""
+    rows = [(k % 3 if k % 4 else None, None if k % 5 == 0 else f"x{k % 2}") for k in range(40)]
+    rows += [(1, "x1")] * 9 + [(None, None)] * 8
+    table = spark.createDataFrame(rows, "n int, name string").repartition(3).cache()
+    shown, after = [], None
+    while True:
+        page = page_after(table, order, after, rows=4).collect()
+        after = place_after(page, after)
+        if after is None:
+            break
+        shown += page
+    sorting = [F.desc(c) if down else F.asc(c) for c, down in order.items()]
+    rest = [F.asc(c) for c in table.columns if c not in order]
+    assert shown == table.orderBy(*sorting, *rest).collect()
+
+
+def test_a_page_is_not_sorted_as_a_whole(spark):
+    table = spark.range(1000).withColumn("k", F.col("id") % 7)
+    first = page_after(table, {"k": False})
+    later = page_after(table, {"k": False}, place_after(first.collect()), ["id > 3"])
+    for frame in (first, later):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert [row.id for row in later.collect()] == [7 * k for k in range(15, 30)]

@@ -545,6 +545,37 @@ def test_follow_landing(spark, stored, tmp_path):
     assert late["0"] and not late["6"]
 
 
+def test_records_that_came_before_cost_no_rewrite(spark, stored, tmp_path):
+    landing, areas = tmp_path / "landing", makers.areas(spark, AREAS)
+    landing.mkdir()
+
+    def run():
+        query = follow_landing(
+            spark, str(landing), stored, areas, "2024-01-31", str(tmp_path / "checkpoint")
+        )
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return {row.id: row.duration_in for row in read_calls(spark, stored).collect()}
+
+    def written():
+        files = (tmp_path / "table").glob("**/*.parquet")
+        return {str(file): file.stat().st_mtime_ns for file in files}
+
+    seven = api_row(id="7", date="2024-01-04", caller="0049894", duration_inbound="10")
+    text(landing / "1.json", envelope(seven, seven))
+    assert run()["7"] == 10
+    before = written()
+    text(landing / "2.json", envelope(seven))
+    assert run()["7"] == 10 and written() == before
+    # A corrected record is another one, and a call of long ago is not too late.
+    text(landing / "3.json", envelope(api_row(id="7", date="2024-01-04", caller="0049894", duration_inbound="11")))
+    text(landing / "4.json", envelope(api_row(id="8", date="2022-01-01", caller="0049894", duration_inbound="12")))
+    found = run()
+    assert found["7"] == 11 and found["8"] == 12
+    state = [f for f in (tmp_path / "checkpoint" / "state").glob("**/*") if f.is_file()]
+    assert state and not any(b"0049894" in file.read_bytes() for file in state)
+
+
 # Made-up calls
 
 
