@@ -36,8 +36,8 @@ from .batches import slices
 
 #: A stretch is an item if 1 - edits / words of the item is at least this.
 SIMILARITY = 0.8
-#: Items of fewer words are not looked for.
-LEAST_WORDS = 5
+#: Items of fewer words, which may have no edit, are found by equality of their words.
+WALKED_WORDS = 5
 #: Words that a piece of an item has at least.
 PIECE_WORDS = 30
 #: Steps in a key, least and most walks, most samples of a walk, and the share of
@@ -59,6 +59,13 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 KNOWN_BITS = 20
+#: Of a key, the bits by which most windows are told from all keys of a class.
+FILTER_BITS = 20
+#: Multipliers, all odd: of the words in a key, and of a word for a walk's next move.
+PLACES = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407), np.uint64(0xD6E8FEB86659FD93))
+MOVE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of text whose windows are walked at a time.
+WALK_BYTES = 1_000_000
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -166,10 +173,10 @@ class Plan:
                 gone = here >= stop
                 word = np.where(gone, np.uint64(0), padded[np.minimum(here, len(hashes))])
                 for row, place in wanted.get(step, ()):
-                    found[row] += mixed(word + np.uint64(place + 1)) * np.uint64(2 * place + 1)
+                    found[row] += word * PLACES[place]
                 salt = np.uint64((step * 0x632BE59BD9B4E019 + walk * 0xD6E8FEB86659FD93) % (1 << 64))
-                moves = (mixed(word ^ salt) & np.uint64(1)).astype(bool)
-                here = here + (moves & ~gone)
+                moves = ((word ^ salt) * MOVE) >> np.uint64(63)
+                here = here + (moves.astype(bool) & ~gone)
         return mixed(found + np.arange(len(found), dtype=np.uint64)[:, None])
 
 
@@ -236,14 +243,26 @@ class Class:
     keys: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
+    filter: np.ndarray
+
+
+@dataclass
+class Short:
+    """Items of so many words: the digests of their words in order, and the items."""
+
+    words: int
+    keys: np.ndarray
+    items: np.ndarray
 
 
 @dataclass
 class Index:
     similarity: float
     items: list[np.ndarray]
+    sorted: list[np.ndarray]
     known: np.ndarray
     classes: list[Class]
+    short: list[Short]
 
     def edits(self, words: int) -> int:
         """Edits that an item of so many words may have."""
@@ -260,18 +279,40 @@ def cut(size: int, edits: int) -> int:
     return min(range(1, most + 1), key=lambda n: ((edits // n) ** 2 * n, n))
 
 
-def index(texts: list[str | None], similarity: float, least: int, seed: int = 8) -> Index:
+def filtered(keys: np.ndarray) -> np.ndarray:
+    """The lowest bits of a key as a place in a table."""
+    return keys & np.uint64((1 << FILTER_BITS) - 1)
+
+
+def in_order(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A digest of the so many words that begin at each word."""
+    found = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+    for k in range(words):
+        found = mixed(found + hashes[k : len(hashes) - words + 1 + k])
+    return found
+
+
+def index(texts: list[str | None], similarity: float, seed: int = 8) -> Index:
     words = words_of(texts)
-    items = [words.hashes[words.text == k] for k in range(len(texts))]
-    found = Index(similarity, items, np.zeros(1 << KNOWN_BITS, bool), [])
+    bounds = np.searchsorted(words.text, np.arange(len(texts) + 1))
+    items = [words.hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    in_sort = [np.unique(item) for item in items]
+    found = Index(similarity, items, in_sort, np.zeros(1 << KNOWN_BITS, bool), [], [])
     parts: list[tuple[int, int, int, int]] = []  # words, edits, item, words before
+    short: dict[int, list[int]] = defaultdict(list)
     for k, item in enumerate(items):
-        if len(item) < least:
+        if len(item) < WALKED_WORDS and not found.edits(len(item)):
+            if len(item):
+                short[len(item)].append(k)
             continue
         count = cut(len(item), found.edits(len(item)))
         bounds = [len(item) * j // count for j in range(count + 1)]
         edits = found.edits(len(item)) // count
         parts += [(b - a, edits, k, a) for a, b in zip(bounds, bounds[1:], strict=False)]
+    for size, own in sorted(short.items()):
+        keys = np.concatenate([in_order(items[k], size) for k in own])
+        order = np.argsort(keys, kind="stable")
+        found.short.append(Short(size, keys[order], np.array(own)[order]))
     groups: list[list[tuple[int, int, int, int]]] = []
     for part in sorted(parts):
         if not groups or part[0] > CLASS_RATIO * groups[-1][0][0]:
@@ -290,8 +331,12 @@ def index(texts: list[str | None], similarity: float, least: int, seed: int = 8)
         order = np.argsort(flat, kind="stable")
         owners = np.tile(np.array([k for _, _, k, _ in group]), len(keys))
         offsets = np.tile(np.array([a for _, _, _, a in group]), len(keys))
+        table = np.zeros(1 << FILTER_BITS, bool)
+        table[filtered(flat)] = True
         found.classes.append(
-            Class(shortest, longest, allowed, plan, flat[order], owners[order], offsets[order])
+            Class(
+                shortest, longest, allowed, plan, flat[order], owners[order], offsets[order], table
+            )
         )
     return found
 
@@ -315,15 +360,24 @@ def candidates(found: Index, words: Words) -> dict[tuple[int, int], set[int]]:
             continue
         stop = at + np.minimum(words.left[at], each.most + allowed)
         for row in each.plan.keys(words.hashes, at, stop, each.least):
-            low = np.searchsorted(each.keys, row, side="left")
-            high = np.searchsorted(each.keys, row, side="right")
+            maybe = np.flatnonzero(each.filter[filtered(row)])
+            low = np.searchsorted(each.keys, row[maybe], side="left")
+            high = np.searchsorted(each.keys, row[maybe], side="right")
             for k in np.flatnonzero(high > low):
-                place = int(at[k])
+                place = int(at[maybe[k]])
                 own = slice(low[k], high[k])
                 for item, offset in zip(
                     each.items[own].tolist(), each.offsets[own].tolist(), strict=True
                 ):
                     pairs[int(words.text[place]), item].add(place - offset)
+    for each in found.short:
+        row = in_order(words.hashes, each.words)
+        low = np.searchsorted(each.keys, row, side="left")
+        high = np.searchsorted(each.keys, row, side="right")
+        for k in np.flatnonzero((high > low) & (words.left[: len(row)] >= each.words)):
+            for item in each.items[low[k] : high[k]].tolist():
+                # All stretches are equal: the first is the result.
+                pairs.setdefault((int(words.text[k]), item), {int(k)})
     return pairs
 
 
@@ -355,7 +409,9 @@ def verify(found: Index, words: Words, text: int, item: int, places: set[int]) -
     best = None
     for low, high in stretches:
         # A near stretch has so many of the item's words on so few places.
-        held = np.concatenate(([0], np.cumsum(np.isin(words.hashes[low:high], wanted))))
+        part, own = words.hashes[low:high], found.sorted[item]
+        place = np.minimum(np.searchsorted(own, part), len(own) - 1)
+        held = np.concatenate(([0], np.cumsum(own[place] == part)))
         span = min(size + allowed, high - low)
         if (held[span:] - held[: len(held) - span]).max() < size - allowed:
             continue
@@ -386,14 +442,12 @@ def matches(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     similarity: float = SIMILARITY,
-    least_words: int = LEAST_WORDS,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(doc_id, item_id, edits, similarity, start, end): the best stretch of each item found.
 
     start and end are code points of the document, end exclusive. Items that are
-    null, or shorter than `least_words`, match nothing; so do null and empty
-    documents. Equal items match each by its own id. Documents that repeat are
+    null or without a word match nothing; so do null and empty documents. Equal items match each by its own id. Documents that repeat are
     searched one by one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -411,23 +465,23 @@ def matches(
     for row in chosen.orderBy("id", "text").toLocalIterator():
         block.append(row)
         if len(block) == block_items:
-            found.append(_search(rows, block, similarity, least_words, schema, item_type))
+            found.append(_search(rows, block, similarity, schema, item_type))
             block = []
     if block or not found:
-        found.append(_search(rows, block, similarity, least_words, schema, item_type))
+        found.append(_search(rows, block, similarity, schema, item_type))
     for part in found:
         result = part if result is None else result.union(part)
     return result
 
 
 def _search(
-    rows: DataFrame, block: list, similarity: float, least: int, schema: str, item_type: pa.DataType
+    rows: DataFrame, block: list, similarity: float, schema: str, item_type: pa.DataType
 ) -> DataFrame:
-    benchmark = index([row.text for row in block], similarity, least)
+    benchmark = index([row.text for row in block], similarity)
     ids = [row.id for row in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", WALK_BYTES):
             texts = part.column("text").to_pylist()
             words = words_of(texts)
             lines = []

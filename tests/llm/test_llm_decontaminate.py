@@ -84,6 +84,19 @@ def test_blocks_of_items(spark):
         ]
 
 
+def test_short_items_are_found_as_they_are(spark):
+    items = ["alpha", "beta gamma", "a b c d", "a b c d e", "", "..."]
+    texts = ["x Alpha, y", "beta. GAMMA! beta gamma", "beta x gamma", "a b c d", "b c d e a b c", "gamma", "alpha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = decontaminate.matches(docs, bench).collect()
+    found = sorted((r.doc_id, r.item_id, r.edits, texts[r.doc_id][r.start : r.end]) for r in rows)
+    assert found == [
+        (0, 0, 0, "Alpha"), (1, 1, 0, "beta. GAMMA"), (3, 2, 0, "a b c d"), (3, 3, 1, "a b c d"),
+        (4, 3, 1, "b c d e"), (6, 0, 0, "alpha")
+    ]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     from conftest import PROSE
 
@@ -93,7 +106,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     )
     rows = decontaminate.matches(odd_docs, items).collect()
     found = sorted(((r.doc_id or 0, r.item_id or 0) for r in rows))
-    assert found == sorted([(d, i) for d in (1, 2, 2, 0) for i in (1, 2, 0)])
+    assert found == sorted([(d, i) for d in (1, 2, 2, 0) for i in (1, 2, 5, 0)])
     kept = decontaminate.clean(odd_docs, items)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6, 7, 8, 9]
