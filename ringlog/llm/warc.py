@@ -86,6 +86,7 @@ HEADER_OF = {
 }
 NUMBERS = ("payload_length", "content_length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: How the names of the lists of committed files begin.
 MANIFEST = "_files"
 MEGABYTE = 1 << 20
 
@@ -97,6 +98,13 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def _listed(store: fs.FileSystem, root: str, path: str) -> list[tuple[str, int]]:
+    """The files that a job has committed, and their sizes."""
+    with store.open_input_stream(path) as stream:
+        lines = stream.read().decode().splitlines()
+    return [(f"{root}/{name}", int(size)) for size, name in (x.split(" ", 1) for x in lines)]
+
+
 @dataclass
 class Files(InputPartition):
     paths: tuple[str, ...]
@@ -235,15 +243,15 @@ class WarcReader(DataSourceReader):
         there = store.get_file_info(root)
         if there.type == fs.FileType.File:
             files = [(root, there.size)]
-        elif store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as stream:
-                lines = stream.read().decode().splitlines()
-            files = [(f"{root}/{n}", int(s)) for s, n in (line.split(" ", 1) for line in lines)]
         else:
             found = store.get_file_info(fs.FileSelector(root))
+            # Where jobs have written, what their lists name; else all archives there are.
+            lists = sorted(x.path for x in found if x.base_name.startswith(MANIFEST))
             files = sorted(
                 (x.path, x.size) for x in found if x.path.endswith((".warc", ".warc.gz"))
             )
+            if lists:
+                files = [each for path in lists for each in _listed(store, root, path)]
         plans: list[Files] = []
         held: list[str] = []
         size = 0
@@ -373,7 +381,8 @@ class WarcWriter(DataSourceArrowWriter):
         store, root = _opened(self.path)
         store.create_dir(root, recursive=True)
         files = sorted(file for message in messages if message for file in message.files)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as stream:
+        # A list of its own, so that several jobs may write into one folder.
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}") as stream:
             stream.write("".join(f"{size} {name}\n" for size, name in files).encode())
 
     def abort(self, messages):

@@ -134,3 +134,14 @@ def test_foreign_archives(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes(one[:-20])
     with pytest.raises(Exception, match="ends within"):
         warc.read_records(spark, str(tmp_path / "c.warc")).collect()
+
+
+def test_writes_into_one_folder_add_up(spark, tmp_path):
+    """Two jobs' archives are read whole; a file that no job has committed is not."""
+    path = str(tmp_path / "archive")
+    for ids in ((1, 2), (3,)):
+        rows = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in ids]
+        warc.write_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    (tmp_path / "archive" / "part-lost.warc").write_bytes(b"WARC/1.1")
+    rows = warc.read_records(spark, path).collect()
+    assert sorted(bytes(row.payload) for row in rows) == [b"<p>1</p>", b"<p>2</p>", b"<p>3</p>"]
