@@ -7,36 +7,49 @@ from conftest import LONG, PROSE
 from ringlog.llm import queries, repeats
 
 
-def plain(texts):
+def word_list(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+
+
+def plain(texts, least=8):
+    """Units of each line in order; a unit's key are the words it is hashed with, and its place there."""
     seen, result = {}, {}
     for doc, text in sorted(texts.items()):
-        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", text.lower())]
-        first = [
-            k for k, w in enumerate(words)
-            if not k or re.search(r"[.!?\n]", text[words[k - 1][1] : w[0]])
-        ] + [len(words)]
-        spans = []
-        for u in range(len(first) - 1):
-            v = next((v for v in range(u + 1, len(first)) if first[v] - first[u] >= 8), None)
-            if v is None:
+        units = []
+        for line in re.finditer(r"[^\n]+", text):
+            parts = [
+                (line.start() + m.start(), word_list(m[0]))
+                for m in re.finditer(r"[^.!?]+", line[0])
+                if word_list(m[0])
+            ]
+            for u, (at, words) in enumerate(parts):
+                k, around = u, list(words)
+                while len(around) < least and k:
+                    k -= 1
+                    around = parts[k][1] + around
+                offset = len(around) - len(words)
+                v = u
+                while len(around) < least and v + 1 < len(parts):
+                    v += 1
+                    around = around + parts[v][1]
+                first = re.search(r"[0-9a-z\x80-\U0010ffff]", text[at:].lower()).start()
+                units.append((at + first, (tuple(around), offset, len(words))))
+        ends = [start for start, _ in units[1:]] + [len(text)]
+        merged, kept = [], set()
+        for (start, key), end in zip(units, ends, strict=True):
+            if key not in seen:
+                seen[key] = doc
                 continue
-            key = " ".join(w for _, _, w in words[first[u] : first[v]])
-            end = words[first[v]][0] if first[v] < len(words) else len(text)
-            if key in seen:
-                spans.append((words[first[u]][0], end, seen[key]))
+            kept.add(seen[key])
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = end
             else:
-                seen[key] = doc
-        if spans:
-            merged = []
-            for start, end, _ in sorted(spans):
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], end)
-                else:
-                    merged.append([start, end])
-            kept = text
+                merged.append([start, end])
+        if merged:
+            rest = text
             for start, end in reversed(merged):
-                kept = kept[:start] + kept[end:]
-            result[doc] = (merged, sorted({k for _, _, k in spans}), kept)
+                rest = rest[:start] + rest[end:]
+            result[doc] = (merged, sorted(kept), rest)
     return result
 
 
@@ -59,9 +72,65 @@ def test_passage_within_lines(spark):
         assert len(row.text) < 120
 
 
+def cleaned(spark, rows, schema="doc_id bigint, text string"):
+    found = repeats.without_repeats(spark.createDataFrame(rows, schema))
+    return {r.id: (r.text, r.kept_ids) for r in found.collect()}
+
+
+def test_short_lines(spark):
+    """A line that repeats goes, however short, and its neighbours stay."""
+    rows = [(k, f"The start of text {k}\nall rights reserved\nand its end {k}") for k in range(4)]
+    found = cleaned(spark, rows)
+    assert found == {k: (f"The start of text {k}\nand its end {k}", [0]) for k in (1, 2, 3)}
+
+
+def test_what_stays_is_whole(spark):
+    """Sentences of four words in overlapping rows: each stays in the document that is named."""
+    x, y, z = "One two three four.", "Five six seven eight.", "Nine ten eleven twelve."
+    texts = {0: f"{y} {z}", 1: f"{x} {y} {z}", 2: f"{x} {y}"}
+    found = cleaned(spark, list(texts.items()))
+    assert found == {1: (f"{x} {y} ", [0]), 2: ("", [1])}
+
+
+def test_kept_documents_hold_what_was_removed(spark, texts):
+    """Whatever was removed still stands in the result of a document that is named."""
+    rows = queries.op2_repeats(spark, "/root/testdata/sf0.001").collect()
+    after = texts | {r.doc_id: r.text for r in rows}
+    joined = {k: f" {' '.join(word_list(t or ''))} " for k, t in after.items()}
+    for row in rows:
+        for span in row.removed:
+            for part in re.split(r"[.!?\n]", texts[row.doc_id][span.start : span.end]):
+                words = " ".join(word_list(part))
+                assert not words or any(f" {words} " in joined[k] for k in row.kept_ids)
+
+
+def test_text_ids(spark):
+    rows = [("b", "Some words that stand here twice, or so."), ("a", "Some words that stand here twice, or so.")]
+    assert cleaned(spark, rows, "doc_id string, text string") == {"b": ("", ["a"])}
+
+
+def test_large_and_negative_ids(spark):
+    text = "Some words that stand here more than once."
+    rows = [(k, text) for k in (2**63 - 1, -(2**63), 0, None)]
+    assert cleaned(spark, rows) == {k: ("", [-(2**63)]) for k in (2**63 - 1, 0, None)}
+
+
+def test_same_id_other_text(spark):
+    """Of one id with two texts, a passage stays in one."""
+    line = "Some words that stand here more than once"
+    found = repeats.without_repeats(
+        spark.createDataFrame([(1, line), (1, f"{line}\nand more")], "doc_id bigint, text string")
+    )
+    assert [r.kept_ids for r in found.collect()] == [[1]]
+
+
 def test_odd_rows(odd_docs, no_docs):
-    result = {r.id: r for r in repeats.without_repeats(odd_docs).collect()}
-    assert set(result) >= {2} and result[2].text == "One more." and result[2].kept_ids == [1]
-    # The long text has one sentence, so nothing in it repeats; rows without an id are left out.
-    assert set(result) == {2} and LONG and PROSE
+    rows = repeats.without_repeats(odd_docs).collect()
+    # The row of id 2 is there twice, as in the table. The long text is one unit.
+    assert sorted((r.id or 0, r.text, r.kept_ids) for r in rows) == [
+        (0, "", [1]),
+        (2, "", [1]),
+        (2, "", [1]),
+    ]
+    assert LONG and PROSE
     assert repeats.without_repeats(no_docs).count() == 0
