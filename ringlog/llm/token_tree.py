@@ -143,11 +143,13 @@ def edited(text: Text, edits: list[dict]) -> int:
     """Apply edits, last first so that the places of the others hold; how many were applied.
 
     Edits are places in the text as it is. Places beyond its end mean its end; an
-    edit that begins before an earlier one ends is left out.
+    edit that begins before an earlier one ends is left out, and so is one that is null
+    or has no start or end. A null text of an edit means that nothing is put in.
     """
     chosen, end = [], 0
     size = len(text.text)
-    for edit in sorted(edits, key=lambda e: (e["start"], e["end"])):
+    whole = [e for e in edits if e and e["start"] is not None and e["end"] is not None]
+    for edit in sorted(whole, key=lambda e: (e["start"], e["end"])):
         start, stop = min(max(edit["start"], 0), size), min(max(edit["end"], 0), size)
         if start >= end and stop >= start:
             chosen.append((start, stop, edit["text"] or ""))

@@ -104,3 +104,16 @@ def test_odd_rows(spark, vocabulary, encode, odd_docs, no_docs):
         assert (row.after.text, row.after.applied) == (text, count)
         assert row.after.tokens[1] == len(encode(text))
     assert counted(no_docs, none).count() == 0
+
+
+def test_edits_without_a_place(spark, vocabulary, encode):
+    """An edit that is null, or has no start or end, is left out; the others are applied."""
+    edits = [(4, 7, "NEW"), (None, 2, "x"), (1, None, "y"), (None, None, None), None]
+    frame = spark.createDataFrame(
+        [(1, "abc def ghi", edits)], "doc_id bigint, text string, edits array<struct<start:int,end:int,text:string>>"
+    )
+    out = frame.withColumn("tree", token_tree.tree(F.col("text"), vocabulary))
+    out = out.select(token_tree.edit_tree(F.col("text"), F.col("tree"), F.col("edits"), vocabulary).alias("after"))
+    after = out.first().after
+    assert (after.text, after.applied) == ("abc NEW ghi", 1)
+    assert after.tokens[1] == len(encode(after.text))
