@@ -35,35 +35,50 @@ SMOOTHING = 0.5
 CODES = 128
 
 
+def _running(values: Column, join) -> Column:
+    """At each place of an array, join() of all values up to there; none is below 0.
+
+    Each round joins with what stands 1, 2, 4, ... places before, so it takes as many
+    rounds as the length has binary digits, and no array is copied for each value.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    back = F.transform(rounds, lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def further(found: Column, step: Column) -> Column:
+        kept = F.greatest(F.size(found) - step, F.lit(0))
+        zeros = F.array_repeat(F.lit(0), F.size(found) - kept)
+        earlier = F.concat(zeros, F.slice(found, 1, kept))
+        return F.zip_with(found, earlier, lambda x, y: join(x, y))
+
+    return F.aggregate(back, values, further)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(s, e, m) of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    The pieces between the matches and the matches take turns, so a match starts
-    after all pieces and matches before it.
+    The pieces between the matches and the matches take turns, so a match ends
+    after all pieces and matches up to it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.transform(
-        F.arrays_zip(between.alias("gap"), found.alias("m")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["m"].alias("m")),
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+        F.split(text, pattern, -1).alias("gap"),
     )
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + part["gap"]
-        end = begin + F.length(part["m"])
-        return F.when(part["m"].isNull(), state).otherwise(
-            F.struct(
-                end.alias("at"),
-                F.concat(
-                    state["spans"],
-                    F.array(F.struct(begin.alias("s"), end.alias("e"), part["m"].alias("m"))),
-                ).alias("spans"),
-            )
+    def placed(part: Column) -> Column:
+        count = F.size(part["m"])
+        gaps = F.slice(part["gap"], 1, count)
+        sizes = F.zip_with(gaps, part["m"], lambda gap, m: F.length(gap) + F.length(m))
+        return F.zip_with(
+            _running(sizes, lambda x, y: x + y),
+            part["m"],
+            lambda end, m: F.struct(
+                (end - F.length(m)).alias("s"), end.alias("e"), m.alias("m")
+            ),
         )
 
-    spans = F.aggregate(both, start, step, lambda state: state["spans"])
+    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    # An array of one, so that the parts are worked out once.
+    spans = F.get(F.transform(F.array(parts), placed), F.lit(0))
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
@@ -170,18 +185,26 @@ def ratios(training: DataFrame) -> list[float]:
     return (chances[1] - chances[0]).ravel().tolist()
 
 
-def _ratio(value: Column, weights: Column) -> Column:
-    """The sum of the log-likelihood ratios of the pairs of characters in a string."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value) - 1),
-        F.lit(0.0),
-        lambda total, k: total
-        + F.get(
-            weights,
-            F.ascii(F.substr(value, k, F.lit(1))) * CODES
-            + F.ascii(F.substr(value, k + 1, F.lit(1))),
-        ),
-    )
+def _random(value: Column, weights: Column) -> Column:
+    """Whether the pairs of characters in a string are likelier in random ones.
+
+    The characters are cut once, and each is looked at with the one before it.
+    """
+    codes = F.transform(F.split(value, ""), F.ascii)
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("ratio"))
+
+    def step(state: Column, code: Column) -> Column:
+        ratio = F.when(state["before"] < 0, F.lit(0.0)).otherwise(
+            F.get(weights, state["before"] * CODES + code)
+        )
+        return F.struct(code.alias("before"), (state["ratio"] + ratio).alias("ratio"))
+
+    def enough(state: Column) -> Column:
+        return (state["ratio"] >= MIN_RATIO) & (
+            state["ratio"] >= MIN_PAIR_RATIO * (F.length(value) - 1)
+        )
+
+    return F.aggregate(codes, start, step, enough)
 
 
 # The operator
@@ -211,25 +234,50 @@ def scan(
     )
     table = F.lit(np.array(weights, dtype=np.float64))
 
-    def random(match: Column) -> Column:
-        ratio = _ratio(match["m"], table)
-        return (ratio >= MIN_RATIO) & (ratio >= MIN_PAIR_RATIO * (F.length(match["m"]) - 1))
+    candidates = F.filter(matches(text, CANDIDATE), lambda x: _random(x["m"], table))
+    both = F.struct(base.alias("b"), _spans(candidates, "markov").alias("c"))
+    found = docs.withColumn(out, both)
+    known, more = F.col(out)["b"], F.col(out)["c"]
+    spans = F.when(F.size(more) == 0, known).otherwise(
+        F.concat(known, _uncovered(known, more, partly))
+    )
+    return found.withColumn(out, F.array_sort(spans))
 
-    candidates = F.filter(matches(text, CANDIDATE), random)
 
-    def uncovered(base_spans: Column):
-        if partly:
-            return lambda x: ~F.exists(
-                base_spans, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])
-            )
-        return lambda x: ~F.exists(
-            base_spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+def _uncovered(known: Column, more: Column, partly: bool) -> Column:
+    """The spans of `more` that no known one overlaps; with `partly`, that none covers whole.
+
+    Put in one order, a known span before those of `more` that it can meet, what counts
+    is the farthest end of the known ones so far: no span is compared with all others.
+    """
+
+    def mark(spans: Column, at, is_more: int, reach) -> Column:
+        return F.transform(
+            spans,
+            lambda x: F.struct(
+                at(x).alias("at"), F.lit(is_more).alias("more"), reach(x).alias("reach"), x.alias("x")
+            ),
         )
 
-    both = F.struct(base.alias("b"), _spans(candidates, "markov").alias("c"))
-    found, known = docs.withColumn(out, both), F.col(out)["b"]
-    spans = F.concat(known, F.filter(F.col(out)["c"], uncovered(known)))
-    return found.withColumn(out, F.array_sort(spans))
+    meets = (lambda x: x["start"]) if partly else (lambda x: x["end"] - 1)
+    marked = F.array_sort(
+        F.concat(
+            mark(known, lambda x: x["start"], 0, lambda x: x["end"]),
+            mark(more, meets, 1, lambda x: F.lit(0)),
+        )
+    )
+
+    def left(order: Column) -> Column:
+        farthest = _running(F.transform(order, lambda x: x["reach"]), F.greatest)
+        needed = (lambda x: x["end"]) if partly else (lambda x: x["start"] + 1)
+        pairs = F.zip_with(
+            order,
+            farthest,
+            lambda x, end: F.when((x["more"] == 1) & (end < needed(x["x"])), x["x"]),
+        )
+        return F.filter(pairs, lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(marked), left), F.lit(0))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,39 @@ def test_a_key_beside_a_known_form_goes(spark, weights):
     assert {r.doc_id: [s.kind for s in r.secrets] for r in rows} == {
         0: ["access", "markov"], 1: ["markov", "hex"], 2: ["access"]
     }
+
+
+def test_long_strings_and_many_matches(spark, weights):
+    """A string of a million characters, and a text of thousands of known forms, take seconds."""
+    block = "".join(hashlib.sha256(str(k).encode()).hexdigest().upper() for k in range(16_000))
+    many = " ".join(hashlib.sha256(str(k).encode()).hexdigest() + f" {k}" for k in range(20_000))
+    frame = spark.createDataFrame([(1, block), (2, many)], "doc_id bigint, text string")
+    started = time.perf_counter()
+    rows = {r.doc_id: r.secrets for r in secret_scan.scan(frame, weights, partly=True).collect()}
+    assert time.perf_counter() - started < 60
+    assert [(s.start, s.end) for s in rows[1] if s.kind == "markov"] == [(0, len(block))]
+    expected = [m.span() for m in re.finditer(secret_scan.HEX, many)]
+    assert [(s.kind, s.start, s.end) for s in rows[2]] == [("hex", *span) for span in expected]
+
+
+@pytest.mark.parametrize("partly", [False, True])
+def test_what_known_spans_leave(spark, partly):
+    """Against a comparison of each span with all known ones."""
+    draw = random.Random(5)
+
+    def some(kind):
+        starts = [draw.randrange(60) for _ in range(draw.randrange(7))]
+        return [(a, secret_scan.KINDS.index(kind), a + draw.randrange(1, 12), kind) for a in starts]
+
+    rows = [(k, some("hex"), some("markov")) for k in range(200)]
+    spans = "array<struct<start:int,order:int,end:int,kind:string>>"
+    frame = spark.createDataFrame(rows, f"id int, b {spans}, c {spans}")
+    found = frame.select("id", secret_scan._uncovered(F.col("b"), F.col("c"), partly).alias("left"))
+
+    def covered(x, known):
+        if partly:
+            return any(b[0] <= x[0] and x[2] <= b[2] for b in known)
+        return any(b[0] < x[2] and x[0] < b[2] for b in known)
+
+    left = {r.id: sorted(tuple(x) for x in r.left) for r in found.collect()}
+    assert left == {k: sorted(x for x in c if not covered(x, b)) for k, b, c in rows}
