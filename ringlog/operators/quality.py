@@ -169,13 +169,13 @@ def calls_per_day(calls: DataFrame) -> DataFrame:
 # Spread
 
 
-def _with_fences(calls: DataFrame) -> DataFrame:
-    """Days with the quartiles and fences of their year.
+def _with_fences(counts: DataFrame) -> DataFrame:
+    """Days, call_date and n, with the quartiles and fences of their year.
 
     A year has at most 366 days, so quartiles are exact and the years are
     broadcast.
     """
-    days = calls_per_day(calls).withColumn("year", F.year("call_date"))
+    days = counts.withColumn("year", F.year("call_date"))
     quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     years = days.groupBy("year").agg(F.percentile("n", quartiles).alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
@@ -192,9 +192,14 @@ def _with_fences(calls: DataFrame) -> DataFrame:
 
 def daily_box_stats(calls: DataFrame) -> DataFrame:
     """Box and whiskers of the daily calls of each year."""
+    return box_of_counts(calls_per_day(calls))
+
+
+def box_of_counts(counts: DataFrame) -> DataFrame:
+    """A29 of days that are counted already, one row (call_date, n) for each."""
     inside = F.when(F.col("n").between(F.col("low_fence"), F.col("high_fence")), F.col("n"))
     return (
-        _with_fences(calls)
+        _with_fences(counts)
         .groupBy("year", "q1", "median", "q3")
         .agg(
             F.min(inside).alias("low_whisker"),
@@ -207,7 +212,7 @@ def daily_box_stats(calls: DataFrame) -> DataFrame:
 def daily_outliers(calls: DataFrame) -> DataFrame:
     """Days beyond the whiskers."""
     return (
-        _with_fences(calls)
+        _with_fences(calls_per_day(calls))
         .filter(~F.col("n").between(F.col("low_fence"), F.col("high_fence")))
         .select("year", "call_date", "n")
     )

@@ -761,6 +761,29 @@ def oracle_sql() -> dict[str, str]:
                     WHERE call_date BETWEEN '1994-02-03' AND '1996-11-12' GROUP BY 1, 2)""",
             "flagged",
         ),
+        "box_stats_of_days": _with(
+            """SELECT year, q1, median, q3, min(n) FILTER (WHERE inside) AS low_whisker,
+                      max(n) FILTER (WHERE inside) AS high_whisker,
+                      count(*) FILTER (WHERE NOT inside) AS outliers
+               FROM fenced GROUP BY year, q1, median, q3""",
+            "fenced",
+        ),
+        "attempt_quantiles_of_days": _with(
+            """SELECT DISTINCT year(call_date)::INTEGER AS year,
+                      TRUE AS p50, TRUE AS p75, TRUE AS p90
+               FROM event_calls""",
+            "event_calls",
+        ),
+        "talk_time_of_days": _with(
+            """SELECT year(call_date)::INTEGER AS year, month(call_date)::INTEGER AS month,
+                      min(duration_out)::DOUBLE AS minimum, avg(duration_out) AS mean,
+                      max(duration_out)::DOUBLE AS maximum, TRUE AS ordered
+               FROM calls WHERE success GROUP BY 1, 2""",
+            "calls",
+        ),
+        "responses_by_index": _with(
+            "SELECT * FROM raw WHERE date BETWEEN '1995-02-03' AND '1996-01-20'", "raw"
+        ),
         "page_after_row": _with(
             """SELECT call_date, count(caller) AS calls, count(DISTINCT caller) AS callers
                FROM flagged GROUP BY call_date

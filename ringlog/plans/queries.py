@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringlog.functions import clock_text, display_count, display_date, hour_of
-from ringlog.operators import attempts, clean, daily, geo, origin, patterns, period, quality, series
+from ringlog.operators import (
+    attempts,
+    clean,
+    daily,
+    geo,
+    origin,
+    patterns,
+    period,
+    quality,
+    series,
+    spread,
+)
 from ringlog.operators import states as state_reports
 from ringlog.operators.first_call import mark_first_calls
 from ringlog.operators.refresh import last_day, refresh_calls
@@ -291,12 +302,12 @@ def week_bounds(spark, sf):
 
 @query
 def state_map_calls(spark, sf):
-    return state_reports.state_map(flagged(spark, sf), state_table(spark), "calls")
+    return state_reports.state_map(samples.calls(spark, sf), state_table(spark), "calls")
 
 
 @query
 def state_map_callers(spark, sf):
-    return state_reports.state_map(flagged(spark, sf), state_table(spark), "callers")
+    return state_reports.state_map(samples.calls(spark, sf), state_table(spark), "callers")
 
 
 @query
@@ -308,7 +319,7 @@ def state_map_first(spark, sf):
 
 @query
 def mobile_landline_totals(spark, sf):
-    return state_reports.mobile_and_landline(flagged(spark, sf), "callers")
+    return state_reports.mobile_and_landline(samples.calls(spark, sf), "callers")
 
 
 @query
@@ -804,6 +815,56 @@ def weeks_of_days(spark, sf):
     return found.drop("callers", "calls_per_caller")
 
 
+@query
+def attempt_quantiles_of_days(spark, sf):
+    """Whether quantiles from days have their ranks among the caller-days, by year."""
+    calls = samples.event_calls(spark, sf)
+    path = work_path(spark, "spread")
+    spread.day_spread(calls).write.parquet(path)
+    found = spread.attempt_quantiles(spark.read.parquet(path), "year").withColumnRenamed("year", "y")
+    counts = attempts.caller_days(calls).groupBy(F.year("call_date").alias("year"), "attempts").agg(
+        F.count("*").alias("frequency")
+    )
+    ranked = counts.join(found, F.col("year") == F.col("y"))
+    near = {}
+    for name, rank in (("p50", 0.5), ("p75", 0.75), ("p90", 0.9)):
+        below = F.sum(F.when(F.col("attempts") < F.col(name), F.col("frequency")).otherwise(0))
+        upto = F.sum(F.when(F.col("attempts") <= F.col(name), F.col("frequency")).otherwise(0))
+        bound, whole = 0.02, F.sum("frequency")
+        near[name] = (below / whole <= rank + bound) & (upto / whole >= rank - bound)
+    return ranked.groupBy("year").agg(*[test.alias(name) for name, test in near.items()])
+
+
+@query
+def talk_time_of_days(spark, sf):
+    """Six numbers of the talk time by month from days; whether quartiles are in order."""
+    path = work_path(spark, "spread")
+    spread.day_spread(samples.calls(spark, sf)).write.parquet(path)
+    found = spread.six_numbers(spark.read.parquet(path), "month")
+    ordered = F.array("minimum", "q1", "median", "q3", "maximum")
+    return found.withColumn("ordered", F.array_sort(ordered) == ordered).drop("q1", "median", "q3")
+
+
+@query
+def box_stats_of_days(spark, sf):
+    """A29 from stored days."""
+    path = work_path(spark, "spread")
+    spread.day_spread(samples.calls(spark, sf)).write.parquet(path)
+    return spread.box_stats(spark.read.parquet(path))
+
+
+@query
+def responses_by_index(spark, sf):
+    """The records of some days, from the files that can hold them only."""
+    raw = samples.raw_records(spark, sf)
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(*raw.columns)).alias("data")).alias("response")))
+    path, index = work_path(spark, "responses"), work_path(spark, "responses-index")
+    raw.repartitionByRange(8, "date").select(body.alias("value")).write.text(path)
+    landing.index_responses(spark, path, index)
+    bounds = ("1995-02-03", "1996-01-20")
+    return landing.read_responses(spark, path, *bounds, index=index)
+
+
 @query
 def page_after_row(spark, sf):
     """The page after the last row of the page before."""
