@@ -302,6 +302,49 @@ def digest_columns(secrets: str = "secrets") -> list[Column]:
     ]
 
 
+#: Characters of the blocks that a text is cut into to take pieces out of it.
+BLOCK = 1024
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of a text in blocks, of which only those between are read."""
+    first, last = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    head, tail = F.get(blocks, first), F.coalesce(F.get(blocks, last), F.lit(""))
+    at = start - first * BLOCK
+    within = F.substr(head, at + 1, end - start)
+    across = F.concat(
+        F.substr(head, at + 1, F.lit(BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substr(tail, F.lit(1), end - last * BLOCK),
+    )
+    return F.when(start >= end, "").when(first == last, within).otherwise(across)
+
+
+def _redacted(rows: DataFrame, text_col: str, spans_col: str, mark: str) -> DataFrame:
+    """The rows with a mark in the text in the place of its spans, which are in order.
+
+    What a text is cut into is a column, so it is worked out once. It is not bound to the
+    variable of a function: Spark does not plan a Python function over such nested ones.
+    """
+    text, spans, name = F.col(text_col), F.col(spans_col), free_name(rows, "parts")
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+        _running(F.transform(spans, lambda x: x["end"]), F.greatest).alias("ends"),
+    )
+    rows = rows.withColumn(name, F.when(F.size(spans) > 0, parts))
+    blocks, ends = F.col(name)["blocks"], F.col(name)["ends"]
+    pieces = F.zip_with(
+        spans,
+        F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends)),
+        lambda x, at: F.when(
+            x["start"] >= at, F.concat(_piece(blocks, at, x["start"]), F.lit(mark))
+        ).otherwise(""),
+    )
+    rest = _piece(blocks, F.element_at(ends, -1), F.length(text))
+    changed = F.concat(F.array_join(pieces, ""), rest)
+    return rows.withColumn(text_col, F.when(F.size(spans) > 0, changed).otherwise(text)).drop(name)
+
+
 def redact(
     docs: DataFrame, weights: list[float], text_col: str = "text", mark: str = "[secret]"
 ) -> DataFrame:
@@ -312,25 +355,4 @@ def redact(
     """
     out = free_name(docs, "secrets")
     found = scan(docs, weights, text_col, out, partly=True)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substr(text, state["at"] + 1, span["start"] - state["at"])
-        return F.when(
-            span["start"] >= state["at"],
-            F.struct(
-                span["end"].alias("at"), F.concat(state["out"], gap, F.lit(mark)).alias("out")
-            ),
-        ).otherwise(
-            F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out"))
-        )
-
-    rest = F.aggregate(
-        F.col(out),
-        start,
-        step,
-        lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text))),
-    )
-    changed = F.when(F.size(F.col(out)) > 0, rest).otherwise(text)
-    return found.withColumn(text_col, changed).select(docs.columns)
+    return _redacted(found, text_col, out, mark).select(docs.columns)

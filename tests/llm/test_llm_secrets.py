@@ -147,3 +147,34 @@ def test_what_known_spans_leave(spark, partly):
 
     left = {r.id: sorted(tuple(x) for x in r.left) for r in found.collect()}
     assert left == {k: sorted(x for x in c if not covered(x, b)) for k, b, c in rows}
+
+
+def test_marks_in_place_of_any_spans(spark):
+    """Overlapping, touching and far spans, over many blocks, against a plain pass."""
+    draw = random.Random(9)
+    rows = []
+    for k in range(60):
+        size = draw.choice([0, 5, 1023, 1024, 1025, 2048, 7000])
+        text = "".join(draw.choice("ab\n😀é") for _ in range(size))
+        starts = sorted(draw.randrange(size) for _ in range(draw.randrange(1, 8))) if size else [0]
+        rows.append((k, text, [(a, 0, min(size, a + draw.choice([1, 5, 1500])), "hex") for a in starts]))
+    frame = spark.createDataFrame(
+        rows, "id int, text string, spans array<struct<start:int,order:int,end:int,kind:string>>"
+    )
+    found = {r.id: r.text for r in secret_scan._redacted(frame, "text", "spans", "[x]").collect()}
+    for k, text, spans in rows:
+        at, out = 0, ""
+        for start, _, end, _ in spans:
+            if start >= at:
+                out += text[at:start] + "[x]"
+            at = max(at, end)
+        assert found[k] == out + text[at:]
+
+
+def test_redact_many(spark, weights):
+    many = " ".join(hashlib.sha256(str(k).encode()).hexdigest() + f" é{k}" for k in range(20_000))
+    frame = spark.createDataFrame([(1, many)], "doc_id bigint, text string")
+    started = time.perf_counter()
+    text = secret_scan.redact(frame, weights).first().text
+    assert time.perf_counter() - started < 60
+    assert text == " ".join(f"[secret] é{k}" for k in range(20_000))
