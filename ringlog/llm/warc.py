@@ -418,13 +418,13 @@ def register(spark: SparkSession) -> None:
 
 def base32(digest: Column) -> Column:
     """The upper-case base 32 of a SHA-1 digest in hexadecimal: 32 characters, no padding."""
-    parts = []
-    for k in range(4):
-        bits = F.conv(F.substring(digest, 10 * k + 1, 10), 16, 10).cast("bigint")
-        for shift in range(35, -1, -5):
-            digit = F.shiftright(bits, shift).bitwiseAND(F.lit(31)).cast("int")
-            parts.append(F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), digit + 1, F.lit(1)))
-    return F.concat(*parts)
+    parts = [
+        F.lpad(F.conv(F.substring(digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)
+    ]
+    # conv counts with 0 to 9 and A to V, base 32 with A to Z and 2 to 7.
+    return F.translate(
+        F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    )
 
 
 def _record_id(page_id: Column) -> Column:
@@ -504,8 +504,12 @@ def page_records(found: DataFrame, id_type: str = "bigint") -> DataFrame:
     Length and digest of a response are those of the payload as it was read, and
     must be those of its headers; a revisit has them in its headers alone.
     """
-    size = F.octet_length("payload").cast("bigint")
-    digest = base32(F.sha1("payload"))
+    # Columns of their own: within the branches of a `when`, Spark computes an expression
+    # anew at each place that names it, and base32 names the digest several times.
+    found = found.withColumns(
+        {"read_sha1": F.sha1("payload"), "read_bytes": F.octet_length("payload").cast("bigint")}
+    ).withColumn("read_digest", base32(F.col("read_sha1")))
+    size, digest = F.col("read_bytes"), F.col("read_digest")
     checked = F.when(
         (digest == F.col("payload_digest")) & (size == F.col("payload_length")), digest
     ).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))

@@ -145,3 +145,30 @@ def test_writes_into_one_folder_add_up(spark, tmp_path):
     (tmp_path / "archive" / "part-lost.warc").write_bytes(b"WARC/1.1")
     rows = warc.read_records(spark, path).collect()
     assert sorted(bytes(row.payload) for row in rows) == [b"<p>1</p>", b"<p>2</p>", b"<p>3</p>"]
+
+
+def test_payloads_are_hashed_once(spark, archive):
+    """The code for reading back has one SHA-1 a record, not one for each digit of its digest."""
+    plan = warc.page_records(warc.read_records(spark, archive))._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert code.count("DigestUtils.sha1Hex(") == 1
+
+
+def test_base32(spark):
+    digests = ["0" * 40, "f" * 40, "0123456789" * 4, "00000000010000000000fffffffff0000000000a"]
+    digests += [hashlib.sha1(str(k).encode()).hexdigest() for k in range(200)]
+    rows = spark.createDataFrame([(d,) for d in [*digests, None]], "digest string")
+    found = {r.digest: r.found for r in rows.select("digest", warc.base32(rows.digest).alias("found")).collect()}
+    assert found == {None: None} | {d: base64.b32encode(bytes.fromhex(d)).decode() for d in digests}
+
+
+@pytest.mark.parametrize("old, new", [(b"<p>7</p>", b"<p>8</p>"), (b"X-Payload-Length: 8", b"X-Payload-Length: 9")])
+def test_damaged_payloads(spark, tmp_path, old, new):
+    """A payload that differs from the digest or length of its headers ends the reading."""
+    path = str(tmp_path / "archive")
+    page = [(7, "http://h/7", "<p>7</p>")]
+    warc.write_pages(spark.createDataFrame(page, "page_id bigint, url string, html string"), path)
+    (file,) = (tmp_path / "archive").glob("*.warc")
+    file.write_bytes(file.read_bytes().replace(old, new))
+    with pytest.raises(Exception, match="damaged payload of <urn:x-page:7>"):
+        warc.page_records(warc.read_records(spark, path)).collect()
